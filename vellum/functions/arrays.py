@@ -52,7 +52,7 @@ def finite_columns(df: DataFrame) -> DataFrame:
 
 def key_list(c: Column, limit: int | None = None) -> Column:
     """ARR5: the trimmed, non-empty parts between commas, the first limit of them."""
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(parts, 1, limit) if limit else parts
 
 

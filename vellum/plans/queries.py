@@ -513,7 +513,7 @@ def src10_inventory(spark, sf_dir):
 
 @query
 def src12_latest_checkpoint(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 3 == 0).alias("state_ok"), F.lit(600000).alias("weight_bytes"), (F.lit(500000) + F.col("o_orderkey") % 100000).alias("optimizer_bytes"))
+    o = load(spark, sf_dir, "orders").select(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 3 == 0).alias("state_ok"), F.lit(600000).alias("weight_bytes"), (F.lit(520000) + F.col("o_orderkey") % 10000).alias("optimizer_bytes"))
     return files.latest_checkpoint(o)
 
 
