@@ -6,8 +6,10 @@ names each document's connected component of links; no pairs are written out.
 
 1. routing: sets are cut into parts by hash. Sets that link differ in few shingles, and there are
    more parts than that, so at least one part is the same in both (pigeonhole: exact, no link is
-   lost). Documents send a hash of each part; those that share one are candidates, written as a star
-   around the least id and not as pairs.
+   lost). Documents send a hash of each part; those that share one are candidates if their sketches
+   (a bit of the least hash in each of 128 ranges) differ in few bits. The limit is set so that a pair
+   at the threshold fails it with a probability below 1e-12 (Chernoff's bound), less than two hashes
+   colliding. Candidates are written as stars around the least id and not as pairs.
 2. the candidates' connected components are gathered. Documents with the same set are represented by
    the least id. A component larger than ``block`` sets (or 1024 times as many shingles) is cut into
    blocks, and each pair of blocks is joined on its own, so no task holds an unbounded group.
@@ -193,20 +195,59 @@ def _digest(s: np.ndarray) -> bytes:
         return np.array([a.sum(dtype=U64), mix(a ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64), len(s)], U64).tobytes()
 
 
-_SIGNED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("id", T.BinaryType())])
-_SIGNED_ARROW = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("id", pa.binary())])
+_SIGNED = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("h", "doc", "id", "sketch"))])
+_SIGNED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("h", "doc", "id", "sketch"))])
+_BITS = 128
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Of documents that share a hash each one's link to the least of them."""
-    h = np.frombuffer(b"".join(table.column("h").to_pylist()), U64)
-    who = np.frombuffer(b"".join(table.column("id").to_pylist()), np.int64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """16 bytes: for each of 128 ranges of hash values a bit of the set's least hash in it, 0 where it has none."""
+    edge = np.searchsorted(s, np.arange(_BITS, dtype=U64) << U64(57))
+    full = edge < np.append(edge[1:], len(s))
+    bits = np.zeros(_BITS, np.uint8)
+    bits[full] = (mix(s[edge[full]]) & U64(1)).astype(np.uint8)
+    return np.packbits(bits)
+
+
+def most_apart(percent: int, risk: float = 1e-12) -> int:
+    """Bits in which the sketches of a linked pair differ at most, but for the risk."""
+    q = (1 - percent / 100) / 2
+    for t in range(int(_BITS * q) + 1, _BITS):
+        p = t / _BITS
+        if q == 0 or _BITS * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))) >= -np.log(risk):
+            return t if q else 0
+    return _BITS
+
+
+def star_links(h: np.ndarray, who: np.ndarray, marks: np.ndarray, most: int) -> np.ndarray:
+    """Links (a, b) that connect what shares a hash and has sketches at most so far apart; marks: a row of two words each."""
     order = np.lexsort((who, h))
-    h, who = h[order], who[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-    least = np.repeat(who[first], np.diff(np.append(first, len(h))))
-    link = np.unique(np.stack([who, least], axis=1)[who != least], axis=0) if len(h) else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(link[:, 0], pa.int64()), "b": pa.array(link[:, 1], pa.int64())})
+    h, who, marks = h[order], who[order], marks[order]
+    if not len(h):
+        return np.empty((0, 2), np.int64)
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.append(first, len(h)))
+    lead = np.repeat(first, size)
+    near = np.bitwise_count(marks ^ marks[lead]).sum(axis=1) <= most
+    links = [np.stack([who, who[lead]], axis=1)[near]]
+    # Groups in which some are far from the least: from each that is reached to all that aren't yet.
+    for g in np.flatnonzero(np.add.reduceat(~near, first) > 0):
+        a, z = first[g], first[g] + size[g]
+        todo = a + np.flatnonzero(~near[a:z])
+        reached = (a + 1 + np.flatnonzero(near[a + 1 : z])).tolist()
+        root = a
+        while len(todo):
+            if not reached:
+                root, todo = todo[0], todo[1:]
+                reached = [root]
+                continue
+            hit = np.bitwise_count(marks[todo] ^ marks[reached.pop()]).sum(axis=1) <= most
+            if hit.any():
+                links.append(np.stack([who[todo[hit]], np.full(int(hit.sum()), who[root])], axis=1))
+                reached += todo[hit].tolist()
+                todo = todo[~hit]
+    out = np.concatenate(links)
+    return np.unique(out[out[:, 0] != out[:, 1]], axis=0)
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block: int = 2048, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
@@ -222,16 +263,34 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
 
     def signed(batches):
         for b in batches:
-            h, who = [], []
+            h, doc, ids, marks = [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(utf8(b.column(1)), size), strict=True):
                 if i is not None and len(s):
                     h.append(levels.signatures(s))
-                    who.append(np.full(len(h[-1]), i, np.int64))
+                    doc.append(np.full(len(h[-1]), len(ids), np.int32))
+                    ids.append(i)
+                    marks.append(sketch(s))
             if h:
-                h, who = np.concatenate(h), np.concatenate(who)
+                h, doc, ids, marks = np.concatenate(h), np.concatenate(doc), np.array(ids, np.int64), np.stack(marks)
                 order = np.argsort(h)
-                h, who = h[order], who[order]
-                yield pa.RecordBatch.from_pylist([{"bucket": k, "h": h[s].tobytes(), "id": who[s].tobytes()} for k, s in dealt(h, n)], _SIGNED_ARROW)
+                h, doc, rows_ = h[order], doc[order], []
+                for k, s in dealt(h, n):  # each bucket gets the documents it needs once
+                    mine, at = np.unique(doc[s], return_inverse=True)
+                    rows_.append({"bucket": k, "h": h[s].tobytes(), "doc": at.astype(np.uint16 if len(mine) < 1 << 16 else np.uint32).tobytes(), "id": ids[mine].tobytes(), "sketch": marks[mine].tobytes()})
+                yield pa.RecordBatch.from_pylist(rows_, _SIGNED_ARROW)
+
+    apart = most_apart(percent)
+
+    def stars(table: pa.Table) -> pa.Table:
+        h, who, marks = [], [], []
+        for x in table.to_pylist():
+            ids = np.frombuffer(x["id"], np.int64)
+            at = np.frombuffer(x["doc"], np.uint16 if len(ids) < 1 << 16 else np.uint32)
+            h.append(np.frombuffer(x["h"], U64))
+            who.append(ids[at])
+            marks.append(np.frombuffer(x["sketch"], U64).reshape(-1, 2)[at])
+        link = star_links(np.concatenate(h), np.concatenate(who), np.concatenate(marks), apart)
+        return pa.table({"a": pa.array(link[:, 0], pa.int64()), "b": pa.array(link[:, 1], pa.int64())})
 
     def joined(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         one, two = key_[1].as_py(), key_[2].as_py()
@@ -244,7 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
 
     narrow = cut_lineage(rows.mapInArrow(measured, "id long, n long, digest binary"))
     classes = narrow.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    coarse = components(rows.mapInArrow(signed, _SIGNED).groupBy("bucket").applyInArrow(_stars, "a long, b long"))
+    coarse = components(rows.mapInArrow(signed, _SIGNED).groupBy("bucket").applyInArrow(stars, "a long, b long"))
     # One document of each set, with its group of candidates; groups are dealt in blocks by rank of a hash.
     gathered = classes.join(coarse, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("group"))
     sizes = gathered.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
