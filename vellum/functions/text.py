@@ -85,7 +85,7 @@ def canonical(c: Column) -> Column:
     """TXT3: ten rewrites in order that drop differences of style."""
     c = body_or_all(c)
     for pattern, by in (
-        (r"\\[dt]frac", r"\\\\frac"),
+        (r"\\[dt]frac", r"\\frac"),
         (r"\\(?:left|right|bigl|bigr|biggl|biggr|big|Big|bigg|Bigg)\b", ""),
         (r"\\(?:displaystyle|textstyle|scriptstyle)\b", ""),
         (r"(?U)\\(?:,|;|:|!|quad|qquad|enspace|thinspace|;|\s)", " "),

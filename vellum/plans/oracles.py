@@ -1 +1,173 @@
-ORACLES = {}
+"""DuckDB SQL with the same results as the queries of the library's own operators."""
+
+from __future__ import annotations
+
+from vellum.plans.fixtures import ANNOTATIONS, MODELS, PAIRS, STEPS
+
+def _ann(select: str) -> str:
+    return f"WITH {ANNOTATIONS} SELECT id, {select} FROM ann"
+
+
+def _count(c: str, piece: str) -> str:
+    return f"((length({c}) - length(replace({c}, {piece}, ''))) // length({piece}))"
+
+
+def _has(c: str, *pieces: str) -> str:
+    return "(" + " OR ".join(f"strpos({c}, {p}) > 0" for p in pieces) + ")"
+
+
+B = "chr(92)"
+_BODY = r"CASE WHEN regexp_matches(latex, '(?s)\\begin\{document\}(.*?)\\end\{document\}') THEN regexp_extract(latex, '(?s)\\begin\{document\}(.*?)\\end\{document\}', 1) ELSE latex END"
+_THINK = "list_extract(string_split_regex(regexp_replace({c}, '(?is)<think>.*?</think>', '', 'g'), '(?i)<think>'), -1)"
+
+
+def _canon(c: str) -> str:
+    doc = r"'(?s)\\begin\{document\}(.*?)\\end\{document\}'"
+    c = f"CASE WHEN regexp_matches({c}, {doc}) THEN regexp_extract({c}, {doc}, 1) ELSE {c} END"
+    for pattern, by in (
+        (r"\\[dt]frac", r"\\frac"),
+        (r"\\(?:left|right|bigl|bigr|biggl|biggr|big|Big|bigg|Bigg)\b", ""),
+        (r"\\(?:displaystyle|textstyle|scriptstyle)\b", ""),
+        (r"\\(?:,|;|:|!|quad|qquad|enspace|thinspace|;|\s)", " "),
+        (r"\\\\", " "),
+        (r"\\(?:begin|end)\{(?:align|equation|gather|displaymath|math)\*?\}", ""),
+        (r"\\[\[\]()]", ""),
+        (r"\$", ""),
+        (r"\s+", ""),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return c
+
+
+def _dollars(c: str) -> str:
+    return f"(length(replace({c}, {B} || '$', '')) - length(replace(replace({c}, {B} || '$', ''), '$', ''))) % 2 <> 0"
+
+
+def _truncated(variant: int) -> str:
+    if variant == 1:
+        brackets = f"{_count('body', B + chr(32) + '||' + chr(32) + chr(39) + '[' + chr(39))} <> {_count('body', B + ' || ' + chr(39) + ']' + chr(39))}"
+    else:
+        plain = f"replace(body, {B} || {B}, '')"
+        brackets = f"{_count(plain, B + ' || ' + chr(39) + '[' + chr(39))} <> {_count(plain, B + ' || ' + chr(39) + ']' + chr(39))}"
+    envs = f"{_count('body', B + ' || ' + chr(39) + 'begin{' + chr(39))} <> {_count('body', B + ' || ' + chr(39) + 'end{' + chr(39))}"
+    last = r"trim(regexp_extract(regexp_replace(body, '\s+$', ''), '[^\n]*$'))"
+    return rf"(regexp_replace(body, '\s+$', '') = '' OR regexp_matches({last}, '(=|\\quad|\\to|\\Rightarrow|\+|-|\\\\)\s*$') OR {_dollars('body')} OR {brackets} OR {envs})"
+
+
+_WITH_BODY = f"WITH {ANNOTATIONS}, b AS (SELECT id, latex, {_BODY} AS body FROM ann)"
+_REFUSED = _has("lower(latex)", "'please provide the image'", "'please attach'", "'no handwritten content provided'", "'i cannot see'", "'no image'", "'unable to process'")
+_FLAGS = rf"""list_filter([
+  CASE WHEN length(latex) < 300 THEN 'too_short' END, CASE WHEN length(latex) > 15000 THEN 'too_long' END,
+  CASE WHEN body <> latex AND NOT regexp_matches(body, '(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{{[^}}]+\}}.*?\\end\{{[^}}]+\}}') THEN 'no_math_detected' END,
+  CASE WHEN {_dollars('latex')} THEN 'unbalanced_dollars' END,
+  CASE WHEN {_count('latex', B + " || 'begin{'")} <> {_count('latex', B + " || 'end{'")} THEN 'unbalanced_environments' END,
+  CASE WHEN regexp_matches(latex, '(?i)\\text\{{.*?illegible.*?\}}|\\textit\{{.*?illegible.*?\}}|\[.*?illegible.*?\]') THEN 'contains_illegible_marker' END,
+  CASE WHEN strpos(lower(latex), '<think>') > 0 THEN 'contains_think_block' END], lambda x: x IS NOT NULL)"""
+_SCORES = """s AS (SELECT l_returnflag AS model, l_linenumber AS ln, (l_orderkey * 31 + l_linenumber * 17) % 1000 AS n FROM lineitem),
+r AS (SELECT model, n % 1000 / 1000.0::DOUBLE AS cer, n * 3 % 1000 / 1000.0::DOUBLE AS ncer, n * 7 % 1000 / 1000.0::DOUBLE AS charsim, n * 9 % 1000 / 1000.0::DOUBLE AS tok_err,
+  n * 11 % 1000 / 1000.0::DOUBLE AS bleu, n * 13 % 1000 / 1000.0::DOUBLE AS rouge_l, n * 17 % 1000 / 1000.0::DOUBLE AS math_f1, n * 19 % 1000 / 1000.0::DOUBLE AS chrf,
+  n * 21 % 1000 / 1000.0::DOUBLE AS len_rate, n * 23 % 1000 / 1000.0::DOUBLE AS latency_s, n % 3 = 0 AS struct, CASE WHEN ln <> 1 THEN n % 2 = 0 END AS compile_ok FROM s)"""
+_NORM = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_GRAMS = f"""WITH {PAIRS}, {MODELS}, t AS (SELECT model, id,
+  regexp_extract_all({_NORM.format(c='ref')}, '\\\\[a-zA-Z]+\\*?|\\\\.|[{{}}()\\[\\]^_&+=\\-*/<>|]|[a-zA-Z0-9]+|\\S')[1:1200] AS r,
+  regexp_extract_all({_NORM.format(c='hyp')}, '\\\\[a-zA-Z]+\\*?|\\\\.|[{{}}()\\[\\]^_&+=\\-*/<>|]|[a-zA-Z0-9]+|\\S')[1:1200] AS h FROM models)"""
+
+ORACLES: dict[str, str] = {
+    "txt1_normalize": _ann(_NORM.format(c="latex") + " AS normalized"),
+    "txt3_canonical": _ann(_canon("latex") + " AS canonical"),
+    "txt4_strip_reasoning": _ann(_THINK.format(c="latex") + " AS stripped"),
+    "txt7_truncated_v1": f"{_WITH_BODY} SELECT id, {_truncated(1)} AS truncated FROM b",
+    "txt8_truncated_v2": f"{_WITH_BODY} SELECT id, {_truncated(2)} AS truncated FROM b",
+    "txt14_strip_tokens": _ann(r"regexp_replace(regexp_replace(regexp_replace(latex, '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '<\|/?[a-z_]+\|>', '', 'g'), '!\[\]\(images/\d+\.jpg\)', '', 'g') AS kept"),
+    "txt15_body": _ann(_BODY + " AS body"),
+    "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, '(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{{[^}}]+\}}.*?\\end\{{[^}}]+\}}') END AS has_math FROM b",
+    "txt17_illegible": _ann(r"regexp_matches(latex, '(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]') AS illegible"),
+    "txt19_log_error": _ann("CASE WHEN substr(id, 8, 1) < '5' THEN '! Undefined' ELSE 'Unknown error' END AS error"),
+    "txt20_labels": _ann("'a_b_' || id AS label"),
+    "txt21_content_hash": _ann("md5(latex) AS md5, substr(md5(latex), 1, 8) AS short"),
+    "txt22_plain_panel": _ann("substr(translate(replace(latex, '$', ''), '_^', '  '), 1, 2000) AS panel"),
+    "fil4_valid_v1": _ann(f"NOT {_REFUSED} AND (length(latex) >= 200 OR {_has('latex', chr(39) + '$' + chr(39), B + ' || ' + chr(39) + '[' + chr(39), B + ' || ' + chr(39) + 'begin{' + chr(39))}) AS valid"),
+    "fil5_valid_v2": _ann(f"NOT {_REFUSED} AND strpos(lower(latex), '<think>') = 0 AND strpos(latex, {B} || 'documentclass') > 0 AND strpos(latex, {B} || 'end{{document}}') > 0 AS valid"),
+    "fil7_structure": _ann(f"strpos(latex, {B} || 'documentclass') > 0 AND strpos(latex, {B} || 'end{{document}}') > 0 AND {_count('latex', chr(39) + '{' + chr(39))} = {_count('latex', chr(39) + '}' + chr(39))} AND {_count('latex', B + ' || ' + chr(39) + 'begin' + chr(39))} = {_count('latex', B + ' || ' + chr(39) + 'end' + chr(39))} AS ok"),
+    "fil8_safe_id": _ann("substr(id, 8, 1) >= '6' AS safe"),
+    "fil12_unreviewed": _ann("substr(id, 8, 1) >= '5' AS todo"),
+    "fil6_skip_reason": _ann("CASE WHEN substr(id, 7, 2) = '07' THEN 'excluded' WHEN substr(id, 7, 2) = '11' THEN 'no_image' WHEN trim(latex) = '' THEN 'empty' WHEN length(trim(latex, ' ' || chr(10))) < 200 THEN 'too_short' WHEN " + _has("lower(latex)", "'please provide the image'", "'no handwritten content'", "'please attach'", "'i cannot see'") + " THEN 'refusal' END AS reason"),
+    "txt23_assistant": "SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS answer FROM conversations GROUP BY conv_id",
+    "txt24_error_class": "SELECT event_id, CASE WHEN event_id % 7 IN (0, 1) THEN 'backoff' WHEN event_id % 7 IN (2, 3, 4, 5) THEN 'fatal' ELSE 'retry' END AS error_class, event_id % 600 IN (429, 500, 502, 503, 504) AS retryable FROM events",
+    "met2_char_metrics": f"""WITH {PAIRS}, {MODELS}, m AS (SELECT model, id, {_NORM.format(c='ref')} AS r, {_NORM.format(c='hyp')} AS h, {_canon('ref')} AS rc, {_canon('hyp')} AS hc FROM models)
+SELECT model, id, round(levenshtein(r, h)::DOUBLE / greatest(1, length(r)), 4) AS cer, round(levenshtein(rc, hc)::DOUBLE / greatest(1, length(rc)), 4) AS ncer,
+  round(greatest(0, 1 - levenshtein(r, h)::DOUBLE / greatest(1, length(r))), 4) AS charsim, r = h AS exact, round(length(h)::DOUBLE / greatest(1, length(r)), 3) AS len_rate,
+  round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE levenshtein(r, h)::DOUBLE / length(r) END, 4) AS cer_v3 FROM m""",
+    "met10_bag_f1": f"""{_GRAMS}, rc AS (SELECT model, id, g, count(*) AS n FROM (SELECT model, id, unnest(r) AS g FROM t) GROUP BY ALL), hc AS (SELECT model, id, g, count(*) AS n FROM (SELECT model, id, unnest(h) AS g FROM t) GROUP BY ALL),
+o AS (SELECT model, id, sum(least(rc.n, hc.n)) AS o FROM rc JOIN hc USING (model, id, g) GROUP BY ALL)
+SELECT model, id, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2.0::DOUBLE * (o::DOUBLE / len(h)) * (o::DOUBLE / len(r)) / (o::DOUBLE / len(h) + o::DOUBLE / len(r)) END, 4) AS math_f1 FROM t LEFT JOIN o USING (model, id)""",
+    "met16_self_consistency": f"""WITH {PAIRS}, {MODELS}, m AS (SELECT model || '_' || id AS id, {_NORM.format(c='ref')} AS a, CASE WHEN id % 10 <> 0 THEN {_NORM.format(c='hyp')} END AS b FROM models WHERE model <> 'd'),
+c AS (SELECT id, levenshtein(a, b)::DOUBLE / greatest(1, length(a)) AS c FROM m) SELECT id, CASE WHEN c <= 0.1 THEN 'keep' ELSE 'reject' END AS verdict, round(c, 4) AS cer FROM c""",
+    "agg1_summary": f"""WITH {_SCORES} SELECT model, count(*) AS samples, round(avg(cer), 4) AS mean_cer, round(avg(ncer), 4) AS norm_cer, round(avg(charsim), 4) AS charsim, round(avg(tok_err), 4) AS tok_err, round(avg(bleu), 4) AS bleu,
+  round(avg(rouge_l), 4) AS rouge_l, round(avg(math_f1), 4) AS math_f1, round(avg(chrf), 4) AS chrf, round(avg(len_rate), 4) AS len_rate, round(median(cer), 4) AS median_cer, round(100.0::DOUBLE * count_if(struct) / count(*), 1) AS struct_pct,
+  round(100.0::DOUBLE * count_if(compile_ok) / count(compile_ok), 1) AS compile_rate, round(100.0::DOUBLE * count_if(cer < 0.1) / count(*), 1) AS cer_under_10pct, round(100.0::DOUBLE * count_if(cer < 0.3) / count(*), 1) AS cer_under_30pct, round(avg(latency_s), 2) AS avg_latency_s FROM r GROUP BY model""",
+    "agg9_improvement": f"WITH {_SCORES}, m AS (SELECT model, round(avg(cer), 4) AS c FROM r GROUP BY model) SELECT arg_min(model, (c, ascii(model))) AS best_model, round(100 * (max(c) FILTER (model = 'A') - min(c)) / greatest(1e-9, max(c) FILTER (model = 'A')), 1) AS improvement_pct FROM m",
+    "agg3_length_stats": "SELECT lang, min(length(text))::INT AS min_len, max(length(text))::INT AS max_len, (sum(length(text)) // count(*))::BIGINT AS avg_len FROM documents GROUP BY lang",
+    "agg4_issue_histogram": f"{_WITH_BODY}, f AS (SELECT unnest({_FLAGS}) AS issue FROM b) SELECT issue, count(*) AS n FROM f GROUP BY issue",
+    "arr1_quality_flags": f"""{_WITH_BODY}, f AS (SELECT id, {_FLAGS} AS f, min(id) OVER (PARTITION BY md5(latex)) AS first FROM b)
+SELECT id, array_to_string(CASE WHEN first <> id THEN list_append(f, 'duplicate_of_' || first) ELSE f END, ',') AS issues, first = id AND len(list_filter(f, lambda x: x <> 'contains_illegible_marker')) = 0 AS passed FROM f""",
+    "agg5_verdict_tally": """WITH v AS (SELECT source, lpad(doc_id::VARCHAR, 8, '0') AS id, CASE doc_id % 7 WHEN 0 THEN 'NO' WHEN 1 THEN '?' WHEN 2 THEN 'ERR timeout' ELSE 'YES' END AS v FROM documents)
+SELECT source, count_if(v = 'YES')::BIGINT AS n_yes, count_if(v = 'NO')::BIGINT AS n_no, count_if(v = '?' OR starts_with(v, 'ERR'))::BIGINT AS n_err, round(count_if(v = 'NO')::DOUBLE / greatest(1, count_if(v IN ('YES', 'NO'))), 4) AS no_share, coalesce(string_agg(CASE WHEN v = 'NO' THEN id END, ',' ORDER BY id), '') AS no_pages FROM v GROUP BY source""",
+    "agg7_progress": "WITH d AS (SELECT lang, count(*) AS total, count_if(doc_id % 3 = 0)::BIGINT AS done FROM documents GROUP BY lang) SELECT lang, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 1) AS pct, (done * 40 // total)::INT AS bar FROM d",
+    "agg8_dry_run": "WITH d AS (SELECT doc_id % 5 <> 0 AS ok, doc_id % 40 / 4.0::DOUBLE AS s, n_chars AS c FROM documents) SELECT count_if(ok)::BIGINT AS n_ok, round(avg(s) FILTER (ok), 3) AS avg_seconds, round(avg(c) FILTER (ok), 1) AS avg_chars, round(avg(s) FILTER (ok) * 1000, 1) AS projected_seconds FROM d",
+    "win4_split": "SELECT doc_id, CASE WHEN rn <= n * 9 // 10 THEN 'train' WHEN rn <= n * 9 // 10 + n * 5 // 100 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)",
+    "agg10_split_sizes": "WITH s AS (SELECT doc_id, CASE WHEN rn <= n * 9 // 10 THEN 'train' WHEN rn <= n * 9 // 10 + n * 5 // 100 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)) SELECT split, count(*) AS n, count_if(doc_id % 3 = 0)::BIGINT AS n_blanked FROM s GROUP BY split",
+    "agg11_char_counts": "SELECT sum(length(text))::BIGINT AS chars, count_if(trim(text) = '')::BIGINT AS n_blank, count_if(trim(text) <> '')::BIGINT AS n_filled, count_if(doc_id % 9 = 0)::BIGINT AS n_held_out FROM documents",
+    "agg13_funnel": "WITH c AS (SELECT 0 AS ord, 'all' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'long', count(*) FROM documents WHERE n_chars >= 200 UNION ALL SELECT 2, 'english', count(*) FROM documents WHERE n_chars >= 200 AND lang = 'en') SELECT ord, stage, n, round(100.0::DOUBLE * n / (SELECT n FROM c WHERE ord = 0), 1) AS pct FROM c",
+    "agg14_mean_loss": "SELECT round(avg(value) FILTER (event_id % 10 <> 0), 6) AS val_loss, count(value) FILTER (event_id % 10 <> 0) AS n FROM events",
+    "win1_duplicate_of": "SELECT doc_id AS id, CASE WHEN f <> doc_id THEN f END AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS f FROM documents)",
+    "fil1_size_router": "SELECT doc_id, CASE WHEN octet_length(encode(text)) < 2048 THEN 'blank' ELSE 'content' END AS bucket FROM documents",
+    "fil9_freshness": "SELECT event_id, epoch_us(m) - epoch_us(ts) < 86400000000 AS fresh, epoch_us(ts) >= epoch_us(m) - 5000000 AS since FROM events, (SELECT max(ts) AS m FROM events)",
+    "fil10_completeness": "SELECT doc_id, doc_id % 4 > 0 AND (doc_id % 3 = 0 OR doc_id % 2 = 0) AS complete, octet_length(encode(text)) >= 50 AS done FROM documents",
+    "fil14_first_n": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50",
+    "fil15_seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('42' || doc_id), doc_id LIMIT 20",
+    "fil17_prefilter": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE md5(text) END AS output, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars / 100.0::DOUBLE END AS latency_s FROM documents",
+    "fil18_uploads": "SELECT 'upload_' || event_id AS name FROM events WHERE event_id % 3 = 0",
+    "joi1_pending": "SELECT doc_id AS id FROM documents WHERE doc_id % 5 = 0",
+    "joi2_pending_two": "SELECT doc_id AS id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0",
+    "joi3_with_partner": "SELECT doc_id AS id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "joi4_minus_excluded": "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "joi5_blank_members": "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '' ELSE substr(text, 1, 40) END AS answer FROM documents",
+    "joi6_lookup": "SELECT d.doc_id AS id, coalesce(quality::VARCHAR, '?') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "joi7_score_pairs": f"WITH {PAIRS} SELECT id, length(ref)::INT AS n_ref, length(hyp)::INT AS n_hyp FROM pairs WHERE id % 3 > 0",
+    "joi8_missing": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "joi9_page_by_model": f"WITH {PAIRS}, {MODELS} SELECT id, " + ", ".join(f"max(md5(hyp)) FILTER (model = '{m}') AS {m}_tex, max(coalesce(compile_ok, false)) FILTER (model = '{m}') AS {m}_pdf, max(latency_s) FILTER (model = '{m}')::DOUBLE AS {m}_latency_s" for m in "abcd") + " FROM models GROUP BY id",
+    "joi10_resume": "SELECT 0 AS ord, 'filter' AS stage, 0::BIGINT AS missing UNION ALL SELECT 1, 'deskew', count(*) FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 2, 'convert', count(*) FROM documents WHERE doc_id % 5 <> 0",
+    "joi11_all_ids": "SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels",
+    "joi13_requeue": f"{_WITH_BODY} SELECT id, CASE WHEN NOT {_truncated(2)} THEN 'rescued' WHEN substr(id, 8, 1) < '6' THEN 'requeue' ELSE 'missing' END AS status FROM b WHERE {_truncated(1)}",
+    "joi14_split_leaks": "SELECT doc_id AS id, 2::BIGINT AS n_splits, CASE WHEN doc_id % 14 = 0 THEN 2 ELSE 1 END::BIGINT AS dup FROM documents WHERE doc_id % 7 = 0",
+    "ups1_last_wins": "SELECT user_id AS id, max(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+    "ups2_replace_by_spec": "SELECT o_orderstatus AS spec, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 3 = 0",
+    "ups3_insert_or_refresh": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v FROM orders",
+    "snk8_merge_progress": "SELECT doc_id, doc_id + 1 AS done, n_chars AS total, 0::BIGINT AS failed FROM documents",
+    "win2_manifest_ids": "WITH s AS (SELECT s_name AS name, s_suppkey AS num FROM supplier), t AS (SELECT max(num) AS m FROM s WHERE num % 2 = 0), r AS (SELECT name, row_number() OVER (ORDER BY name) + m AS num FROM s, t WHERE s.num % 2 <> 0) SELECT name, num::BIGINT AS num, 'page_' || lpad(num::VARCHAR, 5, '0') AS id FROM r",
+    "win6_running": f"""WITH {STEPS}, w AS (SELECT user_id, step, (us - lag(us) OVER o) / 1e6 AS s, min(loss) OVER o AS best, avg(loss) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, avg(loss) OVER (o ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS b, avg(loss) OVER (o ROWS UNBOUNDED PRECEDING) * (1000 - step) AS eta FROM steps WINDOW o AS (PARTITION BY user_id ORDER BY step))
+SELECT user_id, step, round(s, 3) AS seconds, best, CASE WHEN step >= 6 THEN CASE WHEN a < b THEN 'down' WHEN a > b THEN 'up' ELSE 'flat' END END AS trend, round(eta, 6) AS eta FROM w""",
+    "win9_bounded_history": f"WITH {STEPS} SELECT user_id, step, loss FROM steps QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) <= 5",
+    "win11_progress": "WITH d AS (SELECT o_orderkey, o_orderkey % 100 AS p, o_orderkey % 7 AS b, (o_orderkey % 11)::DOUBLE AS e FROM orders), r AS (SELECT *, CASE WHEN e > 0 AND p > b THEN (p - b) / e END AS rate FROM d) SELECT o_orderkey, round(rate, 2) AS items_per_sec, round((200 - p) / rate, 0) AS eta_seconds, round(100.0::DOUBLE * p / 200, 1) AS pct FROM r",
+    "win12_batches": "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, rn, (rn - 1) // 4 AS batch, (rn - 1) % 3 AS key, 'page_' || lpad(rn::VARCHAR, 5, '0') AS page FROM n",
+    "win16_backoff": "SELECT i AS step, least(60 * pow(2.0::DOUBLE, least(i, 4) - 1), 300) AS wait, pow(2.0::DOUBLE, i) + 1 AS http_wait, chr((96 + i)::INT) AS letter FROM range(1, 9) r(i)",
+    "arr4_finite": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM events",
+    "arr5_key_list": "SELECT doc_id, 'a|b|' || source AS keys FROM documents",
+    "img5_sizes": """WITH p AS (SELECT p_partkey, (p_partkey * 37 % 3000 + 1)::INT AS h, (p_partkey * 53 % 2500 + 1)::INT AS w FROM part), q AS (SELECT *, greatest(h, w) AS big, sqrt(1204224.0::DOUBLE / (h::DOUBLE * w)) AS k, abs(sin(radians(3.0::DOUBLE))) AS s, abs(cos(radians(3.0::DOUBLE))) AS c FROM p)
+SELECT p_partkey, CASE WHEN big <= 2048 THEN h ELSE floor(h * 2048.0::DOUBLE / big) END::INT AS side_h, CASE WHEN big <= 2048 THEN w ELSE floor(w * 2048.0::DOUBLE / big) END::INT AS side_w,
+  CASE WHEN h * w <= 1204224 THEN h ELSE greatest(1, round_even(h * k, 0)) END::INT AS budget_h, CASE WHEN h * w <= 1204224 THEN w ELSE greatest(1, round_even(w * k, 0)) END::INT AS budget_w, floor(h * c + w * s)::INT AS rot_h, floor(h * s + w * c)::INT AS rot_w FROM q""",
+    "src9_file_totals": "SELECT count(*) AS n_files, round(sum(n_chars) / 1048576.0::DOUBLE, 1) AS size_mb FROM documents",
+    "src10_inventory": "SELECT source AS folder, count_if(doc_id % 4 = 0)::BIGINT AS images, count_if(doc_id % 4 = 1)::BIGINT AS tex, count_if(doc_id % 4 = 2)::BIGINT AS json, count(*) AS total FROM documents GROUP BY source",
+    "src12_latest_checkpoint": "SELECT 'checkpoint-' || max(o_orderkey) FILTER (o_orderkey % 3 = 0 AND 520000 + o_orderkey % 10000 >= 524288) AS name FROM orders",
+    "src13_newest": "SELECT arg_max(event_type, (ts, event_type)) AS path FROM events",
+    "src14_log_tail": "SELECT event_id AS line, event_type FROM events ORDER BY event_id DESC LIMIT 20",
+    "src15_log_after": "SELECT event_id AS id, event_type FROM events WHERE event_id > 900",
+    "src17_data_url": "SELECT doc_id, 'data:image/jpeg;base64,' || to_base64(encode(substr(text, 1, 100))) AS url FROM documents",
+    "snk2_json_report": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""",
+    "str5_resume_plan": "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'generate' WHEN doc_id % 3 = 0 OR doc_id % 2 <> 0 THEN 'metrics' ELSE 'done' END AS need FROM documents",
+    "str6_changes": "SELECT user_id, event_type AS state, event_id AS ord FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type",
+    "str8_liveness": "SELECT user_id AS source, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 3600000000 AS alive FROM events GROUP BY user_id",
+    "str9_idle_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
+}

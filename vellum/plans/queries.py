@@ -401,12 +401,10 @@ def win5_ema(spark, sf_dir):
     return s.select("user_id", F.round(windows.ema(F.col("v")), 6).alias("ema"), F.round(windows.ema(F.col("v"), 0.85), 6).alias("ema_slow"))
 
 
-_BY_USER = Window.partitionBy("user_id").orderBy("step")
-
-
 @query
 def win6_running(spark, sf_dir):
-    return steps(spark, sf_dir).select("user_id", "step", F.round(windows.step_seconds(F.col("us"), F.col("step"), _BY_USER) / 1e6, 3).alias("seconds"), windows.running_best(F.col("loss"), _BY_USER).alias("best"), windows.loss_trend(F.col("loss"), _BY_USER).alias("trend"), F.round(windows.running_eta(F.col("loss"), 1000 - F.col("step"), _BY_USER), 4).alias("eta"))
+    by_user = Window.partitionBy("user_id").orderBy("step")
+    return steps(spark, sf_dir).select("user_id", "step", F.round(windows.step_seconds(F.col("us"), F.col("step"), by_user) / 1e6, 3).alias("seconds"), windows.running_best(F.col("loss"), by_user).alias("best"), windows.loss_trend(F.col("loss"), by_user).alias("trend"), F.round(windows.running_eta(F.col("loss"), 1000 - F.col("step"), by_user), 6).alias("eta"))
 
 
 @query
