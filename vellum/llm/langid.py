@@ -92,7 +92,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return df, n
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-6, seed: int = 5) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-6, seed: int = 5) -> np.ndarray:
     """Weights (buckets, classes) by FTRL-proximal with L1 and L2 penalties; rows are (buckets, values)."""
     z, n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
 
@@ -147,7 +147,7 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, p.max(axis=1), 0.0).tolist()
 
 
-def fit(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+def fit(labelled: DataFrame, sample: int = 3000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model from the rows with a text and a language; None if there is none. sample: rows that are fitted, held by the driver as sparse counts."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(usable, text)
@@ -160,8 +160,9 @@ def fit(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str
             out = []
             for at, part in portions(utf8(b.column(1))):
                 f, owner, _ = features(part)
+                f, edge = f[np.argsort(owner, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(part)))))
                 for i in range(len(part)):
-                    x, c = np.unique(f[owner == i], return_counts=True)
+                    x, c = np.unique(f[edge[i] : edge[i + 1]], return_counts=True)
                     out.append({"lang": b.column(0)[at + i].as_py(), "f": x.astype(np.uint32).tobytes(), "c": c.astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("f", pa.binary()), ("c", pa.binary())]))
 
