@@ -111,6 +111,30 @@ class Scanner:
         order = np.argsort(self.pair, kind="stable")
         self.pair, self.owner = self.pair[order], self.owner[order]
         self.coverage = coverage
+        # A fit of n words lies in a span of 5/4 n + 2. Each word that either side skips parts at most one pair of
+        # neighbours, so the span holds at least so many different pairs of the template.
+        self.span = [n + n // 4 + 2 for n in map(len, self.words)]
+        self.need = [max(1, int(n * (3 * coverage - 2.25)) - 3 - (n - 1 - len(p))) for n, p in zip(map(len, self.words), pairs, strict=True)]
+
+    def _dense(self, hits: list[tuple[int, int]], o: int) -> list[int]:
+        """Of (position, pair) in order: the positions that lie in a span with enough different pairs."""
+        need, span = self.need[o], self.span[o]
+        if need == 1:
+            return [p for p, _ in hits]
+        held: dict[int, int] = {}
+        out: dict[int, None] = {}
+        lo = 0
+        for hi, (p, q) in enumerate(hits):
+            held[q] = held.get(q, 0) + 1
+            while p - hits[lo][0] > span:
+                old = hits[lo][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                lo += 1
+            if len(held) >= need:
+                out.update((x, None) for x, _ in hits[max(lo, 0) : hi + 1])
+        return list(out)
 
     def scan(self, texts: list[bytes]):
         """(text's index, template, coverage, first word, word behind the last) of each license found."""
@@ -118,7 +142,11 @@ class Scanner:
         g, ok = windows(t.h, 2), within(t.doc, 2)
         lo, hi = np.searchsorted(self.pair, g, "left"), np.searchsorted(self.pair, g, "right")
         hit = np.flatnonzero(ok & (hi > lo))
-        seen = sorted((int(t.doc[p]), int(self.owner[q]), int(p)) for p in hit for q in range(lo[p], hi[p]))
+        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for p in hit.tolist():
+            for q in range(lo[p], hi[p]):
+                by.setdefault((int(t.doc[p]), int(self.owner[q])), []).append((p, q))
+        seen = [(d, o, p) for (d, o), hits in sorted(by.items()) for p in self._dense(hits, o)]
         k = 0
         while k < len(seen):
             d, o, p = seen[k]
@@ -144,8 +172,14 @@ class Scanner:
         """Where the template may begin: at a word of its first quarter, no two starts within one template's length once it fits."""
         head = set(self.words[o][: max(1, len(self.words[o]) // 4)])
         at, size = 0, len(self.words[o])
+        every, known = set(self.words[o]), [0]
+        for w in region:
+            known.append(known[-1] + (w in every))
+        least = self.coverage * size
         while at < len(region):
-            if region[at] in head and len(patience(self.words[o], region[at : at + size + size // 4 + 2])) >= self.coverage * size:
+            # No more words can align than are the template's at all.
+            able = known[min(at + size + size // 4 + 2, len(region))] - known[at] >= least
+            if able and region[at] in head and len(patience(self.words[o], region[at : at + size + size // 4 + 2])) >= self.coverage * size:
                 yield at
                 at += size
             else:
