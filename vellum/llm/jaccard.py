@@ -197,6 +197,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 _SIGNED = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("h", "doc", "id", "sketch"))])
 _SIGNED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("h", "doc", "id", "sketch"))])
+_LINKS_ARROW = pa.schema([("bucket", pa.int32()), ("links", pa.binary())])
 _BITS = 128
 
 
@@ -290,6 +291,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
             who.append(ids[at])
             marks.append(np.frombuffer(x["sketch"], U64).reshape(-1, 2)[at])
         link = star_links(np.concatenate(h), np.concatenate(who), np.concatenate(marks), apart)
+        place = mix(link[:, 0].astype(U64))
+        order = np.argsort(place)
+        link = link[order]
+        return pa.Table.from_pylist([{"bucket": k, "links": link[s].tobytes()} for k, s in dealt(place[order], n)], _LINKS_ARROW)
+
+    def told_once(table: pa.Table) -> pa.Table:
+        link = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("links").to_pylist()]).reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(link[:, 0], pa.int64()), "b": pa.array(link[:, 1], pa.int64())})
 
     def joined(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -303,7 +311,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
 
     narrow = cut_lineage(rows.mapInArrow(measured, "id long, n long, digest binary"))
     classes = narrow.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    coarse = components(rows.mapInArrow(signed, _SIGNED).groupBy("bucket").applyInArrow(stars, "a long, b long"))
+    # A pair that shares many parts is found in many buckets: their links meet by node, and each goes on once.
+    found = rows.mapInArrow(signed, _SIGNED).groupBy("bucket").applyInArrow(stars, "bucket int, links binary")
+    coarse = components(found.groupBy("bucket").applyInArrow(told_once, "a long, b long"))
     # One document of each set, with its group of candidates; groups are dealt in blocks by rank of a hash.
     gathered = classes.join(coarse, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("group"))
     sizes = gathered.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
