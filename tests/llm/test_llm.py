@@ -96,8 +96,9 @@ def components_by_force(rows, k, percent):
     return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("k,percent,block", [(4, 85, 2048), (5, 80, 2048), (4, 85, 3)])
-def test_jaccard_components_are_brute_force(docs, k, percent, block):
+@pytest.mark.parametrize("k,percent,block,pivots", [(4, 85, 2048, 64), (5, 80, 3, 64), (4, 85, 3, 1), (5, 80, 2, 0)])
+def test_jaccard_components_are_brute_force(docs, monkeypatch, k, percent, block, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     got = jaccard.jaccard_components(docs, size=k, percent=percent, block=block)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == components_by_force(corpus(), k, percent)
 

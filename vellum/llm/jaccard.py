@@ -10,9 +10,13 @@ names each document's connected component of links; no pairs are written out.
    (a bit of the least hash in each of 128 ranges) differ in few bits. The limit is set so that a pair
    at the threshold fails it with a probability below 1e-12 (Chernoff's bound), less than two hashes
    colliding. Candidates are written as stars around the least id and not as pairs.
+   A set is named by a hash of its shingles here, so all its copies are one candidate.
 2. the candidates' connected components are gathered. Documents with the same set are represented by
    the least id. A component larger than ``block`` sets (or 1024 times as many shingles) is cut into
-   blocks, and each pair of blocks is joined on its own, so no task holds an unbounded group.
+   blocks, so no task holds an unbounded group. Each block is joined on its own first, together with
+   some ``PIVOTS`` sets that go to all blocks of the group: links through them hold most of the group
+   together. Then only sets outside the group's largest component so far meet the other blocks, as two
+   sets that are known to hang together need no further link.
 3. the sets of a task are ordered by one global order of shingles, most common first, and kept in a
    prefix tree whose edges hold runs of shingles. Each set walks the tree once, sharing the overlap
    of common prefixes; a subtree goes where the lengths that remain can't reach the threshold, or
@@ -37,6 +41,8 @@ from vellum.llm.kit import U64, Words, cut_lineage, dealt, mix, portions, shard_
 
 #: Parts beyond those that the pigeonhole needs; so many empty parts may a set have before it sends them, too.
 _SPARE = 3
+#: Sets of a group of several blocks that go to each of them, on average; any number gives the same result.
+PIVOTS = 64
 
 
 def shingle_sets(texts, size: int):
@@ -167,28 +173,33 @@ class PrefixTree:
         return found
 
 
-def tree_links(ids: list[int], sets: list[np.ndarray], percent: int, build: int | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the sets' links connect. build: only the first so many go into the tree, the rest walk it."""
+def tree_links(ids: list[int], sets: list[np.ndarray], percent: int, build: int | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the sets' links connect. build: only the first so many go into the tree, the rest walk it. known: sets of one value are connected already."""
     if not sets:
         return []
     words, count = np.unique(np.concatenate(sets), return_counts=True)
     rank = np.empty(len(words), np.int64)
     rank[np.lexsort((words, -count))] = np.arange(len(words))
-    tree, out = PrefixTree(percent, len(words)), []
+    tree, out, at, lead = PrefixTree(percent, len(words)), [], {}, {}
     ranked = [np.sort(rank[np.searchsorted(words, s)]) for s in sets]
     first = range(len(sets)) if build is None else range(build)
     for i in sorted(first, key=lambda i: (len(sets[i]), ids[i])) + list(range(len(first), len(sets))):
         k = tree.add(len(ranked[i]))
+        if known is not None:
+            tree.parent[k] = tree.find(lead.setdefault(known[i], k))
         if build is None or i >= build:
             out += [(ids[i], at[j]) for j in tree.link(ranked[i], k)] if k else []
-        if k == 0:
-            at = {}
         at[k] = ids[i]
         if build is None or i < build:
             tree.insert(ranked[i], k)
     return out
 
 
+def _node(s: np.ndarray) -> int:
+    """A set's name among the candidates."""
+    return int(mix(s).sum(dtype=U64).astype(np.int64))
+
+
 def _digest(s: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         a = mix(s)
@@ -260,16 +271,19 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
     def measured(batches):
         for b in batches:
             sets = list(shingle_sets(utf8(b.column(1)), size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_node(s) for s in sets], pa.int64())], ["id", "n", "digest", "name"])
 
     def signed(batches):
+        sent = set()  # of this task; copies in other tasks meet in the bucket
         for b in batches:
             h, doc, ids, marks = [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(utf8(b.column(1)), size), strict=True):
-                if i is not None and len(s):
+                node = _node(s) if i is not None and len(s) else None
+                if node is not None and node not in sent:
+                    sent.add(node)
                     h.append(levels.signatures(s))
                     doc.append(np.full(len(h[-1]), len(ids), np.int32))
-                    ids.append(i)
+                    ids.append(node)
                     marks.append(sketch(s))
             if h:
                 h, doc, ids, marks = np.concatenate(h), np.concatenate(doc), np.array(ids, np.int64), np.stack(marks)
@@ -300,29 +314,52 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, block:
         link = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("links").to_pylist()]).reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(link[:, 0], pa.int64()), "b": pa.array(link[:, 1], pa.int64())})
 
-    def joined(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        one, two = key_[1].as_py(), key_[2].as_py()
-        side = table.column("block").to_pylist()
+    def links_of(table: pa.Table, first: list[bool] | None, known: list[int] | None) -> pa.Table:
+        """first: the sets that go into the tree."""
         ids, texts = table.column("id").to_pylist(), utf8(table.column("text"))
-        order = sorted(range(len(ids)), key=lambda i: (side[i] != one, ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (first is not None and not first[i], ids[i]))
         sets = list(shingle_sets([texts[i] for i in order], size))
-        links = tree_links([ids[i] for i in order], sets, percent, None if one == two else sum(s == one for s in side))
+        links = tree_links([ids[i] for i in order], sets, percent, None if first is None else sum(first), known and [known[i] for i in order])
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    narrow = cut_lineage(rows.mapInArrow(measured, "id long, n long, digest binary"))
-    classes = narrow.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
+    def within_block(table: pa.Table) -> pa.Table:
+        return links_of(table, None, None)
+
+    def across(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        one, two = key_[1].as_py(), key_[2].as_py()
+        first = None if one == two else [x == one for x in table.column("unit").to_pylist()]
+        return links_of(table, first, table.column("part").to_pylist())
+
+    narrow = cut_lineage(rows.mapInArrow(measured, "id long, n long, digest binary, name long"))
+    classes = narrow.where("n > 0 and id is not null").groupBy("digest", "n", "name").agg(F.min("id").alias("rep"))
     # A pair that shares many parts is found in many buckets: their links meet by node, and each goes on once.
     found = rows.mapInArrow(signed, _SIGNED).groupBy("bucket").applyInArrow(stars, "bucket int, links binary")
     coarse = components(found.groupBy("bucket").applyInArrow(told_once, "a long, b long"))
     # One document of each set, with its group of candidates; groups are dealt in blocks by rank of a hash.
-    gathered = classes.join(coarse, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("group"))
+    gathered = classes.join(coarse.select(F.col("node").alias("name"), F.col("component").alias("group")), "name").select("rep", "n", "group")
     sizes = gathered.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(block * 1024))).cast("int")
     placed = gathered.join(sizes, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("one"), F.greatest(j, F.col("block")).alias("two")))))
-    tasks = placed.join(rows, placed["rep"] == rows["id"]).select("group", "task.one", "task.two", "block", "id", "text")
-    links = tasks.groupBy("group", "one", "two").applyInArrow(joined, "a long, b long")
-    exact = components(links)
+    everywhere = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("members")) < PIVOTS
+    # The candidates' texts are fetched once: later joins move these alone.
+    held = cut_lineage(placed.join(rows, placed["rep"] == rows["id"]).select("group", "members", "blocks", "block", "rep", "text"))
+    tasks = held.select("group", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("task"), F.col("rep").alias("id"), "text")
+    exact = components(tasks.groupBy("group", "task").applyInArrow(within_block, "a long, b long"))
+    # Groups of several blocks: sets outside the largest component so far meet all other blocks.
+    parts = placed.where("blocks > 1").join(exact, F.col("rep") == F.col("node"), "left").select("group", "rep", "n", "blocks", "block", F.coalesce("component", "rep").alias("part"))
+    parts = cut_lineage(parts)
+    if not parts.isEmpty():
+        counted = parts.groupBy("group", "part").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        rest = counted.groupBy("group").agg(F.max(F.struct("members", "part", "shingles")).alias("major"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"))
+        units = F.greatest(F.ceil((F.col("members") - F.col("major.members")) / F.lit(block)), F.ceil((F.col("shingles") - F.col("major.shingles")) / F.lit(block * 1024))).cast("int")
+        rest = rest.select("group", F.col("major.part").alias("major"), units.alias("units")).where("units > 0")
+        minor = F.col("part") != F.col("major")
+        dealt_out = parts.join(rest, "group").withColumn("unit", F.when(minor, F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("units"))).otherwise(F.col("block")).cast("int"))
+        others = F.when(minor, F.sequence(F.lit(0), F.col("blocks") + F.col("units") - 1)).otherwise(F.sequence(F.col("blocks"), F.col("blocks") + F.col("units") - 1))
+        dealt_out = dealt_out.withColumn("task", F.explode(F.transform(others, lambda j: F.struct(F.least(j, F.col("unit")).alias("one"), F.greatest(j, F.col("unit")).alias("two")))))
+        crossing = dealt_out.join(held.where("blocks > 1").select(F.col("rep").alias("id"), "text"), F.col("rep") == F.col("id")).select("group", "task.one", "task.two", "unit", "part", "id", "text")
+        more = crossing.groupBy("group", "one", "two").applyInArrow(across, "a long, b long")
+        exact = components(exact.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(exact, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # Rows of one id with several sets (repeated ids) hold their sets together.
     out = narrow.join(named, "digest", "left")
