@@ -47,7 +47,7 @@ LATEX = "CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN {sql_text(a)} || body ||
 
 def body_sql(engine: str) -> str:
     every = ", 'g'" if engine == "duckdb" else ""
-    return f"substr(regexp_replace(coalesce(text, ''), '[^ -~]+', ' '{every}), 1, 400)"
+    return f"regexp_replace(coalesce(text, ''), '[^ -~]+', ' '{every})"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
