@@ -132,7 +132,7 @@ SELECT source, count_if(v = 'YES')::BIGINT AS n_yes, count_if(v = 'NO')::BIGINT
     "joi2_pending_two": "SELECT doc_id AS id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0",
     "joi3_with_partner": "SELECT doc_id AS id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "joi4_minus_excluded": "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "joi5_blank_members": "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '' ELSE substr(text, 1, 40) END AS answer FROM documents",
+    "joi5_blank_members": "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '' ELSE text END AS answer FROM documents",
     "joi6_lookup": "SELECT d.doc_id AS id, coalesce(quality::VARCHAR, '?') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)",
     "joi7_score_pairs": f"WITH {PAIRS} SELECT id, length(ref)::INT AS n_ref, length(hyp)::INT AS n_hyp FROM pairs WHERE id % 3 > 0",
     "joi8_missing": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -163,7 +163,7 @@ SELECT p_partkey, CASE WHEN big <= 2048 THEN h ELSE floor(h * 2048.0::DOUBLE / b
     "src13_newest": "SELECT arg_max(event_type, (ts, event_type)) AS path FROM events",
     "src14_log_tail": "SELECT event_id AS line, event_type FROM events ORDER BY event_id DESC LIMIT 20",
     "src15_log_after": "SELECT event_id AS id, event_type FROM events WHERE event_id > 900",
-    "src17_data_url": "SELECT doc_id, 'data:image/jpeg;base64,' || to_base64(encode(substr(text, 1, 100))) AS url FROM documents",
+    "src17_data_url": "SELECT doc_id, 'data:image/jpeg;base64,' || to_base64(encode(text)) AS url FROM documents",
     "snk2_json_report": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""",
     "str5_resume_plan": "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'generate' WHEN doc_id % 3 = 0 OR doc_id % 2 <> 0 THEN 'metrics' ELSE 'done' END AS need FROM documents",
     "str6_changes": "SELECT user_id, event_type AS state, event_id AS ord FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type",

@@ -55,7 +55,7 @@ _texts("txt19_log_error", error=lambda c: X.first_log_error(F.concat(c, F.when(F
 _texts("txt20_labels", label=lambda c: X.safe_label(X.model_label(F.concat(F.lit("runs/a b "), F.col("id"), F.when(F.substring("id", 8, 1) < "5", "/final").otherwise("")))))
 _texts("txt21_content_hash", md5=X.content_hash, short=lambda c: X.content_hash(c, 8))
 _texts("txt22_plain_panel", panel=X.plain_panel)
-_texts("txt26_messages", request=lambda c: F.to_json(X.messages("Transcribe.", F.substring(c, 1, 30))))
+_texts("txt26_messages", request=lambda c: F.to_json(X.messages("Transcribe.", c)))
 _texts("fil4_valid_v1", valid=relational.valid_response_v1)
 _texts("fil5_valid_v2", valid=relational.valid_response)
 _texts("fil7_structure", ok=metrics.structure_ok)
@@ -305,7 +305,7 @@ def joi4_minus_excluded(spark, sf_dir):
 
 @query
 def joi5_blank_members(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), arrays.conversation("Transcribe.", F.substring("text", 1, 40)).alias("conversations"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), arrays.conversation("Transcribe.", F.col("text")).alias("conversations"))
     out = relational.blank_members(d, load(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")))
     return out.select("id", F.element_at("conversations", 2)["content"].alias("answer"))
 
@@ -483,13 +483,14 @@ def img5_sizes(spark, sf_dir):
 
 @query
 def fil3_page_features(spark, sf_dir):
-    """Pages drawn from the documents' bytes: 48 x 64 pixels, dark where a byte is odd and below a limit."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.rpad(F.encode(F.regexp_replace(F.substring("text", 1, 3072), "[^ -~]", " "), "UTF-8"), 3072, F.lit(b" ")).alias("g"))
-    return _features(d)
+    """Pages drawn from the documents' bytes: 64 pixels wide, 48 high or as high as the whole text needs, dark where a byte is odd and below a limit."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " "), "UTF-8").alias("t"))
+    d = d.select("id", "t", F.greatest(F.lit(48), F.ceil(F.octet_length("t") / 64)).cast("int").alias("height"))
+    return _features(d.select("id", "height", F.expr("rpad(t, height * 64, X'20')").alias("g")))
 
 
 def _features(d: DataFrame) -> DataFrame:
-    rows = d.select("id", F.concat("g", "g", "g").alias("data"), F.lit(48).alias("height"), F.lit(64).alias("width"))
+    rows = d.select("id", F.concat("g", "g", "g").alias("data"), "height", F.lit(64).alias("width"))
     m = rows.select("id", images.page_features("data", "height", "width").alias("m")).select("id", "m.*")
     return m.withColumn("kind", images.page_kind(F.col("ink"), F.col("words")))
 
@@ -532,7 +533,7 @@ def src15_log_after(spark, sf_dir):
 
 @query
 def src17_data_url(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", X.image_url(F.encode(F.substring("text", 1, 100), "UTF-8"), F.lit("a/b.JPG")).alias("url"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.image_url(F.encode("text", "UTF-8"), F.lit("a/b.JPG")).alias("url"))
 
 
 @query
