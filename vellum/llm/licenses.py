@@ -3,7 +3,8 @@
 Every document is scanned for pairs of neighbouring words of the templates; where some lie close
 together, the region around them is aligned with the template: words unique to both sides anchor the
 alignment, the longest increasing sequence of anchors is kept, and the gaps between are aligned the same
-way. The share of the template's words that align is its coverage.
+way. The share of the template's words that align is its coverage. A short template can fit without a pair of
+neighbours, so its regions are the spans that hold enough of its single words.
 
 Words are lower-cased runs of letters and digits. Null or empty text: no rows. Templates are a
 parameter of at most MAX_TEMPLATE_WORDS words in all; they travel with the tasks.
@@ -114,12 +115,21 @@ class Scanner:
         # A fit of n words lies in a span of 5/4 n + 2. Each word that either side skips parts at most one pair of
         # neighbours, so the span holds at least so many different pairs of the template.
         self.span = [n + n // 4 + 2 for n in map(len, self.words)]
-        self.need = [max(1, int(n * (3 * coverage - 2.25)) - 3 - (n - 1 - len(p))) for n, p in zip(map(len, self.words), pairs, strict=True)]
+        self.need = [int(n * (3 * coverage - 2.25)) - 3 - (n - 1 - len(p)) for n, p in zip(map(len, self.words), pairs, strict=True)]
+        # The least number of words of a fit; one of the first size - least + 1 words is among them.
+        self.least = [next((k for k in range(n + 1) if k >= coverage * n), n + 1) for n in map(len, self.words)]
+        self.head = [set(w[: max(1, len(w) // 4, len(w) - k + 1)]) for w, k in zip(self.words, self.least, strict=True)]
+        self.short = [o for o, n in enumerate(self.need) if n < 1 and self.words[o]]
+        long = ~np.isin(self.owner, self.short)
+        self.pair, self.owner = self.pair[long], self.owner[long]
+        self.vocabulary = np.unique(np.concatenate([np.empty(0, U64), *(words[o] for o in self.short)]))
+        self.member = {o: np.append(np.isin(self.vocabulary, words[o]), False) for o in self.short}
+        self.first = {o: np.append(np.isin(self.vocabulary, np.array(sorted(self.head[o]), U64)), False) for o in self.short}
 
     def _dense(self, hits: list[tuple[int, int]], o: int) -> list[int]:
         """Of (position, pair) in order: the positions that lie in a span with enough different pairs."""
         need, span = self.need[o], self.span[o]
-        if need == 1:
+        if need <= 1:
             return [p for p, _ in hits]
         held: dict[int, int] = {}
         out: dict[int, None] = {}
@@ -158,6 +168,25 @@ class Scanner:
             last = min(int(t.first[d + 1]), seen[end][2] + 2 + size)
             yield from self._in(t.h[first:last].tolist(), first - int(t.first[d]), d, o)
             k = end + 1
+        if self.short and len(t.h):
+            yield from self._scan_short(t)
+
+    def _scan_short(self, t: Tokens):
+        """scan() for the short templates: regions around the starts whose span holds enough of the template's words."""
+        at = np.minimum(np.searchsorted(self.vocabulary, t.h), len(self.vocabulary) - 1)
+        at[self.vocabulary[at] != t.h] = len(self.vocabulary)
+        behind = t.first[t.doc + 1]
+        for o in self.short:
+            known = np.concatenate(([0], np.cumsum(self.member[o][at])))
+            maybe = np.flatnonzero(self.first[o][at])
+            end = np.minimum(maybe + self.span[o], behind[maybe])
+            fits = known[end] - known[maybe] >= self.least[o]
+            maybe, end = maybe[fits], end[fits]
+            edge = np.flatnonzero((np.diff(t.doc[maybe]) != 0) | (np.diff(maybe) > self.span[o])) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(maybe)], strict=True):
+                if hi > lo:
+                    d, first = int(t.doc[maybe[lo]]), int(maybe[lo])
+                    yield from self._in(t.h[first : int(end[hi - 1])].tolist(), first - int(t.first[d]), d, o)
 
     def _in(self, region: list, offset: int, d: int, o: int):
         """All the occurrences of template o in a region: the best run of aligned words, then what is left beside it."""
@@ -169,8 +198,8 @@ class Scanner:
                 yield d, self.names[o], len(pairs) / size, offset + lo + pairs[0][1], offset + lo + pairs[-1][1] + 1
 
     def _starts(self, region: list, o: int):
-        """Where the template may begin: at a word of its first quarter, no two starts within one template's length once it fits."""
-        head = set(self.words[o][: max(1, len(self.words[o]) // 4)])
+        """Where the template may begin: at a word of its first quarter or at one of those of which a fit holds one, no two starts within one template's length once it fits."""
+        head = self.head[o]
         at, size = 0, len(self.words[o])
         every, known = set(self.words[o]), [0]
         for w in region:
