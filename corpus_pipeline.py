@@ -8,25 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, jaccard, ledger, mixing, substring
-from vellum.llm.kit import table
+from vellum.llm.kit import cut_lineage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, as ids may be null or repeated; written once, so that it stays the same."""
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the policy rejects."""
     return ledger.apply_policy(ledger.ledger(docs.select(*COLUMNS)), "v1").where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    keep = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Groups are groups of rows: a null id takes part like any other, and rows with one doc_id are copies only if
+    their texts are. The row with the least doc_id stays, null last; among equal ids the least hash of the text, then any.
+    """
+    rows = _numbered(docs)
+    groups = jaccard.jaccard_components(rows, size=5, percent=80, key="row").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), "row")
+    keep = rows.select("row", order.alias("order")).join(groups, "row").groupBy("component_id").agg(F.min("order").alias("least")).select("least.row")
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 25 words or more that an earlier document has; a text that loses all its words goes, one that loses none stays as it is."""
+    """Cuts passages of 25 words or more that an earlier document has; a text that loses all its words goes, one that loses none stays as it is.
+
+    Rows with a null id or with equal ids have no order, so they aren't compared: the first lose nothing, the others nothing to each other.
+    """
     found = substring.substring_dedup(docs.select(*COLUMNS), window=25, phrase=16)
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
@@ -35,9 +49,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents with a passage that aligns with a benchmark item."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows with a passage that aligns with a benchmark item, whatever their id."""
+    rows = _numbered(docs)
+    found = decontam.find_contamination(rows, table(spark, sf_dir, "benchmark"), key="row")
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
