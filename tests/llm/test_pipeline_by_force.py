@@ -6,10 +6,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
 from test_llm import removed_by_force, shingles, words
 
 import corpus_pipeline
+from vellum.llm import mixing
 
 VOCABULARY = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("an", "el", "or", "us", "im")]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,3 +105,65 @@ def test_leaks_go_by_row(spark, tmp_path):
     put(spark, tmp_path, rows, item)
     got = Counter(tuple(r) for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect())
     assert got == Counter(r for r in rows if not leaks(r[1], [item]))
+
+
+def mixed_by_force(rows):
+    """(doc_id, source, size, source_size, target, times, taken) of rows (id, text, source, quality)."""
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(words(t))
+    free = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, left, target = {s: 1 + k % 3 for k, s in enumerate(free)}, sum(size.values()), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * size[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+            left -= target[s]
+            free.remove(s)
+    out = []
+    for s in size:
+        epochs = int(target[s] / size[s] + 1e-12) if size[s] else 0
+        budget, upto, mine = target[s] - epochs * size[s], 0, []
+        for i, t, source, q in rows:
+            if source == s:
+                draw = str(i) if i is not None else hashlib.md5(t.encode()).hexdigest()
+                u = (int(hashlib.md5(f"mix:{draw}".encode()).hexdigest()[:12], 16) + 1) / 2**48
+                mine.append((-math.log(u) / q, i is None, i or 0, i, len(words(t))))
+        for *_, i, n in sorted(mine):
+            upto += n
+            times = min(3, epochs + (budget > 0 and upto - n / 2 <= budget))
+            out.append((i, s, n, size[s], round(target[s], 6), times, n * times))
+    return Counter(out)
+
+
+def quality(t):
+    n, repeated, dup = measures(t)
+    return (1 + n - repeated) / ((1 + n) * (1 + dup))
+
+
+def columns(rows):
+    return Counter((r.doc_id, r.source, r["size"], r.source_size, round(r.target, 6), r.times, r.taken) for r in rows)
+
+
+def test_poor_documents_are_taken_less(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 9)), ["a", "b", None][i % 3], [1.0, 0.02, 1e-4, 8.0][i // 3 % 4]) for i in range(1200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality="q").collect()
+    assert columns(got) == mixed_by_force(rows)
+    more = Counter()
+    for x in got:
+        more[rows[x.doc_id][3]] += x.times - x.epochs
+    assert more[8.0] >= more[1.0] > more[0.02] >= more[1e-4]
+
+
+def test_mix_of_the_pipeline_prefers_quality(spark):
+    rows, _ = fixture(random.Random(7))
+    good = [(200 + i, " ".join(r.choice(VOCABULARY) for _ in range(60))) for i, r in enumerate(map(random.Random, range(40)))]
+    lines = [(300 + i, t + "\nthe same line" * 9) for i, t in good]
+    rows = [x for x in rows if x[1]] + [(i, t, "en", "s1", len(t)) for i, t in good + lines]
+    got = corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert columns(got) == mixed_by_force([(i, t, s, quality(t)) for i, t, _, s, _ in rows])

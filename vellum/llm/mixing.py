@@ -52,15 +52,18 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), share: float = 1.0, most
     return rows.select("source", "source_size", "weight", F.coalesce(target, F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, seed: str = "mix", quality: str | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, seed: str = "mix", quality: str | None = None, draw: str | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, epochs, taken.
 
     quality: a column of weights above 0; documents of more weight come earlier in the partial epoch.
+    draw: a string column that is hashed in place of the id, where ids may be null.
     """
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
-    w = F.coalesce(F.col(quality).cast("double"), F.lit(1.0)) if quality else F.lit(1.0)
-    # 1 - u**(1/w) grows with the exponential key and lies in [0, 1), which makes even bins for equal weights.
-    at = F.lit(1.0) - F.pow(u, F.lit(1.0) / w)
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(draw or key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
+    # Both grow with the exponential key and lie in [0, 1): 1 - u makes even bins for equal weights; e / (1 + e) keeps small weights apart.
+    at = F.lit(1.0) - u
+    if quality:
+        e = -F.log(u) / F.coalesce(F.col(quality).cast("double"), F.lit(1.0))
+        at = e / (F.lit(1.0) + e)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), at.alias("at"))
     rows = cut_lineage(rows)
     targets = cut_lineage(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
