@@ -167,3 +167,20 @@ def test_mix_of_the_pipeline_prefers_quality(spark):
     rows = [x for x in rows if x[1]] + [(i, t, "en", "s1", len(t)) for i, t in good + lines]
     got = corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert columns(got) == mixed_by_force([(i, t, s, quality(t)) for i, t, _, s, _ in rows])
+
+
+def test_run_is_brute_force(spark, tmp_path):
+    rows, item = fixture(random.Random(7))
+    put(spark, tmp_path, rows, item)
+    left = one_of_each_group([r for r in rows if kept_by_rules(r[1])])
+    cut = []
+    for i, t, _, s, _ in left:
+        if i is None:
+            cut.append((i, t, s))
+            continue
+        earlier = [(j, x) for j, x, *_ in left if j is not None and j < i]
+        ((_, n, gone, text),) = (k for k in removed_by_force([*earlier, (i, t)], 25) if k[0] == i)
+        if gone < n or n == 0:
+            cut.append((i, text if gone else t, s))
+    want = mixed_by_force([(i, t, s, quality(t)) for i, t, s in cut if not leaks(t, [item])])
+    assert columns(corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
