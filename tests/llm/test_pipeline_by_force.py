@@ -67,7 +67,7 @@ def leaks(t, items):
             for j, y in enumerate(b):
                 new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
             row, best = new, max(best, *new)
-        if b and best >= 0.6 * 2 * len(b):
+        if b and best >= 2 * min(0.6 * len(b), 20):
             return True
     return False
 

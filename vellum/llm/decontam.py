@@ -3,7 +3,8 @@
 The n-grams of the test items are counted in all documents; the rarest half of each item's are its
 seeds. A passage that holds two seeds of an item within a span of twice its length (one, where the item
 has but one) is aligned with the item word by word; its score is the Smith-Waterman score over that of
-the unchanged item, so an edited or paraphrased copy scores by what is left of it. Items are taken in
+the unchanged item, so an edited or paraphrased copy scores by what is left of it. An excerpt that scores
+like LONG unchanged words counts whatever its share of the item; any LONG words of an item hold two seeds. Items are taken in
 blocks of bounded size, so a large benchmark costs more passes and not more memory.
 
 Words are lower-cased runs of letters and digits. Null or empty text: no rows. Items without a word
@@ -22,6 +23,8 @@ from vellum.llm.kit import U64, Tokens, portions, utf8, windows, within
 #: Bytes of test items that one pass over the documents carries to its tasks.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Unchanged words of an item that count as a leak on their own.
+LONG = 20
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -66,18 +69,31 @@ class Items:
         return total
 
     def choose(self, counts: np.ndarray) -> None:
-        """Keeps the rarest half of each item's n-grams, ties included, as seeds."""
+        """Keeps the rarest half of each item's n-grams, ties included, and the two rarest of any LONG words, as seeds."""
         df = counts[np.searchsorted(self.known, self.gram)]
         keep = np.zeros(len(self.gram), bool)
         for o in range(len(self.words)):
             mine = np.flatnonzero(self.owner == o)
             if len(mine):
                 keep[mine] = df[mine] <= np.sort(df[mine])[(len(mine) - 1) // 2]
+                keep[mine] |= np.isin(self.gram[mine], self._rarest(o, counts))
         order = np.argsort(self.gram[keep], kind="stable")
         self.seed, self.seed_owner = self.gram[keep][order], self.owner[keep][order]
         self.seeds = np.bincount(self.seed_owner, minlength=len(self.words))
         self.gram = self.owner = self.known = None
 
+    def _rarest(self, o: int, counts: np.ndarray) -> np.ndarray:
+        """The two rarest different n-grams of each LONG words of an item."""
+        g = windows(self.words[o], self.n)
+        width = LONG - self.n + 1
+        if width < 1 or len(g) < width:
+            return g[:0]
+        df = np.lib.stride_tricks.sliding_window_view(counts[np.searchsorted(self.known, g)], width)
+        grams, row = np.lib.stride_tricks.sliding_window_view(g, width), np.arange(len(df))
+        one = grams[row, df.argmin(axis=1)]
+        two = grams[row, np.where(grams == one[:, None], np.iinfo(np.int64).max, df).argmin(axis=1)]
+        return np.unique(np.concatenate((one, two)))
+
     def scan(self, texts: list[bytes], least: float):
         """(text's index, item's index, score, first word, word behind the last) of each passage that scores."""
         t = Tokens(texts)
@@ -106,7 +122,7 @@ class Items:
             first = max(int(t.first[d]), int(group[0, 2]) - size)
             last = min(int(t.first[d + 1]), int(group[-1, 2]) + self.n + size)
             score, end = smith_waterman(self.words[o], t.h[first:last])
-            if score >= least * MATCH * size:
+            if score >= MATCH * min(least * size, LONG):
                 yield d, o, score / (MATCH * size), max(first, first + end - size) - int(t.first[d]), first + end - int(t.first[d])
 
 
@@ -125,7 +141,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, n: int):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.6, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word) of each passage that scores at least so much of an item."""
+    """(doc_id, item_id, score, first_word, end_word) of each passage that scores at least so much of an item, or like LONG unchanged words."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
     ddl = "doc_id long, item_id long, score double, first_word long, end_word long"
