@@ -125,20 +125,27 @@ def test_prefix_tree_links_what_brute_force_links():
         return {frozenset(i for i in range(len(sets)) if find(i) == find(j)) for j in range(len(sets))}
 
     every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
-    assert groups(jaccard.tree_links(list(range(len(sets))), sets, 85)) == groups(every)
+    roots = jaccard.tree_components([len(s) for s in sets], sets, 85)
+    assert groups(enumerate(roots)) == groups(every)
 
 
-def test_parts_of_linked_sets_agree():
-    levels, r = jaccard.Levels(80), random.Random(8)
+def test_linked_sets_share_a_prefix_shingle():
+    r = random.Random(8)
     for n in [1, 2, 3, 5, 9, 20, 77, 400]:
         for _ in range(30):
             a = [r.getrandbits(63) for _ in range(n)]
-            d = levels.apart(n)
-            cut = r.randrange(d // 2 + 1)
-            b = a[cut:] + [r.getrandbits(63) for _ in range(min(d - cut, (len(a) - cut) * 100 // 80 - (len(a) - cut)))]
-            x, y = np.unique(np.array(a, np.uint64)), np.unique(np.array(b, np.uint64))
-            if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
-                assert len(np.intersect1d(levels.signatures(x), levels.signatures(y)))
+            b = a[r.randrange(n // 4 + 1) :] + [r.getrandbits(63) for _ in range(r.randrange(n // 8 + 1))]
+            if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+                x, y = (set(sorted(s)[: jaccard.prefix_length(len(s), 80)]) for s in (a, b))
+                assert x & y
+
+
+def test_repeated_ids_hold_their_sets_together(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, c), (7, None), (8, c), (9, ""), (None, a), (11, None), (11, "")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(3, 3), (5, 3), (9, 3), (7, 7), (8, 7), (None, None), (11, 11)}
+    assert got.count() == len(rows)
 
 
 def test_word_scanner_is_the_pattern():

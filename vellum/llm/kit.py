@@ -8,7 +8,9 @@ texts, so memory follows the batch and not the table.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Bytes of text that one shard holds: what a Python worker keeps in memory for a group.
 SHARD_BYTES = 16 << 20
+#: Shards send messages to each other, so beyond this many (320 GB) the shards grow instead, up to MOST_SHARD_BYTES.
+MANY_SHARDS = 20_000
+#: The most that a shard is let grow to; a worker needs about eight times this. At 100 TB it makes 200,000 shards, and some 400 hashes a message.
+MOST_SHARD_BYTES = 1 << 29
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -40,37 +46,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _MULT)
-_POW = np.ones(1, U64)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Words beyond so many bytes are hashed one by one.
+_LONG_WORD = 64
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash base modulo 2**64; kept between calls while small."""
-    global _POW
-    if n <= len(_POW):
-        return _POW
-    full = np.full(n, _BASE, U64)
-    full[0] = 1
-    full = np.multiply.accumulate(full)
-    if n <= BATCH_BYTES:
-        _POW = full
-    return full
-
-
-def segment_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each segment values[starts[i]:starts[i+1]]; zeros in it don't count where they trail."""
-    if not len(starts):
-        return np.empty(0, U64)
-    at = np.arange(starts[0], len(values), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.append(starts, len(values))))
-    return mix(np.add.reduceat(values[starts[0] :] * powers(int(at.max()) + 1)[at], starts - starts[0]))
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each buf[start:end], eight bytes a step; buf goes on for eight bytes behind the last end."""
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    size = end - start
+    h = mix((eight[start] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U64) * _MULT))
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < _LONG_WORD:
+        h[more] = mix(h[more] * _BASE + (eight[start[more] + k] & _MASK[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in more.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 class Words:
     """The words of a few texts. doc: index of each word's text; start, end: its bytes in buf."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.buf = np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
         gap = _SEPARATOR[self.buf]
@@ -84,11 +84,7 @@ class Words:
         self.gap = gap
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, U64)
-        values = _BYTE[self.buf]
-        values[self.gap] = 0
-        return segment_hash(values, self.start)
+        return word_hash(self.buf, self.start, self.end) if len(self.start) else np.empty(0, U64)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -146,15 +142,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    """Shards in proportion to the input, and at least as many as shuffle partitions."""
+    """Shards in proportion to the input up to MANY_SHARDS, and at least as many as shuffle partitions."""
     at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(at_least, math.ceil(text_bytes(docs, text) / shard_bytes))
+    size = text_bytes(docs, text)
+    return max(at_least, min(math.ceil(size / shard_bytes), MANY_SHARDS), math.ceil(size / MOST_SHARD_BYTES))
 
 
 def shard_of(shards: int, key: str = "doc_id", text: str = "text") -> Column:
-    """The shard of a row: by its key, and rows without a key by their text, so no shard gets all of them."""
-    key_hash = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit(1))).otherwise(F.xxhash64(F.col(key)))
-    return F.pmod(key_hash, F.lit(shards)).cast("int")
+    """The shard of a row, by its key and its text: neither a repeated id nor a repeated text fills a shard alone."""
+    return F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards)).cast("int")
 
 
 def dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -166,13 +162,24 @@ def dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
             yield int(b[lo]), slice(lo, hi)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that the session names.
+
+    Where none is named (tests, a single machine), one beside the warehouse is used, with a warning: on a
+    cluster it must be a folder that all executors and the driver share.
+    """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+        warnings.warn(f"spark.checkpoint.dir isn't set; using {named}, which all executors must share", stacklevel=2)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names; one beside the warehouse only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """checkpoint() in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -190,15 +197,14 @@ class Tokens:
     """Lower-cased runs of letters and digits of a few texts and, where asked for, runs of punctuation."""
 
     def __init__(self, texts: list[bytes], punctuation: bool = False):
-        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        raw = np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)
         kind = _CLASS[raw]
         if not punctuation:
             kind = np.where(kind == 1, kind, 0)
-        start = np.flatnonzero((kind != 0) & np.concatenate(([True], kind[1:] != kind[:-1])))
-        values = _BYTE[_LOWER[raw]]
-        values[kind == 0] = 0
-        # A run ends where the next begins or at a separator, whose value is zero.
-        self.h = segment_hash(values, start)
+        edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
+        some = kind[edge[:-1]] != 0
+        start = edge[:-1][some]
+        self.h = word_hash(_LOWER[raw], start, edge[1:][some]) if len(start) else np.empty(0, U64)
         self.start = start
         base = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=base[1:])
