@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions.metrics import error_rate
+from vellum.operators.lineage import cut_lineage
 
 
 def size_bucket(length: Column, kilobytes: int = 100) -> Column:
@@ -206,11 +207,15 @@ def latest_by(df: DataFrame, group: list[str], value: str, order: Column) -> Dat
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:
-    """A global 1-based number without a single-task sort of whole rows: counts per range partition, then offsets."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    """A global 1-based number in the given order, without a single-task sort of whole rows.
+
+    The rows are dealt by range and sorted once, and written: counts and numbers must see the same
+    partitions, and a range partitioning that is planned twice draws its own bounds each time. The
+    counts are one row a partition. Ties get different numbers, in no set order.
+    """
+    part = df.repartitionByRange(*order) if order else df
+    part = part.sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    part = cut_lineage(part.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
     sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return part.join(F.broadcast(offsets), "_p").withColumn("rn", F.col("_off") + F.col("_i") + 1).drop("_p", "_i", "_off")
