@@ -128,11 +128,13 @@ def mixed_by_force(rows):
     for s in size:
         epochs = int(target[s] / size[s] + 1e-12) if size[s] else 0
         budget, upto, mine = target[s] - epochs * size[s], 0, []
+        alike = Counter()
         for i, t, source, q in rows:
             if source == s:
-                draw = str(i) if i is not None else hashlib.md5(t.encode()).hexdigest()
-                u = (int(hashlib.md5(f"mix:{draw}".encode()).hexdigest()[:12], 16) + 1) / 2**48
-                mine.append((-math.log(u) / q, i is None, i or 0, i, len(words(t))))
+                draw = f"{'' if i is None else i}{'' if s is None else '=' + s}:{hashlib.md5((t or '').encode()).hexdigest()}"
+                alike[draw] += 1
+                u = (int(hashlib.md5(f"mix:{draw}:{alike[draw]}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                mine.append((not q > 0, -math.log(u) / (q if q > 0 else 1), draw, alike[draw], i, len(words(t))))
         for *_, i, n in sorted(mine):
             upto += n
             times = min(3, epochs + (budget > 0 and upto - n / 2 <= budget))
@@ -160,6 +162,19 @@ def test_poor_documents_are_taken_less(spark):
     assert more[8.0] >= more[1.0] > more[0.02] >= more[1e-4]
 
 
+def test_repeated_and_null_ids_come_near_the_target(spark):
+    rows = [(7, "one two three", "a", 1.0)] * 500 + [(None, f"x{i % 50} y", "b", [1.0, 0.0, None, float("nan")][i % 4]) for i in range(400)] + [(i, "q " * 30, None, -1.0 if i % 2 else 2.0) for i in range(200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, q double").repartition(5), quality="q", seed="mix").collect()
+    assert columns(got) == mixed_by_force([(i, t, s, q if q is not None and q == q else 0) for i, t, s, q in rows])
+    for s in ("a", "b", None):
+        assert abs(sum(x.taken for x in got if x.source == s) - next(x.target for x in got if x.source == s)) <= 30
+
+
+def test_many_sources_share_without_a_window_over_all(spark):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 700:04}", 1.0) for i in range(2100)]
+    assert columns(mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality="q").collect()) == mixed_by_force(rows)
+
+
 def test_mix_of_the_pipeline_prefers_quality(spark):
     rows, _ = fixture(random.Random(7))
     good = [(200 + i, " ".join(r.choice(VOCABULARY) for _ in range(60))) for i, r in enumerate(map(random.Random, range(40)))]

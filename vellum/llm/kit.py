@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.lineage import cut_lineage, shared_folder  # noqa: F401  the operators take them from here
+
 #: Bytes of text that the scanner handles at once.
 BATCH_BYTES = 1 << 20
 #: Bytes of text that one shard holds: what a Python worker keeps in memory for a group.
@@ -162,27 +163,6 @@ def dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
             yield int(b[lo]), slice(lo, hi)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables that the session names.
-
-    Where none is named (tests, a single machine), one beside the warehouse is used, with a warning: on a
-    cluster it must be a folder that all executors and the driver share.
-    """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
-        warnings.warn(f"spark.checkpoint.dir isn't set; using {named}, which all executors must share", stacklevel=2)
-    return named
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,10 +25,15 @@ SELECT parts.page_id, host, path, rule,
             WHEN regexp_matches(host, '(^|[.-])(spam|casino|porn|xxx|viagra|malware)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM parts LEFT JOIN fits USING (page_id)""",
     "op9_source_mix": r"""
-WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 1) AS u
+WITH alike AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') || coalesce('=' || source, '') || ':' || md5(coalesce(text, '')) AS draw,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS place
   FROM documents
+), docs AS (
+  SELECT doc_id, source, draw, place, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         -ln((('0x' || substr(md5('mix:' || draw || ':' || place), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+         / ((length(translate(text, '0123456789#*$%&|<>', '')) + 1)::DOUBLE / (length(text) + 1)::DOUBLE) AS e
+  FROM alike
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM docs GROUP BY source
 ), caps AS (
@@ -46,7 +51,7 @@ WITH docs AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 0 END AS epochs FROM targets
 ), ranked AS (
   SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
-         (sum(size) OVER (PARTITION BY docs.source ORDER BY u DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
+         (sum(size) OVER (PARTITION BY docs.source ORDER BY e, draw, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto
   FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source
 )
 SELECT doc_id, size, source_size, target, (size * least(epochs + CASE WHEN upto - size / 2.0 <= budget AND budget > 0 THEN 1 ELSE 0 END, 3))::BIGINT AS taken
