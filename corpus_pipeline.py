@@ -59,11 +59,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken, and the words this gives.
 
     The partial epoch prefers documents of quality: the share of words outside repeated windows, over 1 + repeated lines.
-    A null id is drawn by its text.
+    Null and repeated ids are drawn by row; a null text has size 0 and takes nothing; an empty table gives no rows.
     """
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
-    rows = ledger.ledger(docs.select(*COLUMNS)).select("doc_id", "source", "text", ((1 + n - repeated) / ((1 + n) * (1 + F.col("n_dup_lines")))).alias("quality"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text")).alias("draw"))
-    return mixing.mix_sources(rows, quality="quality", draw="draw").select("doc_id", "source", "size", "source_size", "target", "times", "taken")
+    rows = ledger.ledger(docs.select(*COLUMNS)).select("doc_id", "source", "text", ((1 + n - repeated) / ((1 + n) * (1 + F.col("n_dup_lines")))).alias("quality"))
+    return mixing.mix_sources(rows, quality="quality").select("doc_id", "source", "size", "source_size", "target", "times", "taken")
 
 
 STAGES = [
