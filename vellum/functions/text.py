@@ -28,7 +28,24 @@ PREAMBLE = "\\documentclass{article}\n\\usepackage{amsmath}\n\\usepackage{amssym
 POSTAMBLE = "\n\n\\end{document}\n"
 FURNITURE = r"(?iU)(?:Space\s+for\s+answering|Extra\s+space\s+for\s+answer|not\s+for\s+rough\s+work|Mention\s+Question\s+Number|^\s*\d+\s+of\s+\d+\s*$|^\s*Q\s*[-.\)①-⑳\d\?\s]{0,10}$)"
 DROPPED_REGIONS = ("header", "footer", "page_number", "page-number", "pagenumber")
-DET = r"<\|det\|>\s*([a-zA-Z_\-]+)\s*\[[0-9,\s]*\]\s*<\|/det\|>"
+DET = r"(?i)<\|det\|>\s*([a-zA-Z_\-]+)\s*\[[0-9,\s]*\]\s*<\|/det\|>"
+#: Also fixed: the rewrites that drop differences of style, in order; the body of a document, fences, marks and math.
+CANONICAL = (
+    (r"\\[dt]frac", r"\\frac"),
+    (r"\\(?:left|right|bigl|bigr|biggl|biggr|big|Big|bigg|Bigg)\b", ""),
+    (r"\\(?:displaystyle|textstyle|scriptstyle)\b", ""),
+    (r"(?U)\\(?:,|;|:|!|quad|qquad|enspace|thinspace|\s)", " "),
+    (r"\\\\", " "),
+    (r"\\(?:begin|end)\{(?:align|equation|gather|displaymath|math)\*?\}", ""),
+    (r"\\[\[\]()]", ""),
+    (r"\$", ""),
+)
+BODY = r"(?s)\\begin\{document\}(.*?)\\end\{document\}"
+FENCE = r"(?s)```(?:latex|tex)?\s*\n?(.*?)```"
+ILLEGIBLE = r"(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]"
+MATH = r"(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{[^}]+\}.*?\\end\{[^}]+\}"
+REGION, SPECIAL, PLACEHOLDER = r"(?s)<\|det\|>.*?<\|/det\|>", r"<\|/?[a-z_]+\|>", r"!\[\]\(images/\d+\.jpg\)"
+HEADING = r"(?m)^#{1,6}\s*"
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -77,24 +94,13 @@ def tokenize(c: Column, limit: int = MAX_TOKENS) -> Column:
 
 def body_or_all(c: Column) -> Column:
     """TXT15: what stands between begin and end of the document; the whole text where they don't."""
-    pattern = r"(?s)\\begin\{document\}(.*?)\\end\{document\}"
-    return let(c, lambda c: F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, 1)).otherwise(c))
+    return let(c, lambda c: F.when(F.regexp_like(c, F.lit(BODY)), F.regexp_extract(c, BODY, 1)).otherwise(c))
 
 
 def canonical(c: Column) -> Column:
-    """TXT3: ten rewrites in order that drop differences of style."""
+    """TXT3: rewrites in order that drop differences of style, and at last all white space."""
     c = body_or_all(c)
-    for pattern, by in (
-        (r"\\[dt]frac", r"\\frac"),
-        (r"\\(?:left|right|bigl|bigr|biggl|biggr|big|Big|bigg|Bigg)\b", ""),
-        (r"\\(?:displaystyle|textstyle|scriptstyle)\b", ""),
-        (r"(?U)\\(?:,|;|:|!|quad|qquad|enspace|thinspace|;|\s)", " "),
-        (r"\\\\", " "),
-        (r"\\(?:begin|end)\{(?:align|equation|gather|displaymath|math)\*?\}", ""),
-        (r"\\[\[\]()]", ""),
-        (r"\$", ""),
-        (_SPACE, ""),
-    ):
+    for pattern, by in (*CANONICAL, (_SPACE, "")):
         c = _sub(c, pattern, by)
     return c
 
@@ -107,10 +113,8 @@ def strip_reasoning(c: Column) -> Column:
 
 def clean_response(c: Column) -> Column:
     """TXT5: the document of a model's answer, from its class to its last end."""
-    fence = r"(?s)```(?:latex|tex)?\s*\n?(.*?)```"
-
     def unfenced(c):
-        return F.when(F.regexp_like(c, F.lit(fence)), strip(F.regexp_extract(c, fence, 1))).when(F.startswith(c, F.lit("```")), _no_lone_fence(c)).otherwise(c)
+        return F.when(F.regexp_like(c, F.lit(FENCE)), strip(F.regexp_extract(c, FENCE, 1))).when(F.startswith(c, F.lit("```")), _no_lone_fence(c)).otherwise(c)
 
     def document(c):
         start = F.instr(c, "\\documentclass")
@@ -196,7 +200,7 @@ def _with_begin(c: Column) -> Column:
 
 def strip_tokens(c: Column) -> Column:
     """TXT14: without region tags, special tokens and image placeholders."""
-    return _sub(_sub(_sub(c, r"(?s)<\|det\|>.*?<\|/det\|>", ""), r"<\|/?[a-z_]+\|>", ""), r"!\[\]\(images/\d+\.jpg\)", "")
+    return _sub(_sub(_sub(c, REGION, ""), SPECIAL, ""), PLACEHOLDER, "")
 
 
 def drop_furniture(c: Column) -> Column:
@@ -206,7 +210,7 @@ def drop_furniture(c: Column) -> Column:
 
 
 def _no_headings(c: Column) -> Column:
-    return _sub(c, r"(?m)^#{1,6}\s*", "")
+    return _sub(c, HEADING, "")
 
 
 def to_document(c: Column) -> Column:
@@ -226,7 +230,7 @@ def _regions_document(raw: Column) -> Column:
 def finish_document(c: Column) -> Column:
     """TXT12: a complete document as it is, else wrapped."""
     raw = strip(F.coalesce(c, F.lit("")))
-    raw = strip(_sub(_sub(raw, r"(?s)<\|det\|>.*?<\|/det\|>", ""), r"<\|/?[a-z_]+\|>", ""))
+    raw = strip(_sub(_sub(raw, REGION, ""), SPECIAL, ""))
 
     def wrapped(raw):
         whole = F.contains(raw, F.lit("\\documentclass")) & F.contains(raw, F.lit("\\end{document}"))
@@ -236,17 +240,17 @@ def finish_document(c: Column) -> Column:
 
 
 def has_body(c: Column) -> Column:
-    return F.regexp_like(c, F.lit(r"(?s)\\begin\{document\}(.*?)\\end\{document\}"))
+    return F.regexp_like(c, F.lit(BODY))
 
 
 def has_math(c: Column) -> Column:
     """TXT16: math in the document's body; null where there is no body."""
-    return F.when(has_body(c), F.regexp_like(body_or_all(c), F.lit(r"(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{[^}]+\}.*?\\end\{[^}]+\}")))
+    return F.when(has_body(c), F.regexp_like(body_or_all(c), F.lit(MATH)))
 
 
 def has_illegible(c: Column) -> Column:
     """TXT17"""
-    return F.regexp_like(c, F.lit(r"(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]"))
+    return F.regexp_like(c, F.lit(ILLEGIBLE))
 
 
 def yes_no(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans.fixtures import ANNOTATIONS, MODELS, PAIRS, STEPS
+from vellum.functions import text as X
+from vellum.plans.fixtures import ANNOTATIONS, MODELS, PAIRS, STEPS, sql_text
+
 
 def _ann(select: str) -> str:
     return f"WITH {ANNOTATIONS} SELECT id, {select} FROM ann"
@@ -17,25 +19,37 @@ def _has(c: str, *pieces: str) -> str:
 
 
 B = "chr(92)"
-_BODY = r"CASE WHEN regexp_matches(latex, '(?s)\\begin\{document\}(.*?)\\end\{document\}') THEN regexp_extract(latex, '(?s)\\begin\{document\}(.*?)\\end\{document\}', 1) ELSE latex END"
+
+
+def _re(pattern: str) -> str:
+    """A pattern as the other engine reads it: classes there are ASCII, as the pages are, and U would mean ungreedy."""
+    return "'" + pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace("\\A", "^").replace("\\z", "$").replace("'", "''") + "'"
+
+
+def _sub(c: str, pattern: str, by: str, first: bool = False) -> str:
+    return f"regexp_replace({c}, {_re(pattern)}, {_re(by)}{'' if first else ", 'g'"})"
+
+
+def _strip(c: str) -> str:
+    return _sub(c, r"\A\s+|\s+\z", "")
+
+
+def _rstrip(c: str) -> str:
+    return _sub(c, r"\s+\z", "", True)
+
+
+def _or_all(c: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, {_re(pattern)}) THEN regexp_extract({c}, {_re(pattern)}, 1) ELSE {c} END"
+
+
+_BODY = _or_all("latex", X.BODY)
 _THINK = "list_extract(string_split_regex(regexp_replace({c}, '(?is)<think>.*?</think>', '', 'g'), '(?i)<think>'), -1)"
 
 
 def _canon(c: str) -> str:
-    doc = r"'(?s)\\begin\{document\}(.*?)\\end\{document\}'"
-    c = f"CASE WHEN regexp_matches({c}, {doc}) THEN regexp_extract({c}, {doc}, 1) ELSE {c} END"
-    for pattern, by in (
-        (r"\\[dt]frac", r"\\frac"),
-        (r"\\(?:left|right|bigl|bigr|biggl|biggr|big|Big|bigg|Bigg)\b", ""),
-        (r"\\(?:displaystyle|textstyle|scriptstyle)\b", ""),
-        (r"\\(?:,|;|:|!|quad|qquad|enspace|thinspace|;|\s)", " "),
-        (r"\\\\", " "),
-        (r"\\(?:begin|end)\{(?:align|equation|gather|displaymath|math)\*?\}", ""),
-        (r"\\[\[\]()]", ""),
-        (r"\$", ""),
-        (r"\s+", ""),
-    ):
-        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    c = _or_all(c, X.BODY)
+    for pattern, by in (*X.CANONICAL, (r"\s+", "")):
+        c = _sub(c, pattern, by)
     return c
 
 
@@ -43,25 +57,106 @@ def _dollars(c: str) -> str:
     return f"(length(replace({c}, {B} || '$', '')) - length(replace(replace({c}, {B} || '$', ''), '$', ''))) % 2 <> 0"
 
 
-def _truncated(variant: int) -> str:
-    if variant == 1:
-        brackets = f"{_count('body', B + chr(32) + '||' + chr(32) + chr(39) + '[' + chr(39))} <> {_count('body', B + ' || ' + chr(39) + ']' + chr(39))}"
-    else:
-        plain = f"replace(body, {B} || {B}, '')"
-        brackets = f"{_count(plain, B + ' || ' + chr(39) + '[' + chr(39))} <> {_count(plain, B + ' || ' + chr(39) + ']' + chr(39))}"
-    envs = f"{_count('body', B + ' || ' + chr(39) + 'begin{' + chr(39))} <> {_count('body', B + ' || ' + chr(39) + 'end{' + chr(39))}"
-    last = r"trim(regexp_extract(regexp_replace(body, '\s+$', ''), '[^\n]*$'))"
-    return rf"(regexp_replace(body, '\s+$', '') = '' OR regexp_matches({last}, '(=|\\quad|\\to|\\Rightarrow|\+|-|\\\\)\s*$') OR {_dollars('body')} OR {brackets} OR {envs})"
+def _brackets(c: str, variant: int) -> str:
+    plain = c if variant == 1 else f"replace({c}, {B} || {B}, '')"
+    return f"{_count(plain, B + " || '['")} <> {_count(plain, B + " || ']'")}"
+
+
+def _envs(c: str) -> str:
+    return f"{_count(c, B + " || 'begin{'")} <> {_count(c, B + " || 'end{'")}"
+
+
+def _last(c: str) -> str:
+    return f"trim(regexp_extract({_rstrip(c)}, '[^\n]*$'))"
+
+
+def _truncated(variant: int, c: str = "body") -> str:
+    """Whether a body breaks off."""
+    return f"({_rstrip(c)} = '' OR regexp_matches({_last(c)}, {_re(X.DANGLING)}) OR {_dollars(c)} OR {_brackets(c, variant)} OR {_envs(c)})"
+
+
+def _structure(c: str) -> str:
+    equal = (("{", "}"), ("\\begin", "\\end"))
+    return f"strpos({c}, {B} || 'documentclass') > 0 AND strpos({c}, {B} || 'end{{document}}') > 0 AND " + " AND ".join(f"{_count(c, sql_text(x))} = {_count(c, sql_text(y))}" for x, y in equal)
+
+
+_LONE = r"\A```[a-zA-Z]*\n?", r"\n?```\z"
+
+
+def _no_lone_fence(c: str) -> str:
+    return _strip(_sub(_sub(c, _LONE[0], "", True), _LONE[1], "", True))
+
+
+def _steps(start: str, *steps: str, column: str = "c") -> str:
+    """Tables a0, a1, ...: each step is an expression over the column of the one before."""
+    return ", ".join(f"a{i} AS (SELECT * REPLACE ({x} AS {column}) FROM {f'a{i - 1}' if i else start})" for i, x in enumerate(steps))
+
+
+def _circled() -> str:
+    c = "c"
+    for i in range(20):
+        c = f"replace({c}, '{chr(0x2460 + i)}', '({i + 1})')"
+    return f"replace({c}, '\u2212', '-')"
+
+
+_PREAMBLE = f"split_part(c, {sql_text(chr(92) + 'begin{document}')}, 1)"
+_MISSING = "concat_ws(chr(10), " + ", ".join(
+    f"CASE WHEN {test}strpos({_PREAMBLE}, '{{{p}}}') = 0 THEN {sql_text(chr(92) + f'usepackage{{{p}}}')} END"
+    for p, test in (*((p, "") for p in X.REQUIRED_PACKAGES), *((p, _has("c", *map(sql_text, t)) + " AND ") for p, t in X.TRIGGERED_PACKAGES.items()))
+) + ")"
+_CLASS_LINE = r"(?s)^(.*?\\documentclass[^\n]*)"
+_LAST_PACKAGE = r"(?s)^(.*\\usepackage(?:\[[^\]]*\])?\{[^}]*\})"
+_BEGIN, _END = sql_text(chr(92) + "begin{document}"), sql_text(chr(92) + "end{document}")
+#: Tables up to a9, whose column c is the repaired page.
+_FIXED = f"WITH {ANNOTATIONS}, s AS (SELECT id, latex, {_strip('latex')} AS c FROM ann), " + _steps(
+    "s",
+    f"CASE WHEN starts_with(c, '```') THEN {_no_lone_fence('c')} ELSE c END",
+    _strip(f"replace(c, '{X.REVIEWED}', '')"),
+    _sub(_sub("c", r"\\require\{[^}]*\}", ""), r"\\textcircled\{([^}]*)\}", r"(\1)"),
+    _circled(),
+    f"CASE WHEN strpos(c, {sql_text(chr(92) + 'documentclass')}) > 0 THEN c ELSE {sql_text(chr(92) + 'documentclass{article}' + chr(10))} || c END",
+    f"CASE WHEN {_MISSING} = '' THEN c ELSE regexp_extract({_sub('c', r'\n\z', '', True)}, '{_CLASS_LINE}', 1) || chr(10) || {_MISSING} || regexp_extract({_sub('c', r'\n\z', '', True)}, '{_CLASS_LINE}(.*)$', 2) END",
+    f"CASE WHEN strpos(c, {_BEGIN}) > 0 THEN c WHEN regexp_matches(c, '{_LAST_PACKAGE}') THEN regexp_extract(c, '{_LAST_PACKAGE}', 1) || chr(10) || chr(10) || {_BEGIN} || chr(10) || substr(c, length(regexp_extract(c, '{_LAST_PACKAGE}', 1)) + 1) ELSE c || chr(10) || {_BEGIN} || chr(10) END",
+    f"CASE WHEN strpos(c, {_END}) > 0 THEN c ELSE {_rstrip('c')} || chr(10) || chr(10) || {_END} || chr(10) END",
+)
+_STATUS = f"{_FIXED}, j AS (SELECT id, latex, c, {_BODY} AS body, {_or_all('c', X.BODY)} AS fixed FROM a7), v AS (SELECT id, CASE WHEN {_truncated(2)} THEN 'TRUNCATED' WHEN {_structure('latex')} THEN 'PASS' WHEN {_structure('c')} AND NOT {_truncated(2, 'fixed')} THEN 'FIXED' ELSE 'FAIL' END AS status FROM j)"
+_CLEANED = f"WITH {ANNOTATIONS}, s AS (SELECT id, {_strip(_THINK.format(c='latex'))} AS c FROM ann), " + _steps(
+    "s",
+    f"CASE WHEN regexp_matches(c, {_re(X.FENCE)}) THEN {_strip(f'regexp_extract(c, {_re(X.FENCE)}, 1)')} WHEN starts_with(c, '```') THEN {_no_lone_fence('c')} ELSE c END",
+    f"CASE WHEN strpos(c, {sql_text(chr(92) + 'documentclass')}) = 0 THEN c WHEN strpos(reverse(c), reverse({_END})) > 0 THEN substr(c, strpos(c, {sql_text(chr(92) + 'documentclass')}), greatest(length(c) - strpos(reverse(c), reverse({_END})) + 2 - strpos(c, {sql_text(chr(92) + 'documentclass')}), 0)) ELSE substr(c, strpos(c, {sql_text(chr(92) + 'documentclass')})) END",
+    _strip("c"),
+)
+
+
+def _no_tokens(c: str) -> str:
+    return _sub(_sub(_sub(c, X.REGION, ""), X.SPECIAL, ""), X.PLACEHOLDER, "")
+
+
+def _no_furniture(c: str) -> str:
+    lines = f"string_split({_sub(c, r'\n\z', '', True)}, chr(10))"
+    return f"array_to_string(list_filter({lines}, lambda l: NOT regexp_matches({_strip('l')}, {_re(X.FURNITURE)})), chr(10))"
+
+
+def _wrapped(c: str) -> str:
+    return f"{sql_text(X.PREAMBLE)} || {_strip(c)} || {sql_text(X.POSTAMBLE)}"
+
+
+_DROPPED = ", ".join(f"'{r}'" for r in X.DROPPED_REGIONS)
+_REGIONS = f"""WITH {ANNOTATIONS}, s AS (SELECT id, {_strip('latex')} AS c FROM ann),
+p AS (SELECT id, c, list_transform(regexp_extract_all(c, {_re(X.DET)}, 1), lambda k: lower(k)) AS k, string_split_regex(c, {_re(X.DET)})[2:] AS t FROM s),
+q AS (SELECT id, CASE WHEN len(k) = 0 THEN {_no_furniture(_no_tokens('c'))} ELSE array_to_string(list_filter(list_transform(list_filter(list_zip(k, t), lambda z: z[1] NOT IN ({_DROPPED})), lambda z: {_strip(_no_furniture(_no_tokens('z[2]')))}), lambda x: x <> ''), chr(10) || chr(10)) END AS b FROM p)"""
+_UNMARKED = f"WITH {ANNOTATIONS}, s AS (SELECT id, {_strip(_sub(_sub(_strip('latex'), X.REGION, ''), X.SPECIAL, ''))} AS c FROM ann)"
+_TOKENS = f"regexp_extract_all(latex, {_re(X.TOKEN)})[1:{X.MAX_TOKENS}]"
 
 
 _WITH_BODY = f"WITH {ANNOTATIONS}, b AS (SELECT id, latex, {_BODY} AS body FROM ann)"
 _REFUSED = _has("lower(latex)", "'please provide the image'", "'please attach'", "'no handwritten content provided'", "'i cannot see'", "'no image'", "'unable to process'")
 _FLAGS = rf"""list_filter([
   CASE WHEN length(latex) < 300 THEN 'too_short' END, CASE WHEN length(latex) > 15000 THEN 'too_long' END,
-  CASE WHEN body <> latex AND NOT regexp_matches(body, '(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{{[^}}]+\}}.*?\\end\{{[^}}]+\}}') THEN 'no_math_detected' END,
+  CASE WHEN body <> latex AND NOT regexp_matches(body, {_re(X.MATH)}) THEN 'no_math_detected' END,
   CASE WHEN {_dollars('latex')} THEN 'unbalanced_dollars' END,
   CASE WHEN {_count('latex', B + " || 'begin{'")} <> {_count('latex', B + " || 'end{'")} THEN 'unbalanced_environments' END,
-  CASE WHEN regexp_matches(latex, '(?i)\\text\{{.*?illegible.*?\}}|\\textit\{{.*?illegible.*?\}}|\[.*?illegible.*?\]') THEN 'contains_illegible_marker' END,
+  CASE WHEN regexp_matches(latex, {_re(X.ILLEGIBLE)}) THEN 'contains_illegible_marker' END,
   CASE WHEN strpos(lower(latex), '<think>') > 0 THEN 'contains_think_block' END], lambda x: x IS NOT NULL)"""
 _SCORES = """s AS (SELECT l_returnflag AS model, l_linenumber AS ln, (l_orderkey * 31 + l_linenumber * 17) % 1000 AS n FROM lineitem),
 r AS (SELECT model, n % 1000 / 1000.0::DOUBLE AS cer, n * 3 % 1000 / 1000.0::DOUBLE AS ncer, n * 7 % 1000 / 1000.0::DOUBLE AS charsim, n * 9 % 1000 / 1000.0::DOUBLE AS tok_err,
@@ -72,16 +167,24 @@ _GRAMS = f"""WITH {PAIRS}, {MODELS}, t AS (SELECT model, id,
   regexp_extract_all({_NORM.format(c='ref')}, '\\\\[a-zA-Z]+\\*?|\\\\.|[{{}}()\\[\\]^_&+=\\-*/<>|]|[a-zA-Z0-9]+|\\S')[1:1200] AS r,
   regexp_extract_all({_NORM.format(c='hyp')}, '\\\\[a-zA-Z]+\\*?|\\\\.|[{{}}()\\[\\]^_&+=\\-*/<>|]|[a-zA-Z0-9]+|\\S')[1:1200] AS h FROM models)"""
 
+
+
+def _overlaps(most: int, grams: str) -> str:
+    """o(model, id, n, o): n-grams that both sides of t hold, each as often as the side that has fewer; grams: of {s}."""
+    sides = ", ".join(f"{s}c AS (SELECT model, id, n, g, count(*) AS c FROM (SELECT model, id, n, unnest({grams.format(s=s)}) AS g FROM t CROSS JOIN range(1, {most + 1}) x(n)) GROUP BY ALL)" for s in "rh")
+    return f"{sides}, o AS (SELECT model, id, n, sum(least(rc.c, hc.c)) AS o FROM rc JOIN hc USING (model, id, n, g) GROUP BY ALL)"
+
+
 ORACLES: dict[str, str] = {
     "txt1_normalize": _ann(_NORM.format(c="latex") + " AS normalized"),
     "txt3_canonical": _ann(_canon("latex") + " AS canonical"),
     "txt4_strip_reasoning": _ann(_THINK.format(c="latex") + " AS stripped"),
     "txt7_truncated_v1": f"{_WITH_BODY} SELECT id, {_truncated(1)} AS truncated FROM b",
     "txt8_truncated_v2": f"{_WITH_BODY} SELECT id, {_truncated(2)} AS truncated FROM b",
-    "txt14_strip_tokens": _ann(r"regexp_replace(regexp_replace(regexp_replace(latex, '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '<\|/?[a-z_]+\|>', '', 'g'), '!\[\]\(images/\d+\.jpg\)', '', 'g') AS kept"),
+    "txt14_strip_tokens": _ann(_no_tokens("latex") + " AS kept"),
     "txt15_body": _ann(_BODY + " AS body"),
-    "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, '(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{{[^}}]+\}}.*?\\end\{{[^}}]+\}}') END AS has_math FROM b",
-    "txt17_illegible": _ann(r"regexp_matches(latex, '(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]') AS illegible"),
+    "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, {_re(X.MATH)}) END AS has_math FROM b",
+    "txt17_illegible": _ann(f"regexp_matches(latex, {_re(X.ILLEGIBLE)}) AS illegible"),
     "txt19_log_error": _ann("CASE WHEN substr(id, 8, 1) < '5' THEN '! Undefined' ELSE 'Unknown error' END AS error"),
     "txt20_labels": _ann("'a_b_' || id AS label"),
     "txt21_content_hash": _ann("md5(latex) AS md5, substr(md5(latex), 1, 8) AS short"),
@@ -170,4 +273,38 @@ SELECT p_partkey, CASE WHEN big <= 2048 THEN h ELSE floor(h * 2048.0::DOUBLE / b
     "str8_liveness": "SELECT user_id AS source, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 3600000000 AS alive FROM events GROUP BY user_id",
     "str9_idle_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
+    "txt2_tokenize": _ann(f"array_to_string({_TOKENS}, chr(31)) AS tokens, len({_TOKENS})::BIGINT AS n_tokens"),
+    "txt5_clean_response": f"{_CLEANED} SELECT id, c AS cleaned FROM a2",
+    "txt6_clean_response_v1": _ann(_strip(_sub(_sub(_strip("latex"), r"\A```(?:latex|tex)?", "", True), r"```\z", "", True)) + " AS cleaned"),
+    "txt9_truncation_reason": f"{_WITH_BODY} SELECT id, CASE WHEN NOT {_truncated(1)} THEN 'compile_fail' WHEN {_dollars('body')} THEN 'unbalanced_dollars' WHEN {_brackets('body', 1)} THEN 'unbalanced_brackets' WHEN {_envs('body')} THEN 'unbalanced_envs' WHEN regexp_matches({_last('body')}, '\\\\\\\\\\s*$') THEN 'ends_with_double_backslash' ELSE 'dangling_operator' END AS reason FROM b",
+    "txt10_auto_fix": f"{_FIXED} SELECT id, c AS fixed FROM a7",
+    "txt11_to_document": f"{_REGIONS} SELECT id, {_wrapped(_sub(_sub('b', X.HEADING, ''), r'\n{3,}', chr(10) * 2))} AS document FROM q",
+    "txt12_finish_document": f"{_UNMARKED} SELECT id, CASE WHEN strpos(c, {sql_text(chr(92) + 'documentclass')}) > 0 AND strpos(c, {_END}) > 0 THEN c ELSE {_wrapped(_sub('c', X.HEADING, ''))} END AS document FROM s",
+    "txt13_drop_furniture": _ann(_no_furniture("latex") + " AS kept"),
+    "txt18_yes_no": f"WITH {ANNOTATIONS}, s AS (SELECT id, latex || CASE WHEN substr(id, 8, 1) < '5' THEN ' Yes.' ELSE ' nothing' END AS c FROM ann), v AS (SELECT id, regexp_extract(upper({_THINK.format(c='c')}), '\\b(YES|NO)\\b', 1) AS v FROM s) SELECT id, CASE WHEN v = '' THEN '?' ELSE v END AS verdict FROM v",
+    "txt26_messages": _ann("""'[{"role":"system","content":"Transcribe."},{"role":"user","content":' || to_json(latex) || '}]' AS request"""),
+    "met8_bleu": f"""{_GRAMS}, {_overlaps(4, "list_transform(generate_series(1, len({s}) - n + 1), lambda i: array_to_string({s}[i:i + n - 1], chr(31)))")},
+k AS (SELECT t.model, t.id, n, coalesce(o, 0) AS o, greatest(len(h) - n + 1, 0) AS c, CASE WHEN len(h) >= len(r) THEN 1.0::DOUBLE ELSE exp(1 - len(r)::DOUBLE / greatest(1, len(h))) END AS bp, len(r) > 0 AND len(h) > 0 AS filled FROM t CROSS JOIN range(1, 5) x(n) LEFT JOIN o USING (model, id, n))
+SELECT model, id, round(CASE WHEN any_value(filled) THEN any_value(bp) * exp(sum(ln((o + 1e-9::DOUBLE) / (c + 1e-9::DOUBLE))) / 4) ELSE 0 END, 4) AS bleu,
+  round(CASE WHEN any_value(filled) THEN any_value(bp) * exp(sum(ln((o + 1e-4::DOUBLE) / (greatest(c, 1) + 1e-4::DOUBLE))) / 4) ELSE 0 END, 4) AS bleu_v2 FROM k GROUP BY model, id""",
+    "met11_chrf": f"""WITH {PAIRS}, {MODELS}, t AS (SELECT model, id, {_NORM.format(c='ref')} AS r, {_NORM.format(c='hyp')} AS h FROM models), {_overlaps(6, "list_transform(generate_series(1, length({s}) - n + 1), lambda i: substr({s}, i, n))")},
+k AS (SELECT t.model, t.id, n, coalesce(o, 0)::DOUBLE AS o, greatest(length(r) - n + 1, 0) AS nr, greatest(length(h) - n + 1, 0) AS nh FROM t CROSS JOIN range(1, 7) x(n) LEFT JOIN o USING (model, id, n)),
+f AS (SELECT model, id, coalesce(avg(o / nh) FILTER (nr > 0 AND nh > 0), 0) AS p, coalesce(avg(o / nr) FILTER (nr > 0 AND nh > 0), 0) AS q FROM k GROUP BY model, id)
+SELECT model, id, round(CASE WHEN p + q > 0 THEN 5 * p * q / (4 * p + q) ELSE 0 END, 4) AS chrf FROM f""",
+    "agg2_status_counts": f"{_STATUS} SELECT status, count(*) AS n FROM v GROUP BY status",
+    "orc3_validate": f"{_STATUS} SELECT id, status FROM v",
+    "agg6_agreement": f"""WITH {PAIRS}, {MODELS}, m AS (SELECT {_NORM.format(c='ref')} AS a, CASE WHEN id % 10 <> 0 THEN {_NORM.format(c='hyp')} END AS b FROM models WHERE model <> 'd'),
+c AS (SELECT levenshtein(a, b)::DOUBLE / greatest(1, length(a)) AS c FROM m) SELECT count_if(coalesce(c <= 0.1, false))::BIGINT AS kept, count_if(NOT coalesce(c <= 0.1, false))::BIGINT AS rejected, median(round(c, 4)) AS median_cer FROM c""",
+    "win5_ema": f"""WITH RECURSIVE {STEPS}, e(user_id, step, a, b) AS (SELECT user_id, step, loss, loss FROM steps WHERE step = 1
+  UNION ALL SELECT s.user_id, s.step, 0.8::DOUBLE * a + (1 - 0.8::DOUBLE) * loss, 0.85::DOUBLE * b + (1 - 0.85::DOUBLE) * loss FROM e JOIN steps s ON s.user_id = e.user_id AND s.step = e.step + 1)
+SELECT user_id, round(arg_max(a, step), 6) AS ema, round(arg_max(b, step), 6) AS ema_slow FROM e GROUP BY user_id""",
+    "win10_early_stop": f"""WITH RECURSIVE {STEPS}, e(user_id, step, best, bad) AS (SELECT user_id, step, loss, 0 FROM steps WHERE step = 1
+  UNION ALL SELECT s.user_id, s.step, CASE WHEN loss < best - 1e-4::DOUBLE THEN loss ELSE best END, CASE WHEN loss < best - 1e-4::DOUBLE THEN 0 ELSE bad + 1 END FROM e JOIN steps s ON s.user_id = e.user_id AND s.step = e.step + 1 WHERE bad < 3)
+SELECT user_id, max(step) FILTER (bad >= 3) AS stop, arg_max(best, step) AS best FROM e GROUP BY user_id""",
+    "arr8_state_hash": """SELECT n_nationkey, substr(md5('{"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}'), 1, 12) AS state FROM nation""",
+    "arr11_labels": """WITH d AS (SELECT doc_id, range(1, doc_id % 4 + 2) AS p, range(10, doc_id % 9 + 11) AS t FROM documents)
+SELECT doc_id, array_to_string(list_resize(list_concat(list_transform(p, lambda x: -100), list_concat(t[1:greatest(12 - len(p) - 1, 0)], [2])), 12, -100), ',') AS labels, array_to_string(list_resize(list_concat(p, t), 12, 0), ',') AS ids FROM d""",
+    "arr12_loss_start": """WITH d AS (SELECT doc_id, list_concat([5, 7], list_concat(CASE WHEN doc_id % 3 > 0 THEN [7, 9] ELSE [9, 9] END, [1, 2])) AS ids FROM documents),
+s AS (SELECT doc_id, ids, (len(ids) - list_position(list_reverse(ids), 7) + 1)::INT AS pos FROM d), b AS (SELECT doc_id, ids, pos + CASE WHEN ids[pos + 1] = 9 THEN 1 ELSE 0 END AS start FROM s)
+SELECT doc_id, start, array_to_string(list_concat(list_transform(range(start), lambda x: -100), ids[start + 1:]), ',') AS labels FROM b""",
 }

@@ -89,7 +89,7 @@ def met2_char_metrics(spark, sf_dir):
 def _sequence(spark, sf_dir, *names):
     p = models(spark, sf_dir)
     r, h = X.normalize(F.col("ref")), X.normalize(F.col("hyp"))
-    m = p.select("model", "id", metrics.sequence_metrics(X.tokenize(r), X.tokenize(h), r, h).alias("m"))
+    m = p.select("model", "id", metrics.sequence_metrics(*names)(X.tokenize(r), X.tokenize(h), r, h).alias("m"))
     return m.select("model", "id", *(F.round(f"m.{n}", 4).alias(n) if n not in ("tok_lev", "lcs") else F.col(f"m.{n}").alias(n) for n in names))
 
 
@@ -126,7 +126,7 @@ def met16_self_consistency(spark, sf_dir):
 
 @query
 def agg1_model_summary(spark, sf_dir):
-    return aggregates.summarize(metrics.score(models(spark, sf_dir)), "model")
+    return aggregates.summarize(metrics.score(models(spark, sf_dir), metrics=("bleu", "rouge_l", "math_f1", "chrf")), "model")
 
 
 def _score_rows(spark, sf_dir):

@@ -114,8 +114,16 @@ def dry_run(rows: DataFrame, generate: Callable[[DataFrame], DataFrame], n: int,
 
 
 def register_functions(spark) -> None:
-    """ORC5: the sequence metrics as SQL functions."""
+    """ORC5: the sequence metrics as SQL functions over arrays of strings, a batch of rows at a time; null is an empty sequence."""
+    import pandas as pd
+
     from vellum.functions import metrics as M
 
-    spark.udf.register("token_edit_distance", lambda a, b: M.edit_distance(a or [], b or []), "int")
-    spark.udf.register("lcs_length", lambda a, b: M.lcs_length(a or [], b or []), "int")
+    def over(f):
+        def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([f([] if x is None else x.tolist(), [] if y is None else y.tolist()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+        return F.pandas_udf(batch, "int")
+
+    spark.udf.register("token_edit_distance", over(M.edit_distance))
+    spark.udf.register("lcs_length", over(M.lcs_length))
