@@ -3,12 +3,16 @@
 The n-grams of the test items are counted in all documents; the rarest half of each item's are its
 seeds. A passage that holds two seeds of an item within a span of twice its length (one, where the item
 has but one) is aligned with the item word by word; its score is the Smith-Waterman score over that of
-the unchanged item, so an edited or paraphrased copy scores by what is left of it. An excerpt that scores
-like LONG unchanged words counts whatever its share of the item; any LONG words of an item hold two seeds. Items are taken in
-blocks of bounded size, so a large benchmark costs more passes and not more memory.
-
-Words are lower-cased runs of letters and digits. Null or empty text: no rows. Items without a word
-find nothing. Repeated items each find their passages.
+the unchanged item, so an edited or paraphrased copy scores by what is left of it; one that keeps no two seeds isn't aligned. An excerpt that scores
+like LONG unchanged words counts whatever its share of the item; any LONG words of an item hold two seeds. A passage
+is told for each place of the best alignment; what lies before and behind it is aligned anew, so copies that stand
+close together are all told. Items are taken in blocks of bounded size, so a large benchmark costs more passes and not
+more memory.
+
+Words are lower-cased runs of letters and digits. Null or empty text: no rows; so are an empty table of documents or
+items. Items of fewer than SHORTEST words find nothing, as any text may hold them. Repeated items and repeated rows
+each find their passages; a null id is told as null. ``contaminated`` takes the best item of each id, of equal scores the least.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Unchanged words of an item that count as a leak on their own.
 LONG = 20
+#: Items of fewer words are no evidence.
+SHORTEST = 4
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -43,12 +49,28 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def alignments(item: np.ndarray, words: np.ndarray, enough: float):
+    """(score, first, end) in words of each place where the item scores enough: the best one, then those before and behind it."""
+    todo = [(0, len(words))]
+    while todo:
+        lo, hi = todo.pop()
+        if MATCH * min(len(item), hi - lo) < enough:
+            continue
+        score, end = smith_waterman(item, words[lo:hi])
+        if score < enough:
+            continue
+        back, length = smith_waterman(item[::-1], words[lo : lo + end][::-1])
+        first = lo + end - length if back == score else max(lo, lo + end - len(item))
+        yield score, first, lo + end
+        todo += [(lo, first), (lo + end, hi)]
+
+
 class Items:
     """A block of test items as word hashes with their n-grams."""
 
     def __init__(self, ids: list[int], texts: list[bytes | None], n: int):
         self.ids, self.n = ids, n
-        self.words = [Tokens([t or b""]).h for t in texts]
+        self.words = [h if len(h) >= SHORTEST else h[:0] for h in (Tokens([t or b""]).h for t in texts)]
         grams = [np.unique(windows(w, n)) if len(w) >= n else np.unique(windows(w, len(w))) if len(w) else w for w in self.words]
         self.size = [min(n, len(w)) for w in self.words]
         self.gram = np.concatenate(grams) if grams else np.empty(0, U64)
@@ -72,8 +94,9 @@ class Items:
         """Keeps the rarest half of each item's n-grams, ties included, and the two rarest of any LONG words, as seeds."""
         df = counts[np.searchsorted(self.known, self.gram)]
         keep = np.zeros(len(self.gram), bool)
+        edge = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
         for o in range(len(self.words)):
-            mine = np.flatnonzero(self.owner == o)
+            mine = np.arange(edge[o], edge[o + 1])
             if len(mine):
                 keep[mine] = df[mine] <= np.sort(df[mine])[(len(mine) - 1) // 2]
                 keep[mine] |= np.isin(self.gram[mine], self._rarest(o, counts))
@@ -121,9 +144,8 @@ class Items:
             size = int(length[o])
             first = max(int(t.first[d]), int(group[0, 2]) - size)
             last = min(int(t.first[d + 1]), int(group[-1, 2]) + self.n + size)
-            score, end = smith_waterman(self.words[o], t.h[first:last])
-            if score >= MATCH * min(least * size, LONG):
-                yield d, o, score / (MATCH * size), max(first, first + end - size) - int(t.first[d]), first + end - int(t.first[d])
+            for score, begin, end in alignments(self.words[o], t.h[first:last], MATCH * min(least * size, LONG)):
+                yield d, o, score / (MATCH * size), first + begin - int(t.first[d]), first + end - int(t.first[d])
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, n: int):
@@ -157,8 +179,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, least:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
         counts = np.zeros(len(items.known), np.int64)
-        for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["gram"]] = r["n"]
+        seen = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        counts[seen.column("gram").to_numpy()] = seen.column("n").to_numpy()
         items.choose(counts)
 
         def scan(batches, items=items):
