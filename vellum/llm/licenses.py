@@ -6,13 +6,16 @@ alignment, the longest increasing sequence of anchors is kept, and the gaps betw
 way. The share of the template's words that align is its coverage. A short template can fit without a pair of
 neighbours, so its regions are the spans that hold enough of its single words.
 
-Words are lower-cased runs of letters and digits. Null or empty text: no rows. Templates are a
-parameter of at most MAX_TEMPLATE_WORDS words in all; they travel with the tasks.
+Words are lower-cased runs of letters and digits. Null or empty text and an empty table: no rows. Each notice in a text is a
+row, repeated rows and ids each have theirs, a null id is told as null; where several templates fit one place, each is told.
+Extra columns are ignored. Templates are a parameter, or a table that ``templates_from`` reads, of at most MAX_TEMPLATE_WORDS words in
+all; they travel with the tasks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,12 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
     "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -199,20 +207,35 @@ class Scanner:
 
     def _starts(self, region: list, o: int):
         """Where the template may begin: at a word of its first quarter or at one of those of which a fit holds one, no two starts within one template's length once it fits."""
-        head = self.head[o]
-        at, size = 0, len(self.words[o])
-        every, known = set(self.words[o]), [0]
-        for w in region:
-            known.append(known[-1] + (w in every))
-        least = self.coverage * size
+        head, size = self.head[o], len(self.words[o])
+        span, least = size + size // 4 + 2, self.coverage * size
+        at, end, held, able = 0, 0, Counter(), 0
+        wanted = Counter(self.words[o])
         while at < len(region):
-            # No more words can align than are the template's at all.
-            able = known[min(at + size + size // 4 + 2, len(region))] - known[at] >= least
-            if able and region[at] in head and len(patience(self.words[o], region[at : at + size + size // 4 + 2])) >= self.coverage * size:
+            # No more words can align than are the template's, each as often as there.
+            while end < min(at + span, len(region)):
+                w = region[end]
+                held[w] += 1
+                able += held[w] <= wanted[w]
+                end += 1
+            step = 1
+            if able >= least and region[at] in head and len(patience(self.words[o], region[at : at + span])) >= least:
                 yield at
-                at += size
-            else:
-                at += 1
+                step = size
+            for w in region[at : min(at + step, end)]:
+                able -= held[w] <= wanted[w]
+                held[w] -= 1
+            at += step
+
+
+def templates_from(table: DataFrame, name: str = "name", text: str = "text") -> dict[str, str]:
+    """A table of templates as scan_licenses takes them. Rows without a name or a word don't count; two texts of one name, or more than MAX_TEMPLATE_WORDS words, raise ValueError."""
+    rows = table.select(F.col(name).alias("name"), F.col(text).alias("text")).where(F.col(name).isNotNull() & F.col(text).isNotNull()).distinct().limit(MAX_TEMPLATE_WORDS + 1).collect()
+    found = {r["name"]: r["text"] for r in sorted(rows) if len(Tokens([r["text"].encode()]).h)}
+    if len({r["name"] for r in rows}) < len(rows):
+        raise ValueError("two templates of one name")
+    Scanner(found, 1.0)
+    return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
