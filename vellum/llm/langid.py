@@ -6,7 +6,9 @@ Document frequencies are counted over all learnable documents. The weights come
 regularised-leader with elastic-net penalties, on a bounded balanced sample (``sample`` rows, a
 documented parameter); a part of the sample that training leaves out then sets the temperature.
 
-Null text or a text without a letter: ``und``, score 0. Without a learnable document everything is ``und``.
+Null text or a text without a letter: ``und``, score 0. Without a learnable document everything is ``und``, so an empty
+table gives no rows. Null and repeated ids are sampled by id and text; rows alike are fitted once. Texts of any length are
+counted whole. Of columns besides those to keep only the text is read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_letter = _letters()[np.minimum(points, 0xFFFF)]
     far = np.flatnonzero(points > 0xFFFF)
     is_letter[far] = [chr(p).isalpha() for p in points[far].tolist()]
-    keep = is_letter | np.concatenate(([True], is_letter[:-1]))  # of a run of others the first
+    keep = is_letter | np.concatenate(([False], is_letter[:-1]))  # of a run of others the first behind a letter, wherever the text stands
     points, doc = np.where(is_letter, points, 0)[keep], doc[keep]
     some = np.bincount(doc[points > 0], minlength=len(texts)) > 0
     h = mix(points.astype(U64) + U64(1))
@@ -64,11 +66,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents each bucket occurs, and the number of documents: summed over all rows in slices."""
-    slices = 16
+    """In how many documents each bucket occurs, and the number of documents: each task counts its own, the sums are native and at most BUCKETS + 1 rows."""
 
     def count(batches):
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
             for _, part in portions(utf8(b.column(0))):
                 f, owner, _ = features(part)
@@ -76,20 +77,15 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
                     seen = np.zeros((min(128, len(part) - lo), BUCKETS), bool)
                     own = (owner >= lo) & (owner < lo + 128)
                     seen[owner[own] - lo, f[own]] = True
-                    total += seen.sum(axis=0)
-                n += len(part)
-        if n:
-            yield pa.RecordBatch.from_pylist([{"k": k, "n": n, "df": x.tobytes()} for k, x in enumerate(np.split(total, slices))], pa.schema([("k", pa.int32()), ("n", pa.int64()), ("df", pa.binary())]))
+                    total[:BUCKETS] += seen.sum(axis=0)
+                total[BUCKETS] += len(part)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-    def add(key: tuple[pa.Scalar, ...], batches: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in batches.column("df").to_pylist())
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(batches.column("n").to_pylist())], pa.int64()), "df": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select(text).mapInArrow(count, "k int, n long, df binary").groupBy("k").applyInArrow(add, "k int, n long, df binary").collect()
-    df, n = np.zeros(BUCKETS, np.int64), 0
-    for r in rows:
-        df[r["k"] * BUCKETS // slices :][: BUCKETS // slices], n = np.frombuffer(bytes(r["df"]), np.int64), r["n"]
-    return df, n
+    found = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(BUCKETS + 1, np.int64)
+    df[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return df[:BUCKETS], int(df[BUCKETS])
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-6, seed: int = 5) -> np.ndarray:
@@ -166,9 +162,9 @@ def fit(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str
                     out.append({"lang": b.column(0)[at + i].as_py(), "f": x.astype(np.uint32).tobytes(), "c": c.astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("f", pa.binary()), ("c", pa.binary())]))
 
-    chosen = balanced(usable.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang")), "lang", "id", sample)
-    picked = usable.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("id"))).select("lang", "text", "id")
-    rows = picked.select("lang", "text").mapInArrow(counted, "lang string, f binary, c binary").collect()
+    # Rows alike in language and counts are fitted once: copies teach nothing, and a repeated row can't fill the driver.
+    chosen = balanced(usable.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")), "lang", ["id", "h"], sample)
+    rows = chosen.select("lang", "text").mapInArrow(counted, "lang string, f binary, c binary").distinct().collect()
     rows = sorted(((r["lang"], bytes(r["f"]), bytes(r["c"])) for r in rows if len(r["f"])))
     if not rows:
         return None

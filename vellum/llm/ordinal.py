@@ -7,7 +7,9 @@ adaptive gradient steps with soft thresholding on a bounded balanced sample of t
 probability of reaching ``select_from``, by which ``selected`` decides.
 
 Null or empty text: no tokens, so its score comes from the thresholds alone. Without ratings the
-scores are null and everything is selected.
+scores are null and everything is selected; an empty table gives no rows. Of an id with several ratings the least counts;
+of a repeated id one text is fitted. Ratings of a null id or out of range don't count. Texts are
+read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,9 +89,10 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: in
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: str, levels: int, sample: int = 12_000, key: str = "doc_id", text: str = "text") -> Model | None:
     """ratings: (doc_id, grade from 0 to levels - 1). None if no rated document has a text."""
-    good = ratings.where(F.col(grade).between(0, levels - 1)).select(F.col(key).alias("id"), F.col(grade).cast("int").alias("grade"))
-    chosen = balanced(good, "grade", "id", sample)
-    picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("grade", "text", "id")
+    good = ratings.where(F.col(grade).between(0, levels - 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(grade).cast("int")).alias("grade"))
+    chosen = balanced(good, "grade", ["id"], sample)
+    usable = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    picked = usable.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("grade", "text", "id")  # at most sample ids
 
     def counted(batches):
         for b in batches:
@@ -100,7 +103,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str, levels: int, sample: in
                 out += [{"grade": b.column(0)[at + i].as_py(), "id": b.column(2)[at + i].as_py(), "f": f[edge[i] : edge[i + 1]].astype(np.uint32).tobytes()} for i in range(len(part))]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("grade", pa.int32()), ("id", pa.int64()), ("f", pa.binary())]))
 
-    rows = sorted((r["id"], r["grade"], bytes(r["f"])) for r in picked.mapInArrow(counted, "grade int, id long, f binary").collect())
+    # An id may have many rows, of which the one with the least hash is fitted: the driver gets no more than the sample.
+    found = picked.mapInArrow(counted, "grade int, id long, f binary").groupBy("id").agg(F.min(F.struct(F.xxhash64("f"), "f", "grade")).alias("r")).select("id", "r.grade", "r.f")
+    rows = sorted((r["id"], r["grade"], bytes(r["f"])) for r in found.collect())
     if not rows:
         return None
     return fit_rows([np.frombuffer(f, np.uint32).astype(np.int64) for _, _, f in rows], np.array([g for _, g, _ in rows]), levels)

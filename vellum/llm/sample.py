@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Labels up to which their counts are broadcast (a few dozen bytes each); beyond, they are joined by shuffle.
+BROADCAST_LABELS = 20_000
 
-def balanced(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """At most n rows; labels get shares that are as even as their rows allow. Reruns agree.
 
-    A row's key is -ln(u) times its label's rows, u from a hash of its id: the n least come off one
-    top-n per partition, so no task sorts a label.
+def balanced(rows: DataFrame, label: str, keys: list[str], n: int) -> DataFrame:
+    """rows cut to about n; labels get shares that are as even as their rows allow. Reruns agree.
+
+    A row's key is -ln(u) times its label's rows, u from a hash of the columns ``keys`` (nulls count as values). The
+    n-th least key comes off one top-n per partition, so no task sorts a label, and is then a plain filter: nothing is
+    joined back. Rows alike in ``keys`` and label have one key and stay or go together, so callers take them once.
     """
     counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_rows"))
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40)).cast("double") + 1.0) / float((1 << 40) + 1)
-    keyed = rows.join(counts, F.col(label) == F.col("_label")).withColumn("_at", -F.log(u) * F.col("_rows"))
-    return keyed.orderBy("_at", key).limit(n).drop("_label", "_rows", "_at")
+    hint = F.broadcast if counts.count() <= BROADCAST_LABELS else (lambda x: x)
+    u = (F.pmod(F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(17)), F.lit(1 << 40)).cast("double") + 1.0) / float((1 << 40) + 1)
+    keyed = rows.join(hint(counts), F.col(label) == F.col("_label")).withColumn("_at", -F.log(u) * F.col("_rows"))
+    last = keyed.select("_at").orderBy("_at").limit(n).agg(F.max("_at")).first()[0]
+    return keyed.where(F.col("_at") <= F.lit(last)).drop("_label", "_rows", "_at")
