@@ -2,12 +2,15 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vellum.llm import chat, decontam, jaccard, kit, langid, ledger, licenses, mixing, ordinal, substring, urls
+from vellum.llm.oracles import ORACLES
+from vellum.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
 
@@ -310,16 +313,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(got) == set(range(35)) - {31, 32} and got[34]["size"] == 50 and got[33]["size"] == 110
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op9_source_mix"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
-    import duckdb
-
-    from vellum.llm.oracles import ORACLES
-    from vellum.llm.queries import QUERIES
-
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = QUERIES[name](spark, d)
     want = con.sql(ORACLES[name])

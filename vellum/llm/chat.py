@@ -1,19 +1,24 @@
 """Chat formatting: schema fingerprints select mappings that turn any known layout into canonical turns.
 
-``fingerprint`` hashes the sorted nested field paths of a schema. MAPPINGS holds, under such hashes,
-declarative mappings to an array of (role, text). ``rows_to_turns`` does the same for the layout that
-has a row for each turn. ``render`` writes turns with a template; control strings inside of texts are escaped
-reversibly, and the loss mask holds the spans of assistant texts. ``read_back`` takes turns and loss
-text from this output alone.
+A layout's fingerprint hashes its sorted nested field paths. MAPPINGS holds, under such hashes, declarative mappings
+to turns. ``to_turns`` takes the fingerprint of each row, over its fields that aren't null, so one table may mix layouts
+row by row; where no mapping has it, the mapping with the fewest fields of which the row's are a part is taken, and the
+others of its fields are empty. ``rows_to_records`` puts tables with a row for each turn together first. ``render`` writes
+turns with a template; control strings inside of texts are escaped reversibly, and the loss mask holds the spans
+of assistant texts. ``read_back`` takes turns and loss text from this output alone.
 
 Null text and null role are empty; null turn numbers come first; rows with equal turn numbers go by role,
-then text. A null conv_id is a conversation of its own. An unknown layout raises ValueError.
+then text, and repeated rows are turns of their own. The rows with a null id are one conversation. Columns that no layout
+knows pass through ``to_turns`` and ``render`` (those named turns, formatted or loss are replaced); with a row for each turn
+they can't belong to a conversation and go. A table without the columns of any layout raises ValueError; a row without any
+known field has turns null and renders as an empty conversation. An empty table gives no rows. A conversation is one string.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,65 +44,106 @@ def paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(schema: T.StructType | list[str], ignore=("id", "conv_id")) -> str:
-    """A hash of the field paths, without those of ids."""
-    found = schema if isinstance(schema, list) else paths(schema)
-    return hashlib.sha256("\n".join(sorted(p for p in found if p not in ignore)).encode()).hexdigest()[:16]
+def fingerprint(found: list[str]) -> str:
+    """A hash of field paths, whatever their order."""
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def _said(*turns: tuple[str, Column]) -> Column:
-    """Turns with roles as given; a system turn only where it has text."""
-    each = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(c.cast("string"), F.lit("")).alias("text")) for r, c in turns))
-    return F.filter(each, lambda t: (t["role"] != "system") | (t["text"] != ""))
+@dataclass(frozen=True)
+class Said:
+    """Turns from columns: (role, columns); texts of several columns are parted by an empty line. A system turn is left out where it is empty."""
 
+    turns: tuple[tuple[str, tuple[str, ...]], ...]
 
-def _listed(column: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
-    def one(m):
-        r = m[role].cast("string")
-        for a, b in (names or {}).items():
-            r = F.when(m[role] == a, F.lit(b)).otherwise(r)
-        return F.struct(F.coalesce(r, F.lit("")).alias("role"), F.coalesce(m[text].cast("string"), F.lit("")).alias("text"))
+    @property
+    def layout(self) -> list[str]:
+        return [c for _, columns in self.turns for c in columns]
 
-    return F.coalesce(F.transform(F.col(column), one), F.array().cast(TURNS))
+    def column(self, there: set[str]) -> Column:
+        def text(columns):
+            parts = [F.col(f"`{c}`").cast("string") for c in columns if c in there]
+            return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), "\n\n") if len(parts) > 1 else F.coalesce(*parts, F.lit(""))
 
+        each = F.array(*(F.struct(F.lit(r).alias("role"), text(c).alias("text")) for r, c in self.turns))
+        return F.filter(each, lambda t: (t["role"] != "system") | (t["text"] != ""))
 
-def _prompt(instruction: str, more: str) -> Column:
-    a, b = F.coalesce(F.col(instruction), F.lit("")), F.coalesce(F.col(more), F.lit(""))
-    return F.when(b == "", a).otherwise(F.concat(a, F.lit("\n\n"), b))
 
+@dataclass(frozen=True)
+class Listed:
+    """Turns from an array of structs, with names of roles as they are called elsewhere."""
 
-_SPOKEN = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: By fingerprint: the mapping from the layout's columns to turns.
+    array: str
+    role: str
+    text: str
+    names: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def layout(self) -> list[str]:
+        return [f"{self.array}[].{self.role}", f"{self.array}[].{self.text}"]
+
+    def column(self, there: set[str]) -> Column:
+        def one(m):
+            r = m[self.role].cast("string")
+            for a, b in self.names:
+                r = F.when(m[self.role] == a, F.lit(b)).otherwise(r)
+            return F.struct(F.coalesce(r, F.lit("")).alias("role"), F.coalesce(m[self.text].cast("string"), F.lit("")).alias("text"))
+
+        return F.coalesce(F.transform(F.col(f"`{self.array}`"), one), F.array().cast(TURNS))
+
+
+_SPOKEN = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+#: By fingerprint: the mapping of a layout to turns.
 MAPPINGS = {
-    fingerprint(layout): mapping
-    for layout, mapping in [
-        (["prompt", "response"], lambda: _said(("user", F.col("prompt")), ("assistant", F.col("response")))),
-        (["prompt", "completion"], lambda: _said(("user", F.col("prompt")), ("assistant", F.col("completion")))),
-        (["question", "answer"], lambda: _said(("user", F.col("question")), ("assistant", F.col("answer")))),
-        (["system", "prompt", "response"], lambda: _said(("system", F.col("system")), ("user", F.col("prompt")), ("assistant", F.col("response")))),
-        (["instruction", "output"], lambda: _said(("user", F.col("instruction")), ("assistant", F.col("output")))),
-        (["instruction", "input", "output"], lambda: _said(("user", _prompt("instruction", "input")), ("assistant", F.col("output")))),
-        (["messages[].role", "messages[].content"], lambda: _listed("messages", "role", "content", _SPOKEN)),
-        (["conversations[].from", "conversations[].value"], lambda: _listed("conversations", "from", "value", _SPOKEN)),
-        (["conversations[].role", "conversations[].content"], lambda: _listed("conversations", "role", "content", _SPOKEN)),
-    ]
+    fingerprint(m.layout): m
+    for m in (
+        *(Said((("user", (a,)), ("assistant", (b,)))) for a, b in (("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output"))),
+        Said((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+        Said((("user", ("instruction", "input")), ("assistant", ("output",)))),
+        Said((("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+        Listed("messages", "role", "content", _SPOKEN),
+        Listed("conversations", "from", "value", _SPOKEN),
+        Listed("conversations", "role", "content", _SPOKEN),
+    )
 }
 #: The layout with a row for each turn.
-BY_ROW = fingerprint(["turn", "role", "text"])
+BY_ROW = ("turn", "role", "text")
+
+
+def row_fingerprint(fields: list[T.StructField]) -> Column:
+    """The fingerprint of each row: of the paths below its top fields that aren't null."""
+    each = sorted((p, f.name) for f in fields for p in paths(f.dataType, f.name))
+    there = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"`{name}`").isNotNull(), F.lit(p)) for p, name in each))), "\n")
+    return F.sha2(there, 256)
 
 
 def to_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(conv_id, turns) of a table in any known layout."""
-    known = fingerprint(T.StructType([f for f in df.schema.fields if f.name != key]))
-    if known == BY_ROW:
-        return rows_to_turns(df, key)
-    if known not in MAPPINGS:
+    """df's key as conv_id, turns, and the columns that no layout knows."""
+    named = {f.name for f in df.schema.fields}
+    if set(BY_ROW) <= named:
+        df, key = rows_to_records(df, key), "conv_id"
+    top = {p.split("[")[0] for m in MAPPINGS.values() for p in m.layout}
+    known = [f for f in df.schema.fields if f.name != key and f.name in top]
+    other = [f.name for f in df.schema.fields if f.name not in (key, "conv_id", "turns", *(k.name for k in known))]
+    whole = set(p for f in known for p in paths(f.dataType, f.name))
+    able = sorted(((h, m) for h, m in MAPPINGS.items() if set(m.layout) <= whole), key=lambda x: (len(x[1].layout), x[0]))
+    if not able:
         raise ValueError(f"no mapping for the layout {sorted(paths(df.schema))}")
-    return df.select(F.col(key).alias("conv_id"), MAPPINGS[known]().alias("turns"))
+    mine, turns = row_fingerprint(known), F.lit(None).cast(TURNS)
+    there = [F.col(f"`{f.name}`").isNotNull() for f in known]
+    some = F.greatest(*(t.cast("int") for t in there), F.lit(0)) > 0
+    for _, m in reversed(able):
+        part = [~t for t, f in zip(there, known, strict=True) if not set(paths(f.dataType, f.name)) <= set(m.layout)]
+        fits = some
+        for p in part:
+            fits = fits & p
+        turns = F.when(fits, m.column(whole)).otherwise(turns)
+    for h, m in able:
+        turns = F.when(mine == F.lit(h), m.column(whole)).otherwise(turns)
+    return df.select(F.col(f"`{key}`").alias("conv_id"), turns.alias("turns"), *(F.col(f"`{c}`") for c in other))
 
 
 def _conversations(batches):
-    """(id, [(role, text)]) of sorted rows, across batches."""
+    """(id, messages) of sorted rows, across batches."""
     held, turns, any_ = None, [], False
     for b in batches:
         for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -105,28 +151,28 @@ def _conversations(batches):
                 yield held, turns
                 turns = []
             held, any_ = i, True
-            turns.append({"role": r or "", "text": t or ""})
+            turns.append({"role": r, "content": t})
     if any_:
         yield held, turns
 
 
-def rows_to_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(conv_id, turns) of a row for each turn: one shuffle by conversation, sorted on the disk where need be."""
+def rows_to_records(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(conv_id, messages array<struct<role, content>>) of a row for each turn: one shuffle by conversation, sorted on the disk where need be."""
 
     def gather(batches):
         out, size = [], 0
         for i, turns in _conversations(batches):
-            out.append({"conv_id": i, "turns": turns})
-            size += sum(len(t["text"]) for t in turns)
+            out.append({"conv_id": i, "messages": turns})
+            size += sum(len(t["content"] or "") for t in turns)
             if size > 1 << 20 or len(out) >= 5000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("conv_id", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))])
-    dealt = rows.select(F.col(key).cast("long").alias("conv_id"), "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(gather, f"conv_id long, turns {TURNS}")
+    schema = pa.schema([("conv_id", pa.int64()), ("messages", pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())])))])
+    dealt = rows.select(F.col(f"`{key}`").cast("long").alias("conv_id"), "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(gather, "conv_id long, messages array<struct<role:string,content:string>>")
 
 
 def escape(text: str) -> str:
@@ -161,15 +207,18 @@ def parse_chat(formatted: str) -> list[tuple[str, str]]:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss array<struct<start, end>>) of (conv_id, turns)."""
+    """turns' columns, with formatted and loss array<struct<start, end>> in place of turns."""
+    others = [f for f in turns.schema.fields if f.name not in ("turns", "formatted", "loss")]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([*others, T.StructField("formatted", T.StringType()), T.StructField("loss", T.ArrayType(span))])
 
     def write(batches):
         for b in batches:
-            done = [write_chat(t or []) for t in b.column(1).to_pylist()]
+            done = [write_chat(t or []) for t in b.column(b.num_columns - 1).to_pylist()]
             loss = pa.array([[{"start": a, "end": z} for a, z in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in done], pa.string()), loss], ["conv_id", "formatted", "loss"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f for f, _ in done], pa.string()), loss], names=schema.names)
 
-    return turns.select("conv_id", "turns").mapInArrow(write, "conv_id long, formatted string, loss array<struct<start:long,end:long>>")
+    return turns.select(*(F.col(f"`{f.name}`") for f in others), "turns").mapInArrow(write, schema)
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -186,4 +235,4 @@ def read_back(chats: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return chats.select("conv_id", "formatted", "loss").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return chats.select(F.col("conv_id").cast("long"), "formatted", "loss").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,11 +1,12 @@
 """Quality rules as a ledger: every rule is evaluated once, its bit and the measurements are kept.
 
 ``ledger`` measures each whole text in one scan without a shuffle and sets bit i of ``fail_bits`` where
-rule i fails. Policies are versioned masks over these bits: ``apply_policy`` and ``ablation`` read the
-ledger only, so a new policy costs no pass over the texts.
+rule i fails. ``stored`` writes ids, measurements and bits, without the texts. Policies are versioned masks over these
+bits: ``apply_policy`` and ``ablation`` read the ledger only, so a new policy costs no pass over the texts.
 
-Null or empty text: all measurements 0, so the word minimum fails. Extra columns pass through; those
-named like a measurement, ``fail_bits`` or ``kept`` are replaced.
+Null or empty text: all measurements 0, so the word minimum fails. Null and repeated ids and repeated rows each have
+their entry; an empty table has none. Extra columns pass through; those named like a measurement, ``fail_bits`` or
+``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.kit import U64, Words, covered, mix, portions, utf8, windows, within
+from vellum.llm.kit import U64, Words, covered, cut_lineage, mix, portions, utf8, windows, within
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
 
@@ -105,6 +106,11 @@ def ledger(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
     return measured.withColumn("fail_bits", bits)
 
 
+def stored(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger itself: keys, measurements and bits, written in the shared folder, from where policies and ablations read it."""
+    return cut_lineage(rows.select(*keys, *MEASURES, "fail_bits"))
+
+
 def apply_policy(rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
     """The ledger's rows with kept (boolean)."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)

@@ -3,11 +3,13 @@
 Every rule knows literal tokens that any URL it fits must hold. One pass counts these tokens in all
 URLs; each rule is filed under its rarest one. A URL's tokens then fetch the few candidate rules, and
 only those run their regular expressions. Host rules: the longest that fits wins, a block over an allow
-of equal length. Where none fits, pattern rules give the method's verdict, else it is allow.
+of equal length. Where none fits, pattern rules give the method's verdict, in their order, else it is allow.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to
 ``?``, ``#`` or the end. A null URL or one without ``://``: both empty, verdict block, as there is nothing
-to fetch. Rules are a parameter of at most MAX_RULES; they travel with the code of the tasks.
+to fetch. Repeated rows are judged alike, whole URLs are read, an empty table gives no rows. Columns named host, path,
+rule or verdict are replaced, others pass through. Rules are a parameter, or a table that ``rules_from`` reads, of at
+most MAX_RULES; they travel with the code of the tasks.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ class Rule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        return rf"(?s)(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def patterns(self) -> tuple[str, str]:
+        """Of the whole host, and of the path's beginning."""
+        return rf"(?s)(?:.*\.)?{re.escape(self.host)}\Z", re.escape(self.path)
 
     @property
     def tokens(self) -> list[str]:
@@ -50,22 +53,45 @@ class Rule:
 
 @dataclass(frozen=True)
 class Pattern:
-    """verdict where the regular expression is found in "host newline path"; every token must be in such a URL."""
+    """verdict where one regular expression is found in the host and another in the path; every token must be in such a URL. Without tokens it is tried on every URL."""
 
     verdict: str
-    pattern: str
-    tokens: tuple[str, ...]
+    host: str = ""
+    path: str = ""
+    tokens: tuple[str, ...] = ()
 
     @property
     def name(self) -> str:
-        return self.pattern
+        return self.host + " " + self.path
+
+    @property
+    def patterns(self) -> tuple[str, str]:
+        return self.host, self.path
 
 
 #: The rules of the query.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: The method's own patterns: hosts named for spam, gambling or adult matter.
-PATTERNS = tuple(Pattern("block", rf"(?:^|[.-]){word}(?:[.-][^\n]*)?\n", (word,)) for word in ("spam", "casino", "porn", "xxx", "viagra", "malware"))
+#: The method's own patterns: hosts named for spam, gambling or adult matter, and paths that lead to it.
+PATTERNS = (
+    *(Pattern("block", host=rf"(?:\A|[.-]){word}(?:[.-]|\Z)", tokens=(word,)) for word in ("spam", "casino", "porn", "xxx", "viagra", "malware")),
+    *(Pattern("block", path=rf"/{word}/", tokens=(word,)) for word in ("casino", "porn", "xxx")),
+)
+
+
+def rules_from(rules: DataFrame) -> tuple[tuple[Rule, ...], tuple[Pattern, ...]]:
+    """(rules, patterns) of a table (kind, verdict, host, path, tokens): kind ``prefix`` or ``pattern``, tokens parted by spaces.
+
+    Null host, path and tokens are empty, but a prefix rule's path is then ``/``. Other kinds or verdicts, a prefix
+    rule without a host and more than MAX_RULES rows raise ValueError. Repeated rows count once, in the order of their columns.
+    """
+    rows = rules.select("kind", "verdict", *(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path", "tokens"))).distinct().limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    if any(r.kind not in ("prefix", "pattern") or r.verdict not in ("allow", "block") or (r.kind == "prefix" and not r.host) for r in rows):
+        raise ValueError("kind is prefix or pattern, verdict allow or block, and a prefix rule has a host")
+    rows = sorted(rows)
+    return tuple(Rule(r.verdict, r.host.translate(_LOWER), r.path or "/") for r in rows if r.kind == "prefix"), tuple(Pattern(r.verdict, r.host, r.path, tuple(r.tokens.split())) for r in rows if r.kind == "pattern")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -96,36 +122,33 @@ def token_counts(pages: DataFrame, wanted: set[str], url: str = "url") -> dict[s
 
 
 class RuleIndex:
-    """Rules by their rarest token, with the regular expressions compiled."""
+    """Rules by their rarest token; a regular expression is compiled when its rule is first a candidate."""
 
     def __init__(self, rules, counts: dict[str, int]):
-        self.by_token: dict[str, list[tuple]] = {}
-        self.always: list[tuple] = []
-        for r in rules:
-            entry = (re.compile(r.pattern), r)
-            if r.tokens:
-                self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(entry)
-            else:
-                self.always.append(entry)
-
-    def candidates(self, host: str, path: str):
-        for t in _tokens(host, path):
-            yield from self.by_token.get(t, ())
-        yield from self.always
+        self.by_token: dict[str, list[int]] = {}
+        self.always: list[int] = []
+        self.rules, self.compiled = list(rules), {}
+        for i, r in enumerate(self.rules):
+            (self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []) if r.tokens else self.always).append(i)
+
+    def candidates(self, host: str, path: str) -> list[int]:
+        """Numbers of the rules whose regular expressions are to run, in the rules' order."""
+        return sorted([*self.always, *(i for t in _tokens(host, path) for i in self.by_token.get(t, ()))])
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         host, path = split_url(url)
         if not host:
             return host, path, None, "block"
-        best, verdict = None, "allow"
-        whole = f"{host}\n{path}"
-        for pattern, r in self.candidates(host, path):
+        best, verdict = None, None
+        for i in self.candidates(host, path):
+            r = self.rules[i]
+            of_host, of_path = self.compiled.get(i) or self.compiled.setdefault(i, tuple(map(re.compile, r.patterns)))
             if isinstance(r, Rule):
-                if pattern.match(whole) and (best is None or (len(r.name), r.verdict == "block") > (len(best.name), best.verdict == "block")):
+                if of_host.match(host) and of_path.match(path) and (best is None or (len(r.name), r.verdict == "block") > (len(best.name), best.verdict == "block")):
                     best = r
-            elif verdict == "allow" and pattern.search(whole):
+            elif verdict is None and of_host.search(host) and of_path.search(path):
                 verdict = r.verdict
-        return host, path, best.name if best else None, best.verdict if best else verdict
+        return host, path, best.name if best else None, best.verdict if best else verdict or "allow"
 
 
 def filter_urls(pages: DataFrame, rules=RULES, patterns=PATTERNS, url: str = "url") -> DataFrame:
