@@ -1,7 +1,10 @@
+import os
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,14 +71,110 @@ def test_text_functions(spark, f, text, want):
     assert one(spark, f, text) == want
 
 
-def test_metric_vectors():
-    assert metrics.bleu(["x"], ["x"]) == 1.0 and metrics.bleu([], ["x"]) == 0.0
-    q = 1e-4 / (1 + 1e-4)
-    assert metrics.bleu(["x"], ["x"], 2) == pytest.approx(q ** 0.75)
-    assert metrics.bag_f1("a a b".split(), "a b b".split()) == pytest.approx(2 / 3)
-    assert metrics.chrf("", "a") == 0.0 and metrics.chrf("abc", "abc") == pytest.approx(1.0)
-    assert metrics.edit_distance("kitten", "sitting") == 3 and metrics.edit_distance("", "ab") == 2
-    assert metrics.lcs_length("abcbdab", "bdcaba") == 4
+def grams(x, n):
+    return Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+
+
+def bleu_by_force(ref, hyp, variant):
+    if not ref or not hyp:
+        return 0.0
+    total = 0.0
+    for n in range(1, 5):
+        shared, of_hyp = (grams(hyp, n) & grams(ref, n)).total(), grams(hyp, n).total()
+        total += np.log((shared + 1e-9) / (of_hyp + 1e-9)) if variant == 1 else np.log((shared + 1e-4) / (max(1, of_hyp) + 1e-4))
+    return min(1.0, np.exp(1 - len(ref) / len(hyp))) * np.exp(total / 4)
+
+
+def table_by_force(a, b, edit):
+    """Edit distance or longest common subsequence by the whole table."""
+    row = list(range(len(b) + 1)) if edit else [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i if edit else 0]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)) if edit else row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_sequence_metrics_are_brute_force():
+    r = random.Random(3)
+    pairs = [([r.choice("abcd") for _ in range(r.randrange(40))], [r.choice("abcd") for _ in range(r.randrange(40))]) for _ in range(150)]
+    pairs += [(a, a) for a, _ in pairs[:10]] + [([], []), (["x"], ["x"]), ([], ["x"]), ("a a b".split(), "a b b".split())]
+    refs, hyps = [a for a, _ in pairs], [b for _, b in pairs]
+    x, y = metrics._coded(refs, hyps)
+    assert metrics.bleu(x, y) == pytest.approx([bleu_by_force(a, b, 1) for a, b in pairs])
+    assert metrics.bleu(x, y, 2) == pytest.approx([bleu_by_force(a, b, 2) for a, b in pairs])
+    shared = [(Counter(a) & Counter(b)).total() for a, b in pairs]
+    assert metrics.bag_f1(x, y) == pytest.approx([2 * s / (len(a) + len(b)) if s else 0.0 for s, (a, b) in zip(shared, pairs)])
+    for a, b in pairs:
+        assert metrics.edit_distance(a, b) == table_by_force(a, b, True) and metrics.lcs_length(a, b) == table_by_force(a, b, False)
+    assert metrics.edit_distance("kitten", "sitting") == 3 and metrics.lcs_length("abcbdab", "bdcaba") == 4
+    texts = [("".join(a), " ".join(b)) for a, b in pairs] + [(" é\U0001f600b ", "é\U0001f600")]
+    want = []
+    for a, b in texts:
+        p = [((grams(a.strip(), n) & grams(b.strip(), n)).total(), len(b.strip()) - n + 1, len(a.strip()) - n + 1) for n in range(1, 7)]
+        p = [(s / h, s / q) for s, h, q in p if h > 0 and q > 0]
+        u, v = (np.mean([z[k] for z in p]) if p else 0.0 for k in (0, 1))
+        want.append(5 * u * v / (4 * u + v) if u + v else 0.0)
+    assert metrics.chrf([a for a, _ in texts], [b for _, b in texts]) == pytest.approx(want)
+
+
+def test_sequence_functions_in_sql(spark):
+    stages.register_functions(spark)
+    r = spark.sql("SELECT token_edit_distance(array('a', 'b'), array('b')) AS e, lcs_length(array('a', 'b', 'a'), array('a', 'a')) AS l, lcs_length(NULL, array('a')) AS n").first()
+    assert (r.e, r.l, r.n) == (1, 2, 0)
+
+
+def test_numbers_are_gapless_whatever_the_rows_carry(spark):
+    n = 2_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("k"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("payload"), F.rand(3).alias("noise"))
+    got = relational.numbered(rows, "k").select("k", "rn")
+    lag = F.lag("k").over(Window.orderBy("rn"))
+    assert got.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn"), F.count("*")).first()[:] == (1, n, n, n)
+    assert got.select("k", lag.alias("before")).where("before > k").isEmpty()
+    ties = relational.numbered(spark.range(1000).select((F.col("id") % 3).alias("k"), "id"), F.col("k").desc())
+    assert sorted(r.rn for r in ties.collect()) == list(range(1, 1001)) and ties.where("k = 2").agg(F.max("rn")).first()[0] == 333
+    assert relational.numbered(spark.range(0), "id").count() == 0
+
+
+def test_a_replaced_table_is_never_lost(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    path = str(tmp_path / "t")
+    files.replace_table(one, path)
+    two.write.parquet(f"{path}.new")
+    os.rename(path, f"{path}.old")  # broke off between the two renames
+    files.recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.old")
+    os.rename(path, f"{path}.old")  # broke off before the new table was whole
+    os.makedirs(f"{path}.new")
+    files.replace_table(one, path)
+    assert spark.read.parquet(path).count() == 3 and sorted(os.listdir(tmp_path)) == ["t"]
+    os.rename(path, f"{path}.old")
+    files.recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_changes_on_a_stream_and_on_a_table(spark, tmp_path):
+    schema = "k string, state string, ord long"
+    parts = [[("a", "x", 1), ("a", "x", 2), ("b", None, 1)], [("a", None, 3), ("b", None, 2), ("a", None, 4)], [("b", "y", 3), ("a", "x", 5)]]
+    src, got = str(tmp_path / "in"), []
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        out = live.changes(spark.readStream.schema(schema).parquet(src), "k", "state")
+        q = out.writeStream.foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    live.stop_all(spark)
+    want = {tuple(r) for r in live.changes(spark.read.parquet(src), "k", "state").collect()}
+    assert sorted(got, key=str) == sorted(want, key=str) and want == {("a", "x", 1), ("b", None, 1), ("a", None, 3), ("b", "y", 3), ("a", "x", 5)}
+
+
+def test_idle_sessions_of_a_stream(spark, tmp_path):
+    rows = [("u", f"2026-01-01 00:00:{s:02}") for s in (0, 20, 50)] + [("u", "2026-01-01 01:00:00"), ("v", "2026-01-01 03:00:00")]
+    df = spark.createDataFrame(rows, "k string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = live.idle_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "at")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("u", 3), ("u", 1)}
 
 
 def test_score_edges(spark):
@@ -143,6 +242,50 @@ def test_runner_goes_on_after_a_failure():
         run.go({}, fail_fast=True)
 
 
+def test_a_stage_that_fails_at_run_time_is_its_own(spark):
+    bad = lambda t: t["a"].withColumn("x", F.raise_error(F.lit("broke")))
+    run = stages.Run({"a": lambda t: spark.range(3), "b": bad, "c": lambda t: {"c1": t["a"].where("id > 0"), "c2": t["a"].limit(1)}})
+    t = run.go({})
+    assert "broke" in run.status["b"] and run.status["c"] == "done" and t["c1"].count() == 2 and "b" not in t
+    again = stages.Run(run.stages)
+    assert again.go({"a": spark.range(9)}, start_from="c")["c1"].count() == 8 and list(again.status) == ["c"]
+    assert stages.Run(run.stages).go({}, stop=lambda: True) == {}
+
+
+def test_review_and_dry_run(spark):
+    rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(4)], "id string, latex string")
+    decisions = spark.createDataFrame([("0", "approve", None), ("1", "edit", "new"), ("2", "delete", None)], "id string, decision string, edited string")
+    assert {r.id: r.latex for r in stages.review(rows, decisions).collect()} == {"0": "t0\n" + X.REVIEWED, "1": "new", "3": "t3"}
+    whole = "\\documentclass{a}\\begin{document}x\\end{document}"
+    done = stages.dry_run(rows, lambda r: r.withColumn("latex", F.when(F.col("id") == "0", whole).when(F.col("id") == "1", "I cannot see")), 3)
+    assert "latex" in done.columns and {r.id: r.status for r in done.collect()} == {"0": "success", "1": "invalid", "2": "failed"}
+
+
+def test_ten_stages_from_pages_to_splits(spark, tmp_path):
+    from vellum.plans import curation, file_queries
+
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    spark.createDataFrame([(i, text(5000)) for i in range(24)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = curation.ten_stages(file_queries.write_up)
+    t = run.go({"source": file_queries.pages(spark, str(tmp_path))}, fail_fast=True)
+    blank = {r.id for r in t["filter_rejected"].collect()}
+    assert {str(i) for i in range(0, 24, 8)} <= blank and t["filter"].count() + len(blank) == 24
+    names = sorted({str(i) for i in range(24)} - blank)
+    assert {r["name"]: r.num for r in t["manifest"].collect()} == {n: k for k, n in enumerate(names, 1)}
+    # The stand-in refuses page numbers of remainder 3 by 7 and breaks off those of remainder 1 by 5.
+    valid = {f"page_{k:05}" for k in range(1, len(names) + 1) if k % 7 != 3 and k % 5 != 1}
+    assert {r.id for r in t["annotate_invalid"].collect()} == {f"page_{k:05}" for k in range(1, len(names) + 1) if k % 7 == 3}
+    assert {r.id for r in t["split"].collect()} == valid == {r.id for r in t["build"].collect()}
+    n = len(valid)
+    assert Counter(r.split for r in t["split"].collect()) == Counter({"train": int(n * 0.9), "val": int(n * 0.05), "test": n - int(n * 0.9) - int(n * 0.05)})
+    assert list(run.status.values()) == ["done"] * 10
+    where = {r.stage: (r.missing, r.resume) for r in curation.resume_from(t).collect()}
+    assert where["crop"] == (0, False) and where["annotate"] == (t["annotate_invalid"].count(), True)
+    got = curation.prefix_batch(t["source"], "1")["convert"]
+    assert {r.id for r in got.collect()} == {n for n in names if n.startswith("1")}
+
+
 def test_small_helpers(spark):
     assert windows.free_letter(["a_x", "c"]) == "b" and windows.warmup_steps(100) == 20 and windows.steps_per_epoch(10, 2, 2) == 3
     assert arrays.choose_models([], ("a", "b")) == ["a", "b"]
@@ -152,4 +295,17 @@ def test_small_helpers(spark):
         relational.check_config(ratios=(0.9, 0.2))
     with pytest.raises(ValueError):
         relational.require_rows(spark.range(3), 4)
-    assert live.Pause().hit(0.0) == 60
+    pause = live.Pause()
+    assert [pause.hit(0.0) for _ in range(6)] == [60, 120, 240, 300, 300, 300] and pause.clear() is None and pause.until == 0
+    assert stages.Config().max_tokens == 8192 and len(stages.Config.__dataclass_fields__) == 18
+
+
+def test_a_page_that_fails_is_its_own(spark):
+    def call(frame):
+        if (frame["id"] == "b").any():
+            raise ValueError("no")
+        return frame.assign(n=1)[["id", "n"]]
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    got = {r.id: (r.n, r.error) for r in files.call_model(rows, "id string, n long, error string", lambda: files.isolated(call, ["n"])).collect()}
+    assert got == {"a": (1, None), "b": (None, "no"), "c": (1, None)}

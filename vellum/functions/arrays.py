@@ -89,6 +89,33 @@ def with_images(messages: Column, fit) -> Column:
     return F.transform(messages, lambda m: m.withField("images", F.transform(m["images"], fit)))
 
 
+def fit_payload(payload: DataFrame, fit, images: str = "images", messages: str = "messages") -> DataFrame:
+    """IMG9: a payload's images at the top, in its messages, or both, through fit; a shape that it lacks stays away, nulls stay null."""
+    out = {}
+    if images in payload.columns:
+        out[images] = F.transform(images, fit)
+    if messages in payload.columns and "images" in payload.schema[messages].dataType.elementType.names:
+        out[messages] = with_images(F.col(messages), fit)
+    return payload.withColumns(out)
+
+
+def whole_labels(ids: Column, prompt: Column, length: int) -> Column:
+    """ARR11, the other way to truncate: the ids as one sequence, -100 for the prompt, cut at the end and not padded."""
+    return F.slice(masked(ids, F.least(prompt, F.size(ids))), 1, length)
+
+
+def padded_batch(df: DataFrame, batch: str, *columns: tuple[str, int]) -> DataFrame:
+    """ARR11: arrays filled up to the longest of their batch, each with its own value."""
+    most = df.groupBy(batch).agg(F.max(F.greatest(*(F.size(c) for c, _ in columns), F.lit(0))).alias("_most"))
+    filled = {c: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("_most") - F.size(c))) for c, v in columns}
+    return df.join(most, batch).withColumns(filled).drop("_most")
+
+
+def without_heavy(df: DataFrame, *fields: str) -> DataFrame:
+    """ARR7: a read model without its heavy fields; a scan of it doesn't read them."""
+    return df.drop(*fields)
+
+
 def choose_models(keys: list[str], legacy: tuple[str | None, str | None] = (None, None)) -> list[str]:
     """ARR9: distinct keys, those of old parameters where none are given; two at least."""
     found = list(dict.fromkeys(k for k in (keys or legacy) if k))

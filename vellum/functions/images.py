@@ -191,19 +191,52 @@ def page_features(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Da
     return pd.DataFrame(rows, columns=_FEATURES.names)
 
 
-def clean_pages(images: DataFrame, percent: float = 10.0, most: int = 2048) -> DataFrame:
-    """IMG2, IMG4 to IMG7 in order: images (id, height, width, data) as PNG rows (id, height, width, png)."""
+def _each_page(images: DataFrame, f, out: str) -> DataFrame:
+    """Rows (id, height, width, data) with f(pixels) in place of data: an array, kept as bytes, or bytes."""
 
     def work(frames):
-        for f in frames:
-            out = []
-            for i, h, w, d in zip(f["id"], f["height"], f["width"], f["data"], strict=True):
-                a = whiteout(pixels(d, h, w, len(d) // (h * w)), percent)
-                a = rotate(a, skew(a))
-                big = max(a.shape[:2])
-                if 0 < most < big:
-                    a = resize(a, int(a.shape[0] * most / big), int(a.shape[1] * most / big))
-                out.append((i, a.shape[0], a.shape[1], to_png(a)))
-            yield pd.DataFrame(out, columns=["id", "height", "width", "png"])
-
-    return images.select("id", "height", "width", "data").mapInPandas(work, "id string, height int, width int, png binary")
+        for frame in frames:
+            rows = []
+            for i, h, w, d in zip(frame["id"], frame["height"], frame["width"], frame["data"], strict=True):
+                made = f(pixels(d, h, w, len(d) // (h * w)))
+                a, data = made if isinstance(made, tuple) else (made, made.tobytes())
+                rows.append((i, a.shape[0], a.shape[1], data))
+            yield pd.DataFrame(rows, columns=["id", "height", "width", out])
+
+    return images.select("id", "height", "width", "data").mapInPandas(work, f"id string, height int, width int, {out} binary")
+
+
+def cropped_pages(images: DataFrame, percent: float = 10.0) -> DataFrame:
+    """IMG2 on every page."""
+    return _each_page(images, lambda a: whiteout(a, percent), "data")
+
+
+def straight_pages(images: DataFrame) -> DataFrame:
+    """IMG4 and IMG5 on every page."""
+    return _each_page(images, lambda a: np.ascontiguousarray(rotate(a, skew(a))), "data")
+
+
+def _fit(a: np.ndarray, most: int) -> np.ndarray:
+    big = max(a.shape[:2])
+    return resize(a, int(a.shape[0] * most / big), int(a.shape[1] * most / big)) if 0 < most < big else a
+
+
+def encoded_pages(images: DataFrame, most: int = 2048) -> DataFrame:
+    """IMG6 and IMG7 on every page: (id, height, width, png)."""
+
+    def encode(a):
+        a = _fit(a, most)
+        return a, to_png(a)
+
+    return _each_page(images, encode, "png")
+
+
+def clean_pages(images: DataFrame, percent: float = 10.0, most: int = 2048) -> DataFrame:
+    """IMG2, IMG4 to IMG7 in order, in one crossing: images (id, height, width, data) as PNG rows (id, height, width, png)."""
+
+    def clean(a):
+        a = whiteout(a, percent)
+        a = _fit(rotate(a, skew(a)), most)
+        return a, to_png(a)
+
+    return _each_page(images, clean, "png")

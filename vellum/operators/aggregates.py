@@ -44,15 +44,20 @@ def histogram(df: DataFrame, items: str, name: str = "issue") -> DataFrame:
     return df.select(F.explode(items).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
-def verdict_tally(df: DataFrame, key: str = "id", verdict: str = "verdict", group: tuple[str, ...] = ()) -> DataFrame:
-    """AGG5: yes, no, errors, the share of no, and the pages with no, sorted."""
+def verdict_tally(df: DataFrame, verdict: str = "verdict", group: tuple[str, ...] = ()) -> DataFrame:
+    """AGG5: yes, no, errors and the share of no; the pages with one verdict are listed()."""
     v = F.col(verdict)
     yes, no = F.count_if(v == "YES"), F.count_if(v == "NO")
-    return df.groupBy(*group).agg(yes.alias("n_yes"), no.alias("n_no"), F.count_if(F.startswith(v, F.lit("ERR")) | (v == "?")).alias("n_err"), F.round(no / F.greatest(F.lit(1), yes + no), 4).alias("no_share"), F.array_join(F.sort_array(F.collect_list(F.when(v == "NO", F.col(key)))), ",").alias("no_pages"))
+    return df.groupBy(*group).agg(yes.alias("n_yes"), no.alias("n_no"), F.count_if(F.startswith(v, F.lit("ERR")) | (v == "?")).alias("n_err"), F.round(no / F.greatest(F.lit(1), yes + no), 4).alias("no_share"))
+
+
+def listed(df: DataFrame, verdict: str, *columns: str, by: str = "verdict", key: str = "id") -> DataFrame:
+    """AGG5, AGG6 and AGG11: the rows with a verdict in the order of their ids, as rows and not as one array, since such a list grows with the table."""
+    return df.where(F.col(by) == verdict).select(key, *columns).orderBy(key)
 
 
 def agreement(df: DataFrame) -> DataFrame:
-    """AGG6: kept and rejected pages and the median error rate."""
+    """AGG6: kept and rejected pages and the median error rate; the lists are listed()."""
     return df.agg(F.count_if(F.col("verdict") == "keep").alias("kept"), F.count_if(F.col("verdict") == "reject").alias("rejected"), F.median("cer").alias("median_cer"))
 
 
@@ -82,8 +87,14 @@ def split_sizes(df: DataFrame, blanked: Column, split: str = "split") -> DataFra
 
 
 def char_counts(df: DataFrame, c: Column, held_out: Column) -> DataFrame:
-    """AGG11: characters, blank and filled pages, and those held out."""
-    return df.agg(F.sum(F.length(c)).alias("chars"), F.count_if(F.trim(c) == "").alias("n_blank"), F.count_if(F.trim(c) != "").alias("n_filled"), F.count_if(held_out).alias("n_held_out"))
+    """AGG11: characters, blank and filled pages, all of them and those held out."""
+    blank = F.trim(c) == ""
+    return df.agg(F.sum(F.length(c)).alias("chars"), F.count_if(blank).alias("n_blank"), F.count_if(~blank).alias("n_filled"), F.count_if(held_out).alias("n_held_out"), F.count_if(held_out & blank).alias("n_held_out_blank"))
+
+
+def by_chars(df: DataFrame, c: Column, *columns: str) -> DataFrame:
+    """AGG11's lists: each page with its characters and whether it is blank, the longest first."""
+    return df.select(*columns, F.length(c).alias("chars"), F.when(F.trim(c) == "", "blank").otherwise("filled").alias("verdict")).orderBy(F.desc("chars"), *columns)
 
 
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -94,6 +105,6 @@ def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def mean_loss(df: DataFrame, loss: str = "loss") -> DataFrame:
-    """AGG14: over finite values; null if there is none."""
-    c = F.col(loss)
-    return df.agg(F.round(F.avg(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)), 6).alias("val_loss"), F.count(c).alias("n"))
+    """AGG14: over finite values, and how many these are; null if there is none."""
+    c = F.when(~F.isnan(loss) & (F.abs(loss) != float("inf")), F.col(loss))
+    return df.agg(F.round(F.avg(c), 6).alias("val_loss"), F.count(c).alias("n"))

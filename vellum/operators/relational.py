@@ -132,20 +132,34 @@ def score_pairs(refs: DataFrame, hyps: DataFrame, key: str = "id") -> DataFrame:
 
 def page_by_model(outputs: DataFrame, models: list[str], key: str = "id") -> DataFrame:
     """JOI9: a row for each page, columns for each model; the models are given, so that no job looks for them."""
-    return outputs.groupBy(key).pivot("model", models).agg(F.first("tex").alias("tex"), F.max("pdf").alias("pdf"), F.first("latency_s").alias("latency_s"))
+    last = F.max(F.struct("latency_s", "tex", "pdf"))  # of repeated rows always the same one
+    wide = outputs.groupBy(key).pivot("model", models).agg(last.alias("r"), F.lit(1).alias("_"))
+    return wide.select(key, *(F.col(f"{m}_r.{c}").alias(f"{m}_{c}") for m in models for c in ("tex", "pdf", "latency_s")))
 
 
-def resume_stage(stages: list[tuple[str, DataFrame]], key: str = "id") -> DataFrame:
-    """JOI10: (stage, missing) for each stage but the first: ids of the one before that it lacks; the least order with missing > 0 is where to go on."""
-    rows = [a.select(key).join(b.select(key), key, "left_anti").agg(F.count("*").alias("missing")).select(F.lit(i).alias("ord"), F.lit(name).alias("stage"), "missing") for i, ((_, a), (name, b)) in enumerate(zip(stages, stages[1:], strict=False))]
-    return reduce(DataFrame.unionByName, rows)
+def resume_stage(stages: list[tuple[str, DataFrame, list[DataFrame]]], key: str = "id") -> DataFrame:
+    """JOI10: (ord, stage, missing, resume): of each stage the ids that should have come out of it, in any of its outputs, and didn't; resume is true for the first stage that lacks some."""
+    rows = [pending(needed, *outputs, key=key).agg(F.count("*").alias("missing")).select(F.lit(i).alias("ord"), F.lit(name).alias("stage"), "missing") for i, (name, needed, outputs) in enumerate(stages)]
+    counts = reduce(DataFrame.unionByName, rows)
+    first = counts.where("missing > 0").agg(F.min("ord").alias("_first"))  # one row
+    return counts.crossJoin(F.broadcast(first)).select("ord", "stage", "missing", F.coalesce(F.col("ord") == F.col("_first"), F.lit(False)).alias("resume"))
 
 
 def all_ids(*tables: DataFrame, key: str = "id") -> DataFrame:
-    """JOI11 and JOI12: the distinct ids of all tables."""
+    """JOI11: the distinct ids of all tables."""
     return reduce(DataFrame.unionByName, [t.select(key) for t in tables]).distinct()
 
 
+def merged_exclusions(*tables: DataFrame, key: str = "id") -> DataFrame:
+    """JOI12: the distinct ids of all tables that aren't null, in order."""
+    return all_ids(*tables, key=key).where(F.col(key).isNotNull()).orderBy(key)
+
+
+def requested_only(verdicts: DataFrame, requested: DataFrame, key: str = "id") -> DataFrame:
+    """JOI16: cached verdicts of the ids that are asked for."""
+    return verdicts.join(requested.select(key), key, "left_semi")
+
+
 def requeue_status(rejected: DataFrame, sources: DataFrame, key: str = "id", text: str = "latex") -> DataFrame:
     """JOI13: rescued where only the old check rejects; else requeue where the source exists, else missing."""
     have = sources.select(key).distinct().withColumn("_have", F.lit(True))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from vellum.functions import text as X
+from vellum.plans import file_queries
 from vellum.plans.fixtures import ANNOTATIONS, MODELS, PAIRS, STEPS, sql_text
+from vellum.sources.files import REPORT
 
 
 def _ann(select: str) -> str:
@@ -169,6 +171,15 @@ _GRAMS = f"""WITH {PAIRS}, {MODELS}, t AS (SELECT model, id,
 
 
 
+def _shown(c: str, form: str) -> str:
+    """A value of the report as text."""
+    if form == "time":
+        return f"(({c} // 3600) || 'h ' || lpad(({c} % 3600 // 60)::VARCHAR, 2, '0') || 'm')"
+    digits = int(form[2])
+    value = f"round(round({c}, 4) * {100 if c == 'charsim' else 1}, {digits})" if digits != 1 or c == "charsim" else f"round({c}, 1)"
+    return f"coalesce(printf('%.{digits}f', {value}) || '{form[4:].replace('%%', '%')}', 'N/A')"
+
+
 def _overlaps(most: int, grams: str) -> str:
     """o(model, id, n, o): n-grams that both sides of t hold, each as often as the side that has fewer; grams: of {s}."""
     sides = ", ".join(f"{s}c AS (SELECT model, id, n, g, count(*) AS c FROM (SELECT model, id, n, unnest({grams.format(s=s)}) AS g FROM t CROSS JOIN range(1, {most + 1}) x(n)) GROUP BY ALL)" for s in "rh")
@@ -215,12 +226,12 @@ c AS (SELECT id, levenshtein(a, b)::DOUBLE / greatest(1, length(a)) AS c FROM m)
     "arr1_quality_flags": f"""{_WITH_BODY}, f AS (SELECT id, {_FLAGS} AS f, min(id) OVER (PARTITION BY md5(latex)) AS first FROM b)
 SELECT id, array_to_string(CASE WHEN first <> id THEN list_append(f, 'duplicate_of_' || first) ELSE f END, ',') AS issues, first = id AND len(list_filter(f, lambda x: x <> 'contains_illegible_marker')) = 0 AS passed FROM f""",
     "agg5_verdict_tally": """WITH v AS (SELECT source, lpad(doc_id::VARCHAR, 8, '0') AS id, CASE doc_id % 7 WHEN 0 THEN 'NO' WHEN 1 THEN '?' WHEN 2 THEN 'ERR timeout' ELSE 'YES' END AS v FROM documents)
-SELECT source, count_if(v = 'YES')::BIGINT AS n_yes, count_if(v = 'NO')::BIGINT AS n_no, count_if(v = '?' OR starts_with(v, 'ERR'))::BIGINT AS n_err, round(count_if(v = 'NO')::DOUBLE / greatest(1, count_if(v IN ('YES', 'NO'))), 4) AS no_share, coalesce(string_agg(CASE WHEN v = 'NO' THEN id END, ',' ORDER BY id), '') AS no_pages FROM v GROUP BY source""",
+SELECT source, count_if(v = 'YES')::BIGINT AS n_yes, count_if(v = 'NO')::BIGINT AS n_no, count_if(v = '?' OR starts_with(v, 'ERR'))::BIGINT AS n_err, round(count_if(v = 'NO')::DOUBLE / greatest(1, count_if(v IN ('YES', 'NO'))), 4) AS no_share FROM v GROUP BY source""",
     "agg7_progress": "WITH d AS (SELECT lang, count(*) AS total, count_if(doc_id % 3 = 0)::BIGINT AS done FROM documents GROUP BY lang) SELECT lang, done, total, total - done AS remaining, round(100.0::DOUBLE * done / total, 1) AS pct, (done * 40 // total)::INT AS bar FROM d",
     "agg8_dry_run": "WITH d AS (SELECT doc_id % 5 <> 0 AS ok, doc_id % 40 / 4.0::DOUBLE AS s, n_chars AS c FROM documents) SELECT count_if(ok)::BIGINT AS n_ok, round(avg(s) FILTER (ok), 3) AS avg_seconds, round(avg(c) FILTER (ok), 1) AS avg_chars, round(avg(s) FILTER (ok) * 1000, 1) AS projected_seconds FROM d",
     "win4_split": "SELECT doc_id, CASE WHEN rn <= n * 9 // 10 THEN 'train' WHEN rn <= n * 9 // 10 + n * 5 // 100 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)",
     "agg10_split_sizes": "WITH s AS (SELECT doc_id, CASE WHEN rn <= n * 9 // 10 THEN 'train' WHEN rn <= n * 9 // 10 + n * 5 // 100 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)) SELECT split, count(*) AS n, count_if(doc_id % 3 = 0)::BIGINT AS n_blanked FROM s GROUP BY split",
-    "agg11_char_counts": "SELECT sum(length(text))::BIGINT AS chars, count_if(trim(text) = '')::BIGINT AS n_blank, count_if(trim(text) <> '')::BIGINT AS n_filled, count_if(doc_id % 9 = 0)::BIGINT AS n_held_out FROM documents",
+    "agg11_char_counts": "SELECT sum(length(text))::BIGINT AS chars, count_if(trim(text) = '')::BIGINT AS n_blank, count_if(trim(text) <> '')::BIGINT AS n_filled, count_if(doc_id % 9 = 0)::BIGINT AS n_held_out, count_if(doc_id % 9 = 0 AND trim(text) = '')::BIGINT AS n_held_out_blank FROM documents",
     "agg13_funnel": "WITH c AS (SELECT 0 AS ord, 'all' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'long', count(*) FROM documents WHERE n_chars >= 200 UNION ALL SELECT 2, 'english', count(*) FROM documents WHERE n_chars >= 200 AND lang = 'en') SELECT ord, stage, n, round(100.0::DOUBLE * n / (SELECT n FROM c WHERE ord = 0), 1) AS pct FROM c",
     "agg14_mean_loss": "SELECT round(avg(value) FILTER (event_id % 10 <> 0), 6) AS val_loss, count(value) FILTER (event_id % 10 <> 0) AS n FROM events",
     "win1_duplicate_of": "SELECT doc_id AS id, CASE WHEN f <> doc_id THEN f END AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS f FROM documents)",
@@ -240,7 +251,9 @@ SELECT source, count_if(v = 'YES')::BIGINT AS n_yes, count_if(v = 'NO')::BIGINT
     "joi7_score_pairs": f"WITH {PAIRS} SELECT id, length(ref)::INT AS n_ref, length(hyp)::INT AS n_hyp FROM pairs WHERE id % 3 > 0",
     "joi8_missing": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "joi9_page_by_model": f"WITH {PAIRS}, {MODELS} SELECT id, " + ", ".join(f"max(md5(hyp)) FILTER (model = '{m}') AS {m}_tex, max(coalesce(compile_ok, false)) FILTER (model = '{m}') AS {m}_pdf, max(latency_s) FILTER (model = '{m}')::DOUBLE AS {m}_latency_s" for m in "abcd") + " FROM models GROUP BY id",
-    "joi10_resume": "SELECT 0 AS ord, 'filter' AS stage, 0::BIGINT AS missing UNION ALL SELECT 1, 'deskew', count(*) FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 2, 'convert', count(*) FROM documents WHERE doc_id % 5 <> 0",
+    "joi10_resume": """WITH m(ord, stage, missing) AS (SELECT 0, 'crop', 0::BIGINT UNION ALL SELECT 1, 'filter', 0 UNION ALL SELECT 2, 'deskew', count(*) FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 10 >= 7
+  UNION ALL SELECT 3, 'convert', count(*) FROM documents WHERE doc_id % 5 <> 0)
+SELECT ord, stage, missing, coalesce(ord = (SELECT min(ord) FROM m WHERE missing > 0), false) AS resume FROM m""",
     "joi11_all_ids": "SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels",
     "joi13_requeue": f"{_WITH_BODY} SELECT id, CASE WHEN NOT {_truncated(2)} THEN 'rescued' WHEN substr(id, 8, 1) < '6' THEN 'requeue' ELSE 'missing' END AS status FROM b WHERE {_truncated(1)}",
     "joi14_split_leaks": "SELECT doc_id AS id, 2::BIGINT AS n_splits, CASE WHEN doc_id % 14 = 0 THEN 2 ELSE 1 END::BIGINT AS dup FROM documents WHERE doc_id % 7 = 0",
@@ -307,4 +320,13 @@ SELECT doc_id, array_to_string(list_resize(list_concat(list_transform(p, lambda
     "arr12_loss_start": """WITH d AS (SELECT doc_id, list_concat([5, 7], list_concat(CASE WHEN doc_id % 3 > 0 THEN [7, 9] ELSE [9, 9] END, [1, 2])) AS ids FROM documents),
 s AS (SELECT doc_id, ids, (len(ids) - list_position(list_reverse(ids), 7) + 1)::INT AS pos FROM d), b AS (SELECT doc_id, ids, pos + CASE WHEN ids[pos + 1] = 9 THEN 1 ELSE 0 END AS start FROM s)
 SELECT doc_id, start, array_to_string(list_concat(list_transform(range(start), lambda x: -100), ids[start + 1:]), ',') AS labels FROM b""",
+    "snk11_report": f"WITH {_SCORES}, m AS (SELECT model, count(*) AS samples, " + ", ".join(f"avg({c}) AS {n}" for c, n in (("cer", "mean_cer"), ("ncer", "norm_cer"), ("charsim", "charsim"), ("bleu", "bleu"), ("rouge_l", "rouge_l"), ("math_f1", "math_f1"), ("chrf", "chrf"))) + """,
+  median(cer) AS median_cer, 100.0::DOUBLE * count_if(struct) / count(*) AS struct_pct, CASE WHEN model <> 'N' THEN 100.0::DOUBLE * count_if(compile_ok) / count(compile_ok) END AS compile_rate,
+  100.0::DOUBLE * count_if(cer < 0.1) / count(*) AS cer_under_10pct, 100.0::DOUBLE * count_if(cer < 0.3) / count(*) AS cer_under_30pct, round(avg(latency_s), 2) AS avg_latency_s, floor(round(avg(latency_s), 2) * count(*))::BIGINT AS total_s FROM r GROUP BY model)
+""" + " UNION ALL ".join(f"SELECT model, {i} AS ord, '| {g} | {n} | ' || {_shown(c, form)} || ' |' AS line FROM m" for i, (g, n, c, form) in enumerate(REPORT)),
+    "met17_compile": _ann(f"strpos(latex, {B} || 'documentclass') > 0 AND (length(latex) - length(replace(latex, '$', ''))) % 2 = 0 AS compile_ok"),
+    "agg6_reject_list": f"""WITH {PAIRS}, {MODELS}, m AS (SELECT model || '_' || id AS id, {_NORM.format(c='ref')} AS a, CASE WHEN id % 10 <> 0 THEN {_NORM.format(c='hyp')} END AS b FROM models WHERE model <> 'd'),
+c AS (SELECT id, levenshtein(a, b)::DOUBLE / greatest(1, length(a)) AS c FROM m) SELECT id, round(c, 4) AS cer FROM c WHERE NOT coalesce(c <= 0.1, false)""",
+    **file_queries.ORACLES,
+    "orc4_evaluate": file_queries.ORACLES["orc4_evaluate"].format(pairs=PAIRS, models=MODELS),
 }

@@ -337,7 +337,7 @@ def joi9_page_by_model(spark, sf_dir):
 @query
 def joi10_resume(spark, sf_dir):
     d, kept, few = _stage_tables(spark, sf_dir)
-    return relational.resume_stage([("crop", d), ("filter", d), ("deskew", kept), ("convert", few)])
+    return relational.resume_stage([("crop", d, [d]), ("filter", d, [kept, d.where("id % 5 = 0")]), ("deskew", kept, [d.where("id % 10 < 7")]), ("convert", kept, [few])])
 
 
 @query
@@ -544,7 +544,7 @@ def snk2_json_report(spark, sf_dir):
 @query
 def snk11_report(spark, sf_dir):
     s = aggregates.summarize(_score_rows(spark, sf_dir).withColumn("compile_ok", F.expr("CASE WHEN model <> 'N' THEN compile_ok END")), "model")
-    return files.markdown_report(s)
+    return files.markdown_report(s.withColumn("total_s", F.col("avg_latency_s") * F.col("samples")))
 
 
 @query
@@ -570,3 +570,6 @@ def str8_liveness(spark, sf_dir):
 def str9_idle_sessions(spark, sf_dir):
     s = live.idle_sessions(load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour")
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+from vellum.plans import file_queries  # noqa: E402, F401  adds its queries

@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions.metrics import structure_ok
+from vellum.operators.lineage import cut_lineage
 
-#: ORC1: the order of the stages.
-ORDER = ("crop", "filter", "deskew", "convert", "prepare", "annotate", "review", "validate", "build", "split")
 
 
 @dataclass(frozen=True)
 class Config:
-    """ARR10: the defaults of a run."""
+    """ARR10: the defaults of a run. What a field is good for stands beside it; the last ones are read by connectors and schedulers only."""
 
+    source: str = "source"  # the table of pages to begin with
     crop_percent: float = 10.0
     dark_threshold: int = 210
     max_dark_percent: float = 0.5
@@ -26,16 +27,34 @@ class Config:
     train: float = 0.90
     val: float = 0.05
     seed: int = 42
-    least_chars: int = 200
-    refused: tuple[str, ...] = X.BUILD_REFUSALS
+    endpoint: str = ""  # of the model that annotates
+    model: str = ""
+    max_tokens: int = 8192
+    temperature: float = 0.1
+    retries: int = 3
+    delay: float = 0.0
+    annotate_workers: int = 8
+    cpu_workers: int = 0  # 0: as many as the cluster has
+    validate_workers: int = 4
+    most_keys: int = 0  # 0: no limit
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A stage's table, computed now and kept in the shared folder: what fails, fails here, and later stages don't compute it again."""
+    return cut_lineage(df)
 
 
 @dataclass
 class Run:
-    """ORC2: stages in order; one that fails doesn't stop the later ones unless asked for."""
+    """ORC2: stages in order; one that fails doesn't stop the later ones unless asked for.
+
+    A stage gives a table or several by name; each is written when its stage runs, so a failure at run time is that
+    stage's own. keep: how tables are written.
+    """
 
-    stages: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]
+    stages: dict[str, Callable[[dict[str, DataFrame]], DataFrame | dict[str, DataFrame]]]
     status: dict[str, str] = field(default_factory=dict)
+    keep: Callable[[DataFrame], DataFrame] = written
 
     def go(self, tables: dict[str, DataFrame], start_from: str | None = None, fail_fast: bool = False, stop: Callable[[], bool] = lambda: False) -> dict[str, DataFrame]:
         names = list(self.stages)
@@ -44,7 +63,9 @@ class Run:
                 self.status[name] = "stopped"
                 break
             try:
-                tables[name] = self.stages[name](tables)
+                made = self.stages[name](tables)
+                for k, v in (made if isinstance(made, dict) else {name: made}).items():
+                    tables[k] = self.keep(v) if isinstance(v, DataFrame) else v
                 self.status[name] = "done"
             except Exception as e:
                 self.status[name] = f"failed: {e}"
@@ -76,8 +97,6 @@ def run_compiler(rows: DataFrame, command: Callable[[], Callable[[str], bool]],
     """MET17 with an injected compiler, built once per task."""
 
     def work(frames):
-        import pandas as pd
-
         call = command()
         for f in frames:
             yield pd.DataFrame({"id": f[key], "compile_ok": [("\\documentclass" in t) and bool(call(t)) for t in f[text].fillna("")]})
@@ -85,12 +104,12 @@ def run_compiler(rows: DataFrame, command: Callable[[], Callable[[str], bool]],
     return rows.select(key, text).mapInPandas(work, f"{key} string, compile_ok boolean")
 
 
-def evaluate(pairs_by_model: dict[str, DataFrame], scorer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
-    """ORC4: all models' scores; a model whose plan fails is left out and named."""
+def evaluate(pairs_by_model: dict[str, DataFrame], scorer: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame] = written) -> tuple[DataFrame | None, dict[str, str]]:
+    """ORC4: all models' scores; a model that fails, be it when its rows are computed, is left out and named. Pages that fail on their own: sources.files.isolated."""
     out, failed = None, {}
     for model, pairs in pairs_by_model.items():
         try:
-            one = scorer(pairs).withColumn("model", F.lit(model))
+            one = keep(scorer(pairs).withColumn("model", F.lit(model)))
         except Exception as e:
             failed[model] = str(e)
             continue
@@ -106,17 +125,15 @@ def review(rows: DataFrame, decisions: DataFrame, text: str = "latex") -> DataFr
 
 
 def dry_run(rows: DataFrame, generate: Callable[[DataFrame], DataFrame], n: int, order: str = "id") -> DataFrame:
-    """ORC8: the first n pages generated anew; success, invalid or failed."""
+    """ORC8: the first n pages without what was annotated before, generated anew; success, invalid or failed. AGG8 projects the rest from it."""
     from vellum.operators.relational import valid_response
 
-    done = generate(rows.orderBy(order).limit(n))
+    done = generate(rows.drop("latex").orderBy(order).limit(n))
     return done.withColumn("status", F.when(F.col("latex").isNull(), "failed").when(valid_response(F.col("latex")), "success").otherwise("invalid"))
 
 
 def register_functions(spark) -> None:
     """ORC5: the sequence metrics as SQL functions over arrays of strings, a batch of rows at a time; null is an empty sequence."""
-    import pandas as pd
-
     from vellum.functions import metrics as M
 
     def over(f):

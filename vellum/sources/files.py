@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +127,27 @@ def call_model(rows: DataFrame, schema: str, client: Callable[[], Callable]) ->
     return rows.mapInPandas(work, schema)
 
 
+def isolated(call: Callable, columns: list[str], key: str = "id") -> Callable:
+    """ORC4: call for a frame; where that raises, row by row, and a row that raises has nulls and the error's text in ``error``."""
+
+    def one_by_one(frame):
+        import pandas as pd
+
+        try:
+            return call(frame).assign(error=None)
+        except Exception:
+            out = []
+            for i in range(len(frame)):
+                row = frame.iloc[i : i + 1]
+                try:
+                    out.append(call(row).assign(error=None))
+                except Exception as e:
+                    out.append(pd.DataFrame({key: row[key].tolist(), **{c: [None] for c in columns}, "error": [str(e)]}))
+            return pd.concat(out, ignore_index=True)
+
+    return one_by_one
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK1: nulls are written, other scripts as they are. SNK7: derived folders are rebuilt."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -141,17 +163,49 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """SNK4: written beside, then renamed over the old one through the file system that holds it."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").parquet(beside)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"can't rename {beside}")
+def _fs(spark: SparkSession, path: str):
+    """(file system of a path, function from names to its paths)."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    return Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), Path
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Ends a replace_table that broke off: where the table is gone, the new one is taken if it was written whole, else the old one."""
+    path = path.rstrip("/")
+    fs, Path = _fs(spark, path)
+    new, old = Path(f"{path}.new"), Path(f"{path}.old")
+    if not fs.exists(Path(path)):
+        if fs.exists(Path(f"{path}.new/_SUCCESS")):
+            fs.rename(new, Path(path))
+        elif fs.exists(old):
+            fs.rename(old, Path(path))
+    if fs.exists(Path(path)):
+        fs.delete(old, True)
+
+
+def replace_table(df: DataFrame, path: str, tries: int = 20, wait: float = 0.25) -> None:
+    """SNK4: written beside, then the old table is renamed aside and the new one into its place, and only then does the old one go.
+
+    At each moment one whole table is there under a known name, and recover_table, which runs first, finds it. A rename
+    that fails, as where a reader holds the folder, is tried again.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover_table(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs, Path = _fs(spark, path)
+
+    def rename(a: str, b: str) -> None:
+        for k in range(tries):
+            if fs.rename(Path(a), Path(b)):
+                return
+            if k + 1 < tries:
+                time.sleep(wait)
+        raise OSError(f"can't rename {a} to {b}")
+
+    if fs.exists(Path(path)):
+        rename(path, f"{path}.old")
+    rename(f"{path}.new", path)
+    fs.delete(Path(f"{path}.old"), True)
 
 
 def write_routed(df: DataFrame, bucket: str, path: str) -> None:
@@ -164,13 +218,36 @@ def stale(files: DataFrame, referenced: DataFrame, key: str = "id") -> DataFrame
     return files.join(referenced.select(key), key, "left_anti")
 
 
-def markdown_report(summary: DataFrame) -> DataFrame:
-    """SNK11: a line for each model, N/A for what is missing; seconds as hours and minutes."""
+#: The report's lines, in order: group, metric, column of the summary, format. Fixed values.
+REPORT = (
+    ("Character accuracy", "Mean CER", "mean_cer", "%.4f"),
+    ("Character accuracy", "Median CER", "median_cer", "%.4f"),
+    ("Character accuracy", "Normalized CER", "norm_cer", "%.4f"),
+    ("Character accuracy", "Character similarity", "charsim", "%.1f%%"),
+    ("Syntax and structure", "Structure validity", "struct_pct", "%.1f%%"),
+    ("Syntax and structure", "Compile rate", "compile_rate", "%.1f%%"),
+    ("Mathematical semantics", "Math F1", "math_f1", "%.4f"),
+    ("Mathematical semantics", "BLEU-4", "bleu", "%.4f"),
+    ("Mathematical semantics", "ROUGE-L", "rouge_l", "%.4f"),
+    ("Mathematical semantics", "chrF", "chrf", "%.4f"),
+    ("Usability", "CER < 10 %", "cer_under_10pct", "%.1f%%"),
+    ("Usability", "CER < 30 %", "cer_under_30pct", "%.1f%%"),
+    ("Latency", "Average page latency", "avg_latency_s", "%.2fs"),
+    ("Latency", "Total runtime", "total_s", "time"),
+)
+
+
+def markdown_report(summary: DataFrame, key: str = "model") -> DataFrame:
+    """SNK11: (model, ord, line): a line for each metric of each model, N/A for what is missing; similarity as percent, seconds as hours and minutes."""
 
     def show(c: str, form: str):
-        return F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string(form, F.col(c)))
+        if c not in summary.columns:
+            return F.lit("N/A")
+        value = duration(F.col(c)) if form == "time" else F.format_string(form, F.col(c) * 100 if c == "charsim" else F.col(c))
+        return F.when(F.col(c).isNull(), "N/A").otherwise(value)
 
-    return summary.select("model", F.concat(F.lit("| "), F.col("model"), F.lit(" | "), show("mean_cer", "%.4f"), F.lit(" | "), show("compile_rate", "%.1f"), F.lit(" | "), show("bleu", "%.4f"), F.lit(" |")).alias("line"))
+    lines = F.array(*(F.struct(F.lit(i).alias("ord"), F.concat(F.lit(f"| {group} | {name} | "), show(c, form), F.lit(" |")).alias("line")) for i, (group, name, c, form) in enumerate(REPORT)))
+    return summary.select(key, F.explode(lines).alias("l")).select(key, "l.ord", "l.line")
 
 
 def duration(seconds):

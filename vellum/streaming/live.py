@@ -56,28 +56,30 @@ def resume_plan(pages: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def changes(events: DataFrame, key: str, state: str) -> DataFrame:
-    """STR6 on a table or stream of (key, state, ord): the rows whose state differs from the one before.
+    """STR6 on a table or stream of (key, state, ord): the rows whose state differs from the one before; null is a state of its own, and the first row of a key is a change.
 
-    On a stream, transformWithState keeps the last hash of each key; on a table it is a lag.
+    On a stream, the last state of each key is kept by applyInPandasWithState; on a table it is a lag.
     """
     if not events.isStreaming:
         from pyspark.sql import Window
 
-        before = F.lag(state).over(Window.partitionBy(key).orderBy("ord"))
-        return events.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(state))).drop("_b")
+        w = Window.partitionBy(key).orderBy("ord")
+        new = F.row_number().over(w) == 1
+        return events.withColumn("_b", new | ~F.lag(state).over(w).eqNullSafe(F.col(state))).where("_b").drop("_b")
     schema = T.StructType([events.schema[key], events.schema[state], events.schema["ord"]])
 
     def emit(k, frames, held):
         import pandas as pd
 
-        last = held.get[0] if held.exists else None
-        for f in frames:
-            f = f.sort_values("ord")
-            keep = f[state].ne(f[state].shift(fill_value=last) if last is not None else f[state].shift())
-            if len(f):
-                last = f[state].iloc[-1]
-            held.update((last,))
-            yield pd.DataFrame(f.loc[keep, [key, state, "ord"]])
+        begun, last = (True, held.get[0]) if held.exists else (False, None)
+        rows = pd.concat(list(frames)).sort_values("ord")
+        keep = []
+        for value in rows[state].tolist():
+            value = None if pd.isna(value) else value
+            keep.append(not begun or value != last)
+            begun, last = True, value
+        held.update((last,))
+        yield rows.loc[keep, [key, state, "ord"]]
 
     return events.select(key, state, "ord").groupBy(key).applyInPandasWithState(emit, schema, T.StructType([events.schema[state]]), "append", "NoTimeout")
 
