@@ -1,4 +1,9 @@
-"""From raw documents to a mix: five stages, each written as Parquet and reread as the next one's input."""
+"""From raw documents to a mix: five stages, each written as Parquet and reread as the next one's input.
+
+A stage takes a table with the columns of documents (COLUMNS must be there; others go) and returns these columns, the
+last one its own. All columns may hold nulls, ids may be null or repeated, rows may be repeated, texts may be empty or of
+any length, and a table may be empty: an empty table gives an empty table. What each case means stands at the stages.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, jaccard, ledger, mixing, substring
-from vellum.llm.kit import cut_lineage, table
+from vellum.llm.kit import cut_lineage, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -19,14 +24,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the policy rejects."""
+    """Drops the documents that the policy rejects.
+
+    Row by row, so repeated rows and ids go or stay alike; a null or wordless text has too few words and goes.
+    """
     return ledger.apply_policy(ledger.ledger(docs.select(*COLUMNS)), "v1").where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Groups are groups of rows: a null id takes part like any other, and rows with one doc_id are copies only if
+    Rows with a null or wordless text are copies of nothing and stay. Groups are groups of rows: a null id takes part like any other, and rows with one doc_id are copies only if
     their texts are. The row with the least doc_id stays, null last; among equal ids the least hash of the text, then any.
     """
     rows = _numbered(docs)
@@ -49,7 +57,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows with a passage that aligns with a benchmark item, whatever their id."""
+    """Drops the rows with a passage that aligns with a benchmark item, whatever their id.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike. Null, empty and very short items find nothing.
+    """
     rows = _numbered(docs)
     found = decontam.find_contamination(rows, table(spark, sf_dir, "benchmark"), key="row")
     return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
@@ -78,14 +89,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between goes to the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what lies between goes to the shared checkpoint folder, and goes from there once the next stage is written."""
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{i}-{name}")
-            docs = spark.read.parquet(f"{base}/{i}-{name}")
+            folder = f"{base}/{i}-{name}"
+            docs.write.parquet(folder)
+            if before:
+                _drop(spark, before)
+            docs, before = spark.read.parquet(folder), folder
     return docs
