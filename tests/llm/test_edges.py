@@ -78,6 +78,9 @@ def test_contamination_is_brute_force(spark):
     items = [(i, " ".join(t)) for i, t in items] + [(50, None), (51, ""), (52, "yes"), (53, "a1 b2")]
     got = {x.doc_id: set(x.item_ids) for x in decontam.contaminated(decontam.find_contamination(table(spark, docs).repartition(3), spark.createDataFrame(items, "item_id long, text string"))).collect()}
     want = {i: f for i, t in docs if (f := found_by_force(t, items))}
+    dealt = decontam.find_contamination(table(spark, docs).repartition(3), spark.createDataFrame(items, "item_id long, text string"), most_bytes=700)
+    carried = decontam.find_contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(map(tuple, dealt.collect())) == Counter(map(tuple, carried.collect()))
     # An edited copy that keeps no two seeds isn't aligned; an unedited one always does.
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
     assert all(i in got for i in want if i is None or i < 100 or i >= 160 or (i - 100) % 3 == 0)
