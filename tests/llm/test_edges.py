@@ -145,13 +145,23 @@ def test_ordinal_steps_follow_the_likelihood():
     rows_ = [np.unique(r.integers(0, 40, 6)) for _ in range(400)]
     true = r.normal(size=40)
     grades = np.digitize([true[f].sum() for f in rows_], [-1.5, 1.5])
-    model = ordinal.fit_rows(rows_, grades, 3)
+    model = ordinal.fit_rows(rows_, grades, 3, z=0.0)
     score = np.array([model.weights[f].sum() for f in rows_])
     below = 1 / (1 + np.exp(-(model.thresholds[None, :] - score[:, None])))
     p = np.diff(np.concatenate((np.zeros((400, 1)), below, np.ones((400, 1))), axis=1), axis=1)
     assert (p.argmax(axis=1) == grades).mean() > 0.9 and model.thresholds[0] < model.thresholds[1]
 
 
+def test_tokens_that_tell_nothing_get_no_weight():
+    r = np.random.default_rng(1)
+    grades = np.arange(600) % 3
+    rows_ = [np.unique(np.concatenate((r.integers(100, 400, 30), [g]))) for g in grades]
+    used = np.flatnonzero(ordinal.telling(rows_, grades, 3))
+    assert set(range(3)) <= set(used.tolist()) and len(used) < 10
+    model = ordinal.fit_rows(rows_, grades, 3)
+    assert model.weights[2] > model.weights[1] > model.weights[0] and np.count_nonzero(model.weights) == len(used)
+
+
 def test_language_counts_are_brute_force(spark):
     r = random.Random(4)
     texts = [" ".join("".join(r.choice("abcé ") for _ in range(5)) for _ in range(8)) for _ in range(50)] + ["", "12", "a" * 3000]
