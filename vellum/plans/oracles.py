@@ -196,18 +196,20 @@ ORACLES: dict[str, str] = {
     "txt15_body": _ann(_BODY + " AS body"),
     "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, {_re(X.MATH)}) END AS has_math FROM b",
     "txt17_illegible": _ann(f"regexp_matches(latex, {_re(X.ILLEGIBLE)}) AS illegible"),
-    "txt19_log_error": _ann("CASE WHEN substr(id, 8, 1) < '5' THEN '! Undefined' ELSE 'Unknown error' END AS error"),
-    "txt20_labels": _ann("'a_b_' || id AS label"),
+    "txt19_log_error": f"WITH {ANNOTATIONS}, s AS (SELECT id, regexp_extract(latex || CASE WHEN substr(id, 8, 1) < '5' THEN chr(10) || '! Undefined' || chr(10) || 'more' ELSE '' END, '(?m)^!.*') AS e FROM ann) SELECT id, CASE WHEN e = '' THEN 'Unknown error' ELSE {_strip('e')} END AS error FROM s",
+    "txt20_labels": r"""WITH p AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*', '') || CASE page_id % 3 WHEN 0 THEN '/final' WHEN 1 THEN '//' ELSE '' END, '[/\\]+$', ''), '[/\\]') AS n FROM pages)
+SELECT page_id, regexp_replace(CASE WHEN n[-1] = 'final' AND len(n) > 1 THEN n[-2] ELSE n[-1] END, '[^A-Za-z0-9._-]', '_', 'g') AS label FROM p""",
     "txt21_content_hash": _ann("md5(latex) AS md5, substr(md5(latex), 1, 8) AS short"),
     "txt22_plain_panel": _ann("substr(translate(replace(latex, '$', ''), '_^', '  '), 1, 2000) AS panel"),
     "fil4_valid_v1": _ann(f"NOT {_REFUSED} AND (length(latex) >= 200 OR {_has('latex', chr(39) + '$' + chr(39), B + ' || ' + chr(39) + '[' + chr(39), B + ' || ' + chr(39) + 'begin{' + chr(39))}) AS valid"),
     "fil5_valid_v2": _ann(f"NOT {_REFUSED} AND strpos(lower(latex), '<think>') = 0 AND strpos(latex, {B} || 'documentclass') > 0 AND strpos(latex, {B} || 'end{{document}}') > 0 AS valid"),
     "fil7_structure": _ann(f"strpos(latex, {B} || 'documentclass') > 0 AND strpos(latex, {B} || 'end{{document}}') > 0 AND {_count('latex', chr(39) + '{' + chr(39))} = {_count('latex', chr(39) + '}' + chr(39))} AND {_count('latex', B + ' || ' + chr(39) + 'begin' + chr(39))} = {_count('latex', B + ' || ' + chr(39) + 'end' + chr(39))} AS ok"),
-    "fil8_safe_id": _ann("substr(id, 8, 1) >= '6' AS safe"),
-    "fil12_unreviewed": _ann("substr(id, 8, 1) >= '5' AS todo"),
+    "fil8_safe_id": r"WITH p AS (SELECT page_id, string_split(url, '/')[-1] || CASE page_id % 4 WHEN 0 THEN '..' ELSE '' END AS c FROM pages) SELECT page_id, regexp_full_match(c, '[A-Za-z0-9_.\-]+') AND strpos(c, '..') = 0 AS safe FROM p",
+    "fil12_unreviewed": f"WITH {ANNOTATIONS} SELECT id, strpos(latex || CASE WHEN substr(id, 8, 1) < '5' THEN chr(10) || '% REVIEWED: OK' ELSE '' END, '{X.REVIEWED}') = 0 AS todo FROM ann",
     "fil6_skip_reason": _ann("CASE WHEN substr(id, 7, 2) = '07' THEN 'excluded' WHEN substr(id, 7, 2) = '11' THEN 'no_image' WHEN trim(latex) = '' THEN 'empty' WHEN length(trim(latex, ' ' || chr(10))) < 200 THEN 'too_short' WHEN " + _has("lower(latex)", "'please provide the image'", "'no handwritten content'", "'please attach'", "'i cannot see'") + " THEN 'refusal' END AS reason"),
     "txt23_assistant": "SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS answer FROM conversations GROUP BY conv_id",
-    "txt24_error_class": "SELECT event_id, CASE WHEN event_id % 7 IN (0, 1) THEN 'backoff' WHEN event_id % 7 IN (2, 3, 4, 5) THEN 'fatal' ELSE 'retry' END AS error_class, event_id % 600 IN (429, 500, 502, 503, 504) AS retryable FROM events",
+    "txt24_error_class": """WITH m AS (SELECT event_id, lower(['HTTP 429 now', 'Rate limit', '402 pay', 'no credit left', '401', 'Unauthorized', 'timeout'][event_id % 7 + 1] || ' ' || event_type) AS m FROM events)
+SELECT event_id, CASE WHEN regexp_matches(m, '429|rate') THEN 'backoff' WHEN regexp_matches(m, '402|insufficient|credit|401|unauthorized') THEN 'fatal' ELSE 'retry' END AS error_class, event_id % 600 IN (429, 500, 502, 503, 504) AS retryable FROM m""",
     "met2_char_metrics": f"""WITH {PAIRS}, {MODELS}, m AS (SELECT model, id, {_NORM.format(c='ref')} AS r, {_NORM.format(c='hyp')} AS h, {_canon('ref')} AS rc, {_canon('hyp')} AS hc FROM models)
 SELECT model, id, round(levenshtein(r, h)::DOUBLE / greatest(1, length(r)), 4) AS cer, round(levenshtein(rc, hc)::DOUBLE / greatest(1, length(rc)), 4) AS ncer,
   round(greatest(0, 1 - levenshtein(r, h)::DOUBLE / greatest(1, length(r))), 4) AS charsim, r = h AS exact, round(length(h)::DOUBLE / greatest(1, length(r)), 3) AS len_rate,
@@ -268,8 +270,8 @@ SELECT user_id, step, round(s, 3) AS seconds, best, CASE WHEN step >= 6 THEN CAS
     "win11_progress": "WITH d AS (SELECT o_orderkey, o_orderkey % 100 AS p, o_orderkey % 7 AS b, (o_orderkey % 11)::DOUBLE AS e FROM orders), r AS (SELECT *, CASE WHEN e > 0 AND p > b THEN (p - b) / e END AS rate FROM d) SELECT o_orderkey, round(rate, 2) AS items_per_sec, round((200 - p) / rate, 0) AS eta_seconds, round(100.0::DOUBLE * p / 200, 1) AS pct FROM r",
     "win12_batches": "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, rn, (rn - 1) // 4 AS batch, (rn - 1) % 3 AS key, 'page_' || lpad(rn::VARCHAR, 5, '0') AS page FROM n",
     "win16_backoff": "SELECT i AS step, least(60 * pow(2.0::DOUBLE, least(i, 4) - 1), 300) AS wait, pow(2.0::DOUBLE, i) + 1 AS http_wait, chr((96 + i)::INT) AS letter FROM range(1, 9) r(i)",
-    "arr4_finite": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM events",
-    "arr5_key_list": "SELECT doc_id, 'a|b|' || source AS keys FROM documents",
+    "arr4_finite": "WITH v AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END AS v FROM events) SELECT event_id, CASE WHEN isfinite(v) THEN v END AS value FROM v",
+    "arr5_key_list": "WITH k AS (SELECT doc_id, list_filter(list_transform(string_split(text || ', ,' || source, ','), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents) SELECT doc_id, array_to_string(k[1:3], '|') AS keys, len(k)::INT AS n FROM k",
     "img5_sizes": """WITH p AS (SELECT p_partkey, (p_partkey * 37 % 3000 + 1)::INT AS h, (p_partkey * 53 % 2500 + 1)::INT AS w FROM part), q AS (SELECT *, greatest(h, w) AS big, sqrt(1204224.0::DOUBLE / (h::DOUBLE * w)) AS k, abs(sin(radians(3.0::DOUBLE))) AS s, abs(cos(radians(3.0::DOUBLE))) AS c FROM p)
 SELECT p_partkey, CASE WHEN big <= 2048 THEN h ELSE floor(h * 2048.0::DOUBLE / big) END::INT AS side_h, CASE WHEN big <= 2048 THEN w ELSE floor(w * 2048.0::DOUBLE / big) END::INT AS side_w,
   CASE WHEN h * w <= 1204224 THEN h ELSE greatest(1, round_even(h * k, 0)) END::INT AS budget_h, CASE WHEN h * w <= 1204224 THEN w ELSE greatest(1, round_even(w * k, 0)) END::INT AS budget_w, floor(h * c + w * s)::INT AS rot_h, floor(h * s + w * c)::INT AS rot_w FROM q""",

@@ -52,14 +52,30 @@ _texts("txt16_math", has_math=X.has_math)
 _texts("txt17_illegible", illegible=X.has_illegible)
 _texts("txt18_yes_no", verdict=lambda c: X.yes_no(F.concat(c, F.when(F.substring("id", 8, 1) < "5", " Yes.").otherwise(" nothing"))))
 _texts("txt19_log_error", error=lambda c: X.first_log_error(F.concat(c, F.when(F.substring("id", 8, 1) < "5", "\n! Undefined\nmore").otherwise(""))))
-_texts("txt20_labels", label=lambda c: X.safe_label(X.model_label(F.concat(F.lit("runs/a b "), F.col("id"), F.when(F.substring("id", 8, 1) < "5", "/final").otherwise("")))))
+
+
+@query
+def txt20_labels(spark, sf_dir):
+    """Labels of paths made from the pages' addresses, some with a last folder named final."""
+    path = F.concat(F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*", ""), F.expr("CASE page_id % 3 WHEN 0 THEN '/final' WHEN 1 THEN '//' ELSE '' END"))
+    return load(spark, sf_dir, "pages").select("page_id", X.safe_label(X.model_label(path)).alias("label"))
+
+
 _texts("txt21_content_hash", md5=X.content_hash, short=lambda c: X.content_hash(c, 8))
 _texts("txt22_plain_panel", panel=X.plain_panel)
 _texts("txt26_messages", request=lambda c: F.to_json(X.messages("Transcribe.", c)))
 _texts("fil4_valid_v1", valid=relational.valid_response_v1)
 _texts("fil5_valid_v2", valid=relational.valid_response)
 _texts("fil7_structure", ok=metrics.structure_ok)
-_texts("fil8_safe_id", safe=lambda c: relational.safe_id(F.concat("id", F.when(F.substring("id", 8, 1) < "3", "/x").when(F.substring("id", 8, 1) < "6", "..").otherwise(".png"))))
+
+
+@query
+def fil8_safe_id(spark, sf_dir):
+    """The last part of each page's address as an id."""
+    name = F.element_at(F.split("url", "/"), -1)
+    return load(spark, sf_dir, "pages").select("page_id", relational.safe_id(F.concat(name, F.expr("CASE page_id % 4 WHEN 0 THEN '..' ELSE '' END"))).alias("safe"))
+
+
 _texts("fil12_unreviewed", todo=lambda c: relational.unreviewed(F.concat(c, F.when(F.substring("id", 8, 1) < "5", "\n% REVIEWED: OK").otherwise(""))))
 
 
@@ -448,7 +464,7 @@ def arr4_finite(spark, sf_dir):
 @query
 def arr5_key_list(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(arrays.key_list(F.concat(F.lit(" a, ,b ,"), F.col("source"), F.lit(" , c")), 3), "|").alias("keys"))
+    return d.select("doc_id", F.array_join(arrays.key_list(F.concat(F.col("text"), F.lit(", ,"), F.col("source")), 3), "|").alias("keys"), F.size(arrays.key_list(F.concat(F.col("text"), F.lit(", ,"), F.col("source")))).alias("n"))
 
 
 @query
