@@ -184,6 +184,14 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs.where("false").select("doc_id", "text"), model, ["doc_id"]).count() == 0
 
 
+def test_held_out_languages_are_named(spark):
+    from vellum.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op6_language_id"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    assert len(got) > 200 and sum(x.lang_pred == x.lang for x in got) >= 0.98 * len(got)
+
+
 def turns(df):
     return {x.conv_id: None if x.turns is None else [(t.role, t.text) for t in x.turns] for x in df.collect()}
 
