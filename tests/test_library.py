@@ -195,6 +195,28 @@ def test_pages(spark):
     assert images.clean_pages(rows).first().png[:4] == b"\x89PNG"
 
 
+def test_pixels_are_kept_by_resize_and_rotation():
+    r = np.random.default_rng(2)
+    flat = np.full((40, 30, 3), (10, 120, 200), np.uint8)
+    assert (images.resize(flat, 17, 45) == flat[0, 0]).all() and (images.rotate(flat, 2.0) == flat[0, 0]).all()
+    a = r.integers(0, 256, (40, 30, 3)).astype(np.uint8)
+    assert (images.resize(a, 40, 30) == a).all() and images.rotate(a, 0.5) is a
+    smooth = np.repeat(np.linspace(0, 255, 60)[:, None, None], 50, axis=1).repeat(3, axis=2).astype(np.uint8)
+    small = images.resize(smooth, 30, 25).astype(int)
+    assert np.abs(small[2:-2, 5, 0] - np.linspace(0, 255, 60).reshape(30, 2).mean(axis=1)[2:-2]).max() <= 2
+    page = np.zeros((50, 50, 3), np.uint8)
+    page[:, :, 2] = 100
+    assert tuple(images.rotate(page, 5.0)[0, 0]) == (0, 0, 100) and tuple(images.rotate(page, 5.0, swapped_border=True)[0, 0]) == (100, 0, 0)
+    turned = images.rotate(a, 3.0)
+    assert turned.shape[0] == int(40 * np.cos(np.radians(3)) + 30 * np.sin(np.radians(3))) and abs(float(turned.mean()) - float(a.mean())) < 4
+
+
+def test_finite_at_any_depth(spark):
+    df = spark.sql("SELECT array(CAST('NaN' AS DOUBLE), 1.0D) AS a, map('x', CAST('Infinity' AS DOUBLE), 'y', 2.0D) AS m, named_struct('f', CAST('-Infinity' AS FLOAT), 's', 'k', 'd', array(named_struct('z', CAST('NaN' AS DOUBLE)))) AS s, CAST(NULL AS DOUBLE) AS n")
+    r = arrays.finite_columns(df).first()
+    assert r.a == [None, 1.0] and r.m == {"x": None, "y": 2.0} and r.s.f is None and r.s.s == "k" and r.s.d[0].z is None and r.n is None
+
+
 def test_png_is_read_back(spark, tmp_path):
     a = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
     (tmp_path / "p.png").write_bytes(images.to_png(a))

@@ -262,8 +262,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", " "), "UTF-8").alias("t"))
     d = d.select("id", "t", F.greatest(F.lit(48), F.ceil(F.octet_length("t") / 64)).cast("int").alias("height"))
     white = F.expr("CASE WHEN CAST(id AS BIGINT) % 8 = 0 THEN unhex(repeat('FF', height * 64)) ELSE rpad(t, height * 64, X'FF') END")
-    d = d.select("id", "height", F.lit(64).alias("width"), white.alias("g"))
-    return d.select("id", "height", "width", F.concat("g", "g", "g").alias("data"))
+    return d.select("id", "height", F.lit(64).alias("width"), white.alias("data"))  # one channel
+
+
+@query
+def fil2_dark_ratio(spark, sf_dir):
+    """Dark and inked parts of the pages in percent."""
+    m = pages(spark, sf_dir).select("id", images.page_features("data", "height", "width").alias("m"))
+    return m.select(F.col("id").cast("long").alias("doc_id"), F.round("m.dark", 6).alias("dark"), F.round("m.ink", 6).alias("ink"))
 
 
 def write_up(rows: DataFrame) -> DataFrame:
@@ -287,8 +293,8 @@ def orc10_prefix_batch(spark, sf_dir):
     return t["convert"].select("id", "height", "width", F.hex(F.substring("png", 2, 3)).alias("magic"))
 
 
-_PAGES = "p AS (SELECT doc_id, greatest(48, ceil(length(coalesce(text, '')) / 64.0))::INT AS h FROM documents)"
 ORACLES = {
+    "fil2_dark_ratio": "WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE round(100.0::DOUBLE * n / (64 * greatest(48, ceil(n / 64.0::DOUBLE))), 6) END AS dark, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE round(100.0::DOUBLE * n / (64 * greatest(48, ceil(n / 64.0::DOUBLE))), 6) END AS ink FROM p",
     "src1_list_files": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_nationkey % 3 <> 0",
     "src2_list_below": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_nationkey % 3 <> 0",
     "src3_list_prefix": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_name LIKE 'I%'",
