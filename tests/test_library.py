@@ -211,6 +211,21 @@ def test_pixels_are_kept_by_resize_and_rotation():
     assert turned.shape[0] == int(40 * np.cos(np.radians(3)) + 30 * np.sin(np.radians(3))) and abs(float(turned.mean()) - float(a.mean())) < 4
 
 
+@pytest.mark.parametrize("angle", [0.0, 1.5, -2.5, 4.0])
+def test_skew_of_drawn_lines(angle):
+    page = np.full((500, 600, 3), 255, np.uint8)
+    r = np.random.default_rng(3)
+    for row in range(60, 440, 40):
+        for x in range(40, 560):
+            if r.random() < 0.8:
+                y = int(round(row + np.tan(np.radians(angle)) * (x - 300)))
+                page[y : y + 9, x] = 0
+    assert images.skew(page) == pytest.approx(angle, abs=0.26)
+    straight = images.rotate(page, images.skew(page), back=True)
+    assert abs(images.skew(straight)) <= 0.5
+    assert images.skew(np.full((50, 50, 3), 255, np.uint8)) == 0.0
+
+
 def test_finite_at_any_depth(spark):
     df = spark.sql("SELECT array(CAST('NaN' AS DOUBLE), 1.0D) AS a, map('x', CAST('Infinity' AS DOUBLE), 'y', 2.0D) AS m, named_struct('f', CAST('-Infinity' AS FLOAT), 's', 'k', 'd', array(named_struct('z', CAST('NaN' AS DOUBLE)))) AS s, CAST(NULL AS DOUBLE) AS n")
     r = arrays.finite_columns(df).first()
