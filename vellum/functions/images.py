@@ -230,6 +230,16 @@ def page_features(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Da
     return pd.DataFrame(rows, columns=_FEATURES.names)
 
 
+def dark_percent(threshold: int = 210):
+    """FIL2 as a function of (data, height, width)."""
+
+    @F.pandas_udf("double")
+    def percent(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([dark_ratio(pixels(d, h, w, len(d) // (h * w)), threshold) for d, h, w in zip(data, height, width, strict=True)], dtype=float)
+
+    return percent
+
+
 def _each_page(images: DataFrame, f, out: str) -> DataFrame:
     """Rows (id, height, width, data) with f(pixels) in place of data: an array, kept as bytes, or bytes."""
 

@@ -21,10 +21,9 @@ def crop(t: Tables, c: Config) -> DataFrame:
 
 
 def filter_blank(t: Tables, c: Config) -> Tables:
-    """Pages with content or little of it go on, blank ones are set aside."""
-    kind = images.page_features("data", "height", "width")
-    rows = t["crop"].withColumn("m", kind).withColumn("kind", images.page_kind(F.col("m.ink"), F.col("m.words"), sparse=c.max_dark_percent))
-    return {name: rows.where(test).drop("m", "kind") for name, test in (("filter", "kind <> 'blank'"), ("filter_rejected", "kind = 'blank'"))}
+    """Pages of which more than so many percent are dark go on, the others are set aside."""
+    rows = t["crop"].withColumn("dark", images.dark_percent(c.dark_threshold)("data", "height", "width"))
+    return {name: rows.where(test).drop("dark") for name, test in (("filter", F.col("dark") > c.max_dark_percent), ("filter_rejected", F.col("dark") <= c.max_dark_percent))}
 
 
 def deskew(t: Tables, c: Config) -> DataFrame:
