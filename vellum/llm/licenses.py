@@ -114,6 +114,7 @@ class Scanner:
         if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"more than {MAX_TEMPLATE_WORDS} words of templates")
         self.words = [w.tolist() for w in words]
+        self.wanted = [Counter(w) for w in self.words]
         pairs = [np.unique(windows(w, min(2, len(w)))) if len(w) else w for w in words]
         self.pair = np.concatenate(pairs) if pairs else np.empty(0, U64)
         self.owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
@@ -210,7 +211,10 @@ class Scanner:
         head, size = self.head[o], len(self.words[o])
         span, least = size + size // 4 + 2, self.coverage * size
         at, end, held, able = 0, 0, Counter(), 0
-        wanted = Counter(self.words[o])
+        wanted = self.wanted[o]
+        mine = Counter(w for w in region if w in wanted)
+        if sum(min(n, wanted[w]) for w, n in mine.items()) < least:
+            return
         while at < len(region):
             # No more words can align than are the template's, each as often as there.
             while end < min(at + span, len(region)):
