@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontam, jaccard, langid, ledger, licenses, mixing, ordinal, substring, urls
+from vellum.llm import chat, decontam, jaccard, langid, ledger, licenses, mixing, ordinal, runs, substring, urls
 from vellum.llm.kit import table
 
 
@@ -83,10 +84,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
+def _repeats_from(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """(a, p) of the tenth of the ids whose texts are read as repeating p words from word a on; a null id is none of them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    a = h // 10 % n
+    return a, 1 + (n - a) // (3 + h // 10 % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of four periods and six words or more. Nulls, ties, repeats: as find_runs says."""
+    found = runs.find_runs(table(spark, sf_dir, "documents"), _repeats_from).withColumn("best", runs.longest(F.col("runs")))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, runs.digest(F.col("runs")).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontamination, op4_url_filter, op5_quality, op6_language_id, op7_chat_format, op8_quality_rules, op8_ablation, op9_source_mix, op10_jaccard_join, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontamination, op4_url_filter, op5_quality, op6_language_id, op7_chat_format, op8_quality_rules, op8_ablation, op9_source_mix, op10_jaccard_join, op13_periodic_runs, pipeline)}
