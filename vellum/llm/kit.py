@@ -185,7 +185,7 @@ class Tokens:
         some = kind[edge[:-1]] != 0
         start = edge[:-1][some]
         self.h = word_hash(_LOWER[raw], start, edge[1:][some]) if len(start) else np.empty(0, U64)
-        self.start = start
+        self.start, self.end = start, edge[1:][some]
         base = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=base[1:])
         self.first = np.searchsorted(start, base)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import alignment, chat, decontam, jaccard, langid, ledger, licenses, mixing, ordinal, runs, substring, urls
+from vellum.llm import alignment, chat, decontam, jaccard, langid, ledger, licenses, mixing, ordinal, runs, substring, toxicity, urls
 from vellum.llm.kit import table
 
 
@@ -89,6 +89,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of the label toxic, learned from the labels that aren't held out. Nulls, ties, repeats: as toxicity says."""
+    out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", out(F.col("doc_id")).alias("held_out"), "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out(F.col("doc_id"))))
+    found = toxicity.score(docs, model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments")
+
+
 def _repeats_from(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """(a, p) of the tenth of the ids whose texts are read as repeating p words from word a on; a null id is none of them."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -111,4 +120,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontamination, op4_url_filter, op5_quality, op6_language_id, op7_chat_format, op8_quality_rules, op8_ablation, op9_source_mix, op10_jaccard_join, op11_token_alignment, op13_periodic_runs, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontamination, op4_url_filter, op5_quality, op6_language_id, op7_chat_format, op8_quality_rules, op8_ablation, op9_source_mix, op10_jaccard_join, op11_token_alignment, op12_toxicity, op13_periodic_runs, pipeline)}
