@@ -15,6 +15,7 @@ from vellum.plans import stages
 from vellum.plans.oracles import ORACLES
 from vellum.plans.queries import QUERIES
 from vellum.sources import files
+from vellum.sources.snapshots import SnapshotTable
 from vellum.streaming import live
 
 DATA = "/root/testdata/sf0.001"
@@ -137,23 +138,6 @@ def test_numbers_are_gapless_whatever_the_rows_carry(spark):
     assert relational.numbered(spark.range(0), "id").count() == 0
 
 
-def test_a_replaced_table_is_never_lost(spark, tmp_path):
-    one, two = spark.range(3), spark.range(5)
-    path = str(tmp_path / "t")
-    files.replace_table(one, path)
-    two.write.parquet(f"{path}.new")
-    os.rename(path, f"{path}.old")  # broke off between the two renames
-    files.recover_table(spark, path)
-    assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.old")
-    os.rename(path, f"{path}.old")  # broke off before the new table was whole
-    os.makedirs(f"{path}.new")
-    files.replace_table(one, path)
-    assert spark.read.parquet(path).count() == 3 and sorted(os.listdir(tmp_path)) == ["t"]
-    os.rename(path, f"{path}.old")
-    files.recover_table(spark, path)
-    assert spark.read.parquet(path).count() == 3
-
-
 def test_changes_on_a_stream_and_on_a_table(spark, tmp_path):
     schema = "k string, state string, ord long"
     parts = [[("a", "x", 1), ("a", "x", 2), ("b", None, 1)], [("a", None, 3), ("b", None, 2), ("a", None, 4)], [("b", "y", 3), ("a", "x", 5)]]
@@ -250,9 +234,6 @@ def test_json_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "a long, b string")
     files.write_json_lines(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":1,"b":null}'
-    files.replace_table(df, str(tmp_path / "t"))
-    files.replace_table(df.unionAll(df), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
 def test_live_scoring(spark, tmp_path):
@@ -261,9 +242,11 @@ def test_live_scoring(spark, tmp_path):
     refs = spark.createDataFrame([("p1", "ab"), ("p2", "cd")], "id string, ref string")
     outputs = spark.createDataFrame([("p1", "ab")], "id string, hyp string")
 
+    table = SnapshotTable(spark, str(tmp_path / "scores"))
+
     def score():
-        live.score_live(live.ready_pages(spark, str(ready)), lambda: outputs, refs, str(tmp_path / "scores"), str(tmp_path / "cp")).awaitTermination()
-        return {r.id: r.cer for r in spark.read.parquet(str(tmp_path / "scores")).collect()}
+        live.score_live(live.ready_pages(spark, str(ready)), lambda: outputs, refs, table, str(tmp_path / "cp")).awaitTermination()
+        return {r.id: r.cer for r in table.read().collect()}
 
     (ready / "p1.time").write_text("1.5")
     assert score() == {"p1": 0.0}

@@ -1,4 +1,9 @@
-"""Text and markup functions: Column in, Column out, all inside Catalyst."""
+"""Text and markup functions: Column in, Column out, all inside Catalyst.
+
+Each takes time in proportion to its text, hostile ones too: white space at the ends is trimmed by sets of characters, and
+what stands between two marks is found by places. A pattern that looks for a closing mark from every opening one only
+runs on a text cut behind its last closing mark, where each search ends.
+"""
 
 from __future__ import annotations
 
@@ -40,14 +45,19 @@ CANONICAL = (
     (r"\\[\[\]()]", ""),
     (r"\$", ""),
 )
-BODY = r"(?s)\\begin\{document\}(.*?)\\end\{document\}"
-FENCE = r"(?s)```(?:latex|tex)?\s*\n?(.*?)```"
-ILLEGIBLE = r"(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]"
-MATH = r"(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{[^}]+\}.*?\\end\{[^}]+\}"
-REGION, SPECIAL, PLACEHOLDER = r"(?s)<\|det\|>.*?<\|/det\|>", r"<\|/?[a-z_]+\|>", r"!\[\]\(images/\d+\.jpg\)"
+BEGIN, END = r"\begin{document}", r"\end{document}"
+FENCE, FENCE_LABEL = "```", r"\A(?:latex|tex)"
+ILLEGIBLE = (("\\text{", "}"), ("\\textit{", "}"), ("[", "]"))  # on one line, with the word in between
+INLINE_MATH = r"\$[^$]+\$|\\\[[^\\]+\\\]"
+ENV_BEGIN, ENV_END = r"\\begin\{[^}]+\}", r"\\end\{[^}]+\}"
+THINK, THINK_END = "<think>", "</think>"
+REGION, REGION_END = "<|det|>", "<|/det|>"
+SPECIAL, PLACEHOLDER = r"<\|/?[a-z_]+\|>", r"!\[\]\(images/\d+\.jpg\)"
 HEADING = r"(?m)^#{1,6}\s*"
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ENDS_OF_LINES = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -62,11 +72,40 @@ def let(c: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return _sub(c, rf"\A{_SPACE}|{_SPACE}\z", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return _sub(c, rf"{_SPACE}\z", "")
+    return F.rtrim(c, F.lit(_WHITE))
+
+
+def behind(c: Column, piece: str) -> Column:
+    """What stands behind the first piece; null where there is none."""
+    return F.when(F.contains(c, F.lit(piece)), F.substring(c, F.instr(c, F.lit(piece)) + len(piece), F.length(c)))
+
+
+def _cut_last(c: Column, mark: str) -> tuple[Column, Column]:
+    """A text up to its last mark, a character, and what stands behind; up to there each search for a mark ends."""
+    place = F.when(F.contains(c, F.lit(mark)), F.length(c) - F.instr(F.reverse(c), F.lit(mark)) + 1).otherwise(0)
+    return F.substring(c, F.lit(1), place), F.substring(c, place + 1, F.length(c))
+
+
+def _sub_closed(c: Column, pattern: str, by: str, closer: str) -> Column:
+    """_sub by a pattern that runs to a closing mark."""
+    first = pattern.split(r"\{")[0].replace("\\\\", "\\")
+    head, tail = _cut_last(c, closer)
+    return F.when(F.contains(c, F.lit(first)), F.concat(_sub(head, pattern, by), tail)).otherwise(c)
+
+
+def cut_between(c: Column, opener: str, closer: str) -> Column:
+    """Without what stands from an opening mark to the next closing one, in capitals or not; an open one stays."""
+
+    def cut(part):
+        closed = F.endswith(F.lower(part), F.lit(closer)) & F.contains(F.lower(part), F.lit(opener))
+        return F.when(closed, F.get(F.split(part, rf"(?i)\Q{opener}\E", 2), F.lit(0))).otherwise(part)
+
+    parts = F.split(c, rf"(?i)(?<=\Q{closer}\E)")
+    return F.when(F.contains(F.lower(c), F.lit(opener)) & F.contains(F.lower(c), F.lit(closer)), F.array_join(F.transform(parts, cut), "")).otherwise(c)
 
 
 def count_of(c: Column, piece: str) -> Column:
@@ -94,7 +133,12 @@ def tokenize(c: Column, limit: int = MAX_TOKENS) -> Column:
 
 def body_or_all(c: Column) -> Column:
     """TXT15: what stands between begin and end of the document; the whole text where they don't."""
-    return let(c, lambda c: F.when(F.regexp_like(c, F.lit(BODY)), F.regexp_extract(c, BODY, 1)).otherwise(c))
+    return let(c, lambda c: F.coalesce(_body(c), c))
+
+
+def _body(c: Column) -> Column:
+    """The document's body; null where it doesn't begin and end."""
+    return let(behind(c, BEGIN), lambda b: F.when(F.contains(b, F.lit(END)), F.substring_index(b, END, 1)))
 
 
 def canonical(c: Column) -> Column:
@@ -107,14 +151,15 @@ def canonical(c: Column) -> Column:
 
 def strip_reasoning(c: Column) -> Column:
     """TXT4: without closed think blocks; behind the last tag that stays open."""
-    c = _sub(c, r"(?is)<think>.*?</think>", "")
-    return F.element_at(F.split(c, r"(?i)<think>"), -1)
+    open_ = lambda c: F.when(F.contains(F.lower(c), F.lit(THINK)), F.element_at(F.split(c, r"(?i)<think>"), -1)).otherwise(c)
+    return let(cut_between(c, THINK, THINK_END), open_)
 
 
 def clean_response(c: Column) -> Column:
     """TXT5: the document of a model's answer, from its class to its last end."""
     def unfenced(c):
-        return F.when(F.regexp_like(c, F.lit(FENCE)), strip(F.regexp_extract(c, FENCE, 1))).when(F.startswith(c, F.lit("```")), _no_lone_fence(c)).otherwise(c)
+        inner = let(behind(c, FENCE), lambda b: F.when(F.contains(b, F.lit(FENCE)), strip(_sub(F.substring_index(b, FENCE, 1), FENCE_LABEL, ""))))
+        return F.coalesce(inner, F.when(F.startswith(c, F.lit(FENCE)), _no_lone_fence(c)), c)
 
     def document(c):
         start = F.instr(c, "\\documentclass")
@@ -137,7 +182,10 @@ def clean_response_v1(c: Column) -> Column:
 
 
 def last_line(body: Column) -> Column:
-    return strip(F.element_at(F.split(rstrip(body), _LINES), -1))
+    line = rstrip(body)
+    for end in _ENDS_OF_LINES:
+        line = F.substring_index(line, end, -1)
+    return strip(line)
 
 
 def _odd_dollars(c: Column) -> Column:
@@ -169,14 +217,19 @@ def auto_fix(c: Column) -> Column:
     """TXT10: safe repairs: fences, markers, commands without a package, missing packages, class and ends."""
     c = let(strip(c), lambda c: F.when(F.startswith(c, F.lit("```")), _no_lone_fence(c)).otherwise(c))
     c = strip(F.replace(c, F.lit(REVIEWED), F.lit("")))
-    c = _sub(_sub(c, r"\\require\{[^}]*\}", ""), r"\\textcircled\{([^}]*)\}", "($1)")
-    for i in range(20):
-        c = F.replace(c, F.lit(chr(0x2460 + i)), F.lit(f"({i + 1})"))
-    c = F.replace(c, F.lit("\u2212"), F.lit("-"))
+    c = let(c, lambda c: _sub_closed(c, r"\\require\{[^}]*\}", "", "}"))
+    c = let(c, lambda c: _sub_closed(c, r"\\textcircled\{([^}]*)\}", "($1)", "}"))
+    c = let(c, lambda c: F.when(F.regexp_like(c, F.lit("[\u2212\u2460-\u2473]")), _plain_signs(c)).otherwise(c))
     c = let(c, lambda c: F.when(F.contains(c, F.lit("\\documentclass")), c).otherwise(F.concat(F.lit("\\documentclass{article}\n"), c)))
     return let(let(let(c, _with_packages), _with_begin), lambda c: F.when(F.contains(c, F.lit("\\end{document}")), c).otherwise(F.concat(rstrip(c), F.lit("\n\n\\end{document}\n"))))
 
 
+def _plain_signs(c: Column) -> Column:
+    for i in range(20):
+        c = F.replace(c, F.lit(chr(0x2460 + i)), F.lit(f"({i + 1})"))
+    return F.replace(c, F.lit("\u2212"), F.lit("-"))
+
+
 def _with_packages(c: Column) -> Column:
     """The packages that are needed and not named alone in the preamble go behind the line of the class."""
 
@@ -193,14 +246,14 @@ def _with_packages(c: Column) -> Column:
 
 def _with_begin(c: Column) -> Column:
     """The begin of the document goes behind the last package, or to the end."""
-    used = F.regexp_extract(c, r"(?s)\A(.*\\usepackage(?:\[[^\]]*\])?\{[^}]*\})", 1)
+    used = F.regexp_extract(_cut_last(c, "}")[0], r"(?s)\A(.*\\usepackage(?:\[[^\]]*\])?\{[^}]*\})", 1)
     begun = let(used, lambda u: F.when(u != "", F.concat(u, F.lit("\n\n\\begin{document}\n"), F.substring(c, F.length(u) + 1, F.length(c)))).otherwise(F.concat(c, F.lit("\n\\begin{document}\n"))))
     return F.when(F.contains(c, F.lit("\\begin{document}")), c).otherwise(begun)
 
 
 def strip_tokens(c: Column) -> Column:
     """TXT14: without region tags, special tokens and image placeholders."""
-    return _sub(_sub(_sub(c, REGION, ""), SPECIAL, ""), PLACEHOLDER, "")
+    return _sub(_sub(cut_between(c, REGION, REGION_END), SPECIAL, ""), PLACEHOLDER, "")
 
 
 def drop_furniture(c: Column) -> Column:
@@ -230,7 +283,7 @@ def _regions_document(raw: Column) -> Column:
 def finish_document(c: Column) -> Column:
     """TXT12: a complete document as it is, else wrapped."""
     raw = strip(F.coalesce(c, F.lit("")))
-    raw = strip(_sub(_sub(raw, REGION, ""), SPECIAL, ""))
+    raw = strip(_sub(cut_between(raw, REGION, REGION_END), SPECIAL, ""))
 
     def wrapped(raw):
         whole = F.contains(raw, F.lit("\\documentclass")) & F.contains(raw, F.lit("\\end{document}"))
@@ -240,17 +293,28 @@ def finish_document(c: Column) -> Column:
 
 
 def has_body(c: Column) -> Column:
-    return F.regexp_like(c, F.lit(BODY))
+    return _body(c).isNotNull()
 
 
 def has_math(c: Column) -> Column:
     """TXT16: math in the document's body; null where there is no body."""
-    return F.when(has_body(c), F.regexp_like(body_or_all(c), F.lit(MATH)))
+    return let(_body(c), lambda b: F.when(b.isNotNull(), F.regexp_like(b, F.lit(INLINE_MATH)) | F.coalesce(let(_cut_last(b, "}")[0], _has_environment), F.lit(False))))
+
+
+def _has_environment(c: Column) -> Column:
+    """Whether an environment's begin has an end somewhere behind it; c ends with a closing brace."""
+    return F.regexp_like(F.get(F.split(c, ENV_BEGIN, 2), F.lit(1)), F.lit(ENV_END))
 
 
 def has_illegible(c: Column) -> Column:
     """TXT17"""
-    return F.regexp_like(c, F.lit(ILLEGIBLE))
+
+    def on_line(line):
+        tests = (F.contains(behind(behind(line, opener), "illegible"), F.lit(closer)) for opener, closer in ILLEGIBLE)
+        return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests))
+
+    lines = F.split(F.lower(c), "[\n\r\x85\u2028\u2029]")
+    return F.contains(F.lower(c), F.lit("illegible")) & F.exists(lines, on_line)
 
 
 def yes_no(c: Column) -> Column:

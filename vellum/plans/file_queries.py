@@ -16,6 +16,7 @@ from vellum.plans import curation, stages
 from vellum.plans.fixtures import annotations, load, models
 from vellum.plans.queries import query
 from vellum.sources import files
+from vellum.sources.snapshots import SnapshotTable
 from vellum.streaming import live
 
 
@@ -133,12 +134,14 @@ def snk3_append(spark, sf_dir):
 
 @query
 def snk4_replace(spark, sf_dir):
-    """SNK4 and SNK7: an older table replaced, and replaced again by rows read from itself."""
-    path, o = f"{_folder(spark)}/t", load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("v"))
-    files.replace_table(o.where("id % 5 = 0"), path)
-    files.replace_table(o, path)
-    live.refresh(path, o.where("id % 4 = 0").withColumn("v", F.lit("new")), spark)
-    return spark.read.parquet(path)
+    """SNK4: an older table replaced, then replaced by rows read from itself, then older versions dropped."""
+    table = SnapshotTable(spark, f"{_folder(spark)}/t")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("v"))
+    table.replace(o.where("id % 5 = 0"))
+    table.replace(o)
+    table.replace(table.read().withColumn("v", F.when(F.col("id") % 4 == 0, "new").otherwise(F.col("v"))))
+    table.vacuum(keep=1)
+    return table.read()
 
 
 @query
@@ -233,12 +236,37 @@ def str1_live_scores(spark, sf_dir):
     nation = load(spark, sf_dir, "nation")
     outputs = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("id"), F.lower("n_name").alias("hyp"))
     refs = nation.select(F.col("n_name").alias("id"), F.col("n_name").alias("ref"))
+    scores = SnapshotTable(spark, f"{base}/scores")
     for part in (0, 1):
         for r in rows:
             if r.n_nationkey % 3 == part:
                 _put(spark, f"{base}/ready/{r.n_name}.time", f"{r.n_nationkey}.5".encode())
-        live.score_live(live.ready_pages(spark, f"{base}/ready"), lambda: outputs, refs, f"{base}/scores", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/scores").select("id", "latency_s", "cer", "exact")
+        live.score_live(live.ready_pages(spark, f"{base}/ready"), lambda: outputs, refs, scores, f"{base}/checkpoint").awaitTermination()
+    return scores.read().select("id", "latency_s", "cer", "exact")
+
+
+@query
+def str4_merged_columns(spark, sf_dir):
+    """STR4 and U3: four models' scores of a page in one row; one model's batch comes twice, and some of its pages are scored again."""
+    table = SnapshotTable(spark, f"{_folder(spark)}/scores")
+    m = models(spark, sf_dir)
+    for model in "abcd":
+        own = m.where(F.col("model") == model).select("id", F.length("hyp").alias(f"{model}_length"), F.col("latency_s").alias(f"{model}_latency_s"))
+        for _ in range(2 if model == "b" else 1):
+            table.upsert(own if model != "d" else own.where("id % 2 = 0"), writer=model, batch=0, buckets=8)
+    again = m.where("model = 'b' AND id % 3 = 0").select("id", F.lit(-1).alias("b_length"), F.col("latency_s").alias("b_latency_s"))
+    table.upsert(again.unionByName(again.withColumn("b_length", F.length(F.lit("ab")))), order="b_length", writer="b", batch=1)
+    return table.read()
+
+
+@query
+def ups3_stored_refresh(spark, sf_dir):
+    """U3 on a stored table: rows of known ids are replaced whole, others join."""
+    table = SnapshotTable(spark, f"{_folder(spark)}/t")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("v"), F.col("o_totalprice").alias("price"))
+    table.upsert(o.where("id % 5 <> 0"), buckets=8)
+    live.refresh(table, o.where("id % 4 = 0").select("id", F.lit("new").alias("v")))
+    return table.read()
 
 
 @query
@@ -320,6 +348,8 @@ ORACLES = {
 SELECT doc_id, array_to_string(list_resize(l, max(len(l)) OVER (PARTITION BY b), -100), ',') AS labels FROM l""",
     "img9_payload": "SELECT doc_id, 'X,' || coalesce(upper(lang), '-') AS top, coalesce(upper(lang), '-') || ',' || coalesce(upper(source), '-') AS inner FROM documents",
     "str1_live_scores": "SELECT n_name AS id, n_nationkey + 0.5::DOUBLE AS latency_s, round(levenshtein(n_name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE '' END)::DOUBLE / length(n_name), 4) AS cer, false AS exact FROM nation WHERE n_nationkey % 3 < 2",
+    "str4_merged_columns": "WITH {pairs}, {models}, m AS (SELECT id, model, length(hyp)::INT AS n, latency_s::DOUBLE AS s FROM models) SELECT id, max(n) FILTER (model = 'a') AS a_length, max(s) FILTER (model = 'a') AS a_latency_s, CASE WHEN id % 3 = 0 THEN 2 ELSE max(n) FILTER (model = 'b') END AS b_length, max(s) FILTER (model = 'b') AS b_latency_s, max(n) FILTER (model = 'c') AS c_length, max(s) FILTER (model = 'c') AS c_latency_s, max(n) FILTER (model = 'd' AND id % 2 = 0) AS d_length, max(s) FILTER (model = 'd' AND id % 2 = 0) AS d_latency_s FROM m GROUP BY id",
+    "ups3_stored_refresh": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 4 = 0",
     "str3_finished": "SELECT s AS started, d AS done, a AS scored, s AND d AND a AS finished FROM (VALUES (true), (false)) x(s), (VALUES (true), (false)) y(d), (VALUES (true), (false)) z(a)",
     "orc4_evaluate": "WITH {pairs}, {models} SELECT model, CASE WHEN count_if(hyp = '') = 0 THEN count(*) END AS n FROM models GROUP BY model",
 }

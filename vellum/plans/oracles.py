@@ -7,6 +7,13 @@ from vellum.plans import file_queries
 from vellum.plans.fixtures import ANNOTATIONS, MODELS, PAIRS, STEPS, sql_text
 from vellum.sources.files import REPORT
 
+#: The body of a document, fences, math, illegible marks and regions as patterns.
+BODY = r"(?s)\\begin\{document\}(.*?)\\end\{document\}"
+FENCE = r"(?s)```(?:latex|tex)?\s*\n?(.*?)```"
+ILLEGIBLE = r"(?i)\\text\{.*?illegible.*?\}|\\textit\{.*?illegible.*?\}|\[.*?illegible.*?\]"
+MATH = r"(?s)\$[^$]+\$|\\\[[^\\]+\\\]|\\begin\{[^}]+\}.*?\\end\{[^}]+\}"
+REGION = r"(?s)<\|det\|>.*?<\|/det\|>"
+
 
 def _ann(select: str) -> str:
     return f"WITH {ANNOTATIONS} SELECT id, {select} FROM ann"
@@ -44,12 +51,12 @@ def _or_all(c: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({c}, {_re(pattern)}) THEN regexp_extract({c}, {_re(pattern)}, 1) ELSE {c} END"
 
 
-_BODY = _or_all("latex", X.BODY)
+_BODY = _or_all("latex", BODY)
 _THINK = "list_extract(string_split_regex(regexp_replace({c}, '(?is)<think>.*?</think>', '', 'g'), '(?i)<think>'), -1)"
 
 
 def _canon(c: str) -> str:
-    c = _or_all(c, X.BODY)
+    c = _or_all(c, BODY)
     for pattern, by in (*X.CANONICAL, (r"\s+", "")):
         c = _sub(c, pattern, by)
     return c
@@ -121,17 +128,17 @@ _FIXED = f"WITH {ANNOTATIONS}, s AS (SELECT id, latex, {_strip('latex')} AS c FR
     f"CASE WHEN strpos(c, {_BEGIN}) > 0 THEN c WHEN regexp_matches(c, '{_LAST_PACKAGE}') THEN regexp_extract(c, '{_LAST_PACKAGE}', 1) || chr(10) || chr(10) || {_BEGIN} || chr(10) || substr(c, length(regexp_extract(c, '{_LAST_PACKAGE}', 1)) + 1) ELSE c || chr(10) || {_BEGIN} || chr(10) END",
     f"CASE WHEN strpos(c, {_END}) > 0 THEN c ELSE {_rstrip('c')} || chr(10) || chr(10) || {_END} || chr(10) END",
 )
-_STATUS = f"{_FIXED}, j AS (SELECT id, latex, c, {_BODY} AS body, {_or_all('c', X.BODY)} AS fixed FROM a7), v AS (SELECT id, CASE WHEN {_truncated(2)} THEN 'TRUNCATED' WHEN {_structure('latex')} THEN 'PASS' WHEN {_structure('c')} AND NOT {_truncated(2, 'fixed')} THEN 'FIXED' ELSE 'FAIL' END AS status FROM j)"
+_STATUS = f"{_FIXED}, j AS (SELECT id, latex, c, {_BODY} AS body, {_or_all('c', BODY)} AS fixed FROM a7), v AS (SELECT id, CASE WHEN {_truncated(2)} THEN 'TRUNCATED' WHEN {_structure('latex')} THEN 'PASS' WHEN {_structure('c')} AND NOT {_truncated(2, 'fixed')} THEN 'FIXED' ELSE 'FAIL' END AS status FROM j)"
 _CLEANED = f"WITH {ANNOTATIONS}, s AS (SELECT id, {_strip(_THINK.format(c='latex'))} AS c FROM ann), " + _steps(
     "s",
-    f"CASE WHEN regexp_matches(c, {_re(X.FENCE)}) THEN {_strip(f'regexp_extract(c, {_re(X.FENCE)}, 1)')} WHEN starts_with(c, '```') THEN {_no_lone_fence('c')} ELSE c END",
+    f"CASE WHEN regexp_matches(c, {_re(FENCE)}) THEN {_strip(f'regexp_extract(c, {_re(FENCE)}, 1)')} WHEN starts_with(c, '```') THEN {_no_lone_fence('c')} ELSE c END",
     f"CASE WHEN strpos(c, {sql_text(chr(92) + 'documentclass')}) = 0 THEN c WHEN strpos(reverse(c), reverse({_END})) > 0 THEN substr(c, strpos(c, {sql_text(chr(92) + 'documentclass')}), greatest(length(c) - strpos(reverse(c), reverse({_END})) + 2 - strpos(c, {sql_text(chr(92) + 'documentclass')}), 0)) ELSE substr(c, strpos(c, {sql_text(chr(92) + 'documentclass')})) END",
     _strip("c"),
 )
 
 
 def _no_tokens(c: str) -> str:
-    return _sub(_sub(_sub(c, X.REGION, ""), X.SPECIAL, ""), X.PLACEHOLDER, "")
+    return _sub(_sub(_sub(c, REGION, ""), X.SPECIAL, ""), X.PLACEHOLDER, "")
 
 
 def _no_furniture(c: str) -> str:
@@ -147,7 +154,7 @@ _DROPPED = ", ".join(f"'{r}'" for r in X.DROPPED_REGIONS)
 _REGIONS = f"""WITH {ANNOTATIONS}, s AS (SELECT id, {_strip('latex')} AS c FROM ann),
 p AS (SELECT id, c, list_transform(regexp_extract_all(c, {_re(X.DET)}, 1), lambda k: lower(k)) AS k, string_split_regex(c, {_re(X.DET)})[2:] AS t FROM s),
 q AS (SELECT id, CASE WHEN len(k) = 0 THEN {_no_furniture(_no_tokens('c'))} ELSE array_to_string(list_filter(list_transform(list_filter(list_zip(k, t), lambda z: z[1] NOT IN ({_DROPPED})), lambda z: {_strip(_no_furniture(_no_tokens('z[2]')))}), lambda x: x <> ''), chr(10) || chr(10)) END AS b FROM p)"""
-_UNMARKED = f"WITH {ANNOTATIONS}, s AS (SELECT id, {_strip(_sub(_sub(_strip('latex'), X.REGION, ''), X.SPECIAL, ''))} AS c FROM ann)"
+_UNMARKED = f"WITH {ANNOTATIONS}, s AS (SELECT id, {_strip(_sub(_sub(_strip('latex'), REGION, ''), X.SPECIAL, ''))} AS c FROM ann)"
 _TOKENS = f"regexp_extract_all(latex, {_re(X.TOKEN)})[1:{X.MAX_TOKENS}]"
 
 
@@ -155,10 +162,10 @@ _WITH_BODY = f"WITH {ANNOTATIONS}, b AS (SELECT id, latex, {_BODY} AS body FROM
 _REFUSED = _has("lower(latex)", "'please provide the image'", "'please attach'", "'no handwritten content provided'", "'i cannot see'", "'no image'", "'unable to process'")
 _FLAGS = rf"""list_filter([
   CASE WHEN length(latex) < 300 THEN 'too_short' END, CASE WHEN length(latex) > 15000 THEN 'too_long' END,
-  CASE WHEN body <> latex AND NOT regexp_matches(body, {_re(X.MATH)}) THEN 'no_math_detected' END,
+  CASE WHEN body <> latex AND NOT regexp_matches(body, {_re(MATH)}) THEN 'no_math_detected' END,
   CASE WHEN {_dollars('latex')} THEN 'unbalanced_dollars' END,
   CASE WHEN {_count('latex', B + " || 'begin{'")} <> {_count('latex', B + " || 'end{'")} THEN 'unbalanced_environments' END,
-  CASE WHEN regexp_matches(latex, {_re(X.ILLEGIBLE)}) THEN 'contains_illegible_marker' END,
+  CASE WHEN regexp_matches(latex, {_re(ILLEGIBLE)}) THEN 'contains_illegible_marker' END,
   CASE WHEN strpos(lower(latex), '<think>') > 0 THEN 'contains_think_block' END], lambda x: x IS NOT NULL)"""
 _SCORES = """s AS (SELECT l_returnflag AS model, l_linenumber AS ln, (l_orderkey * 31 + l_linenumber * 17) % 1000 AS n FROM lineitem),
 r AS (SELECT model, n % 1000 / 1000.0::DOUBLE AS cer, n * 3 % 1000 / 1000.0::DOUBLE AS ncer, n * 7 % 1000 / 1000.0::DOUBLE AS charsim, n * 9 % 1000 / 1000.0::DOUBLE AS tok_err,
@@ -194,8 +201,8 @@ ORACLES: dict[str, str] = {
     "txt8_truncated_v2": f"{_WITH_BODY} SELECT id, {_truncated(2)} AS truncated FROM b",
     "txt14_strip_tokens": _ann(_no_tokens("latex") + " AS kept"),
     "txt15_body": _ann(_BODY + " AS body"),
-    "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, {_re(X.MATH)}) END AS has_math FROM b",
-    "txt17_illegible": _ann(f"regexp_matches(latex, {_re(X.ILLEGIBLE)}) AS illegible"),
+    "txt16_math": rf"{_WITH_BODY} SELECT id, CASE WHEN body <> latex THEN regexp_matches(body, {_re(MATH)}) END AS has_math FROM b",
+    "txt17_illegible": _ann(f"regexp_matches(latex, {_re(ILLEGIBLE)}) AS illegible"),
     "txt19_log_error": f"WITH {ANNOTATIONS}, s AS (SELECT id, regexp_extract(latex || CASE WHEN substr(id, 8, 1) < '5' THEN chr(10) || '! Undefined' || chr(10) || 'more' ELSE '' END, '(?m)^!.*') AS e FROM ann) SELECT id, CASE WHEN e = '' THEN 'Unknown error' ELSE {_strip('e')} END AS error FROM s",
     "txt20_labels": r"""WITH p AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*', '') || CASE page_id % 3 WHEN 0 THEN '/final' WHEN 1 THEN '//' ELSE '' END, '[/\\]+$', ''), '[/\\]') AS n FROM pages)
 SELECT page_id, regexp_replace(CASE WHEN n[-1] = 'final' AND len(n) > 1 THEN n[-2] ELSE n[-1] END, '[^A-Za-z0-9._-]', '_', 'g') AS label FROM p""",
@@ -331,4 +338,5 @@ SELECT doc_id, start, array_to_string(list_concat(list_transform(range(start), l
 c AS (SELECT id, levenshtein(a, b)::DOUBLE / greatest(1, length(a)) AS c FROM m) SELECT id, round(c, 4) AS cer FROM c WHERE NOT coalesce(c <= 0.1, false)""",
     **file_queries.ORACLES,
     "orc4_evaluate": file_queries.ORACLES["orc4_evaluate"].format(pairs=PAIRS, models=MODELS),
+    "str4_merged_columns": file_queries.ORACLES["str4_merged_columns"].format(pairs=PAIRS, models=MODELS),
 }

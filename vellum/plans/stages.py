@@ -85,12 +85,15 @@ def validate(rows: DataFrame, text: str = "latex", compiler: Callable[[Column],
     if compiler is None:
         return rows.withColumns({"status": F.when(X.looks_truncated(c, 2), "TRUNCATED").otherwise("SKIP"), "validated": c})
 
-    def judged(fixed):
-        status = F.when(X.looks_truncated(c, 2), "TRUNCATED").when(compiler(c), "PASS").when(compiler(fixed), "FIXED").otherwise("FAIL")
-        return X.let(status, lambda s: F.struct(s.alias("status"), F.when(s == "FIXED", fixed).otherwise(c).alias("validated")))
+    def told(status: str, latex: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), latex.alias("validated"))
 
-    out = rows.withColumn("_v", X.let(X.auto_fix(c), judged))
-    return out.select(*rows.columns, "_v.status", "_v.validated")
+    def repaired(fixed):
+        return F.when(compiler(fixed), told("FIXED", fixed)).otherwise(told("FAIL", c))
+
+    # Only what neither breaks off nor compiles is repaired.
+    judged = F.when(X.looks_truncated(c, 2), told("TRUNCATED", c)).when(compiler(c), told("PASS", c)).otherwise(X.let(X.auto_fix(c), repaired))
+    return rows.withColumn("_v", judged).select(*rows.columns, "_v.status", "_v.validated")
 
 
 def run_compiler(rows: DataFrame, command: Callable[[], Callable[[str], bool]], key: str = "id", text: str = "latex") -> DataFrame:

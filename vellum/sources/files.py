@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +24,17 @@ def suffix(path):
 
 
 def list_files(spark: SparkSession, path: str, suffixes=IMAGES, prefix: str = "", recursive: bool = False) -> DataFrame:
-    """SRC1 to SRC3: files by suffix and prefix, in order; a missing folder has none. Contents are read only if selected."""
+    """SRC1 to SRC3: files by suffix and prefix; a missing folder has none. The prefix is a glob of the listing; contents are read only if selected, and never moved."""
     reader = spark.read.format("binaryFile")
+    if prefix:
+        reader = reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", prefix) + "*")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     try:
         df = reader.load(path)
     except AnalysisException:
         return spark.createDataFrame([], _LISTING)
-    name = F.element_at(F.split("path", "/"), -1)
-    return df.where(suffix(F.col("path")).isin(*suffixes) & F.startswith(name, F.lit(prefix))).dropDuplicates(["path"]).orderBy("path")
+    return df.where(suffix(F.col("path")).isin(*suffixes))
 
 
 def list_files_or_below(spark: SparkSession, path: str, suffixes=IMAGES) -> DataFrame:
@@ -163,51 +164,6 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    """(file system of a path, function from names to its paths)."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    return Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), Path
-
-
-def recover_table(spark: SparkSession, path: str) -> None:
-    """Ends a replace_table that broke off: where the table is gone, the new one is taken if it was written whole, else the old one."""
-    path = path.rstrip("/")
-    fs, Path = _fs(spark, path)
-    new, old = Path(f"{path}.new"), Path(f"{path}.old")
-    if not fs.exists(Path(path)):
-        if fs.exists(Path(f"{path}.new/_SUCCESS")):
-            fs.rename(new, Path(path))
-        elif fs.exists(old):
-            fs.rename(old, Path(path))
-    if fs.exists(Path(path)):
-        fs.delete(old, True)
-
-
-def replace_table(df: DataFrame, path: str, tries: int = 20, wait: float = 0.25) -> None:
-    """SNK4: written beside, then the old table is renamed aside and the new one into its place, and only then does the old one go.
-
-    At each moment one whole table is there under a known name, and recover_table, which runs first, finds it. A rename
-    that fails, as where a reader holds the folder, is tried again.
-    """
-    spark, path = df.sparkSession, path.rstrip("/")
-    recover_table(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs, Path = _fs(spark, path)
-
-    def rename(a: str, b: str) -> None:
-        for k in range(tries):
-            if fs.rename(Path(a), Path(b)):
-                return
-            if k + 1 < tries:
-                time.sleep(wait)
-        raise OSError(f"can't rename {a} to {b}")
-
-    if fs.exists(Path(path)):
-        rename(path, f"{path}.old")
-    rename(f"{path}.new", path)
-    fs.delete(Path(f"{path}.old"), True)
-
-
 def write_routed(df: DataFrame, bucket: str, path: str) -> None:
     """SNK5 and SNK6: a folder for each value of the bucket."""
     df.write.mode("overwrite").partitionBy(bucket).parquet(path)

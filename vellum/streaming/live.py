@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions.metrics import score
-from vellum.operators.relational import insert_or_refresh
-from vellum.sources.files import replace_table, stem
+from vellum.sources.files import stem
+from vellum.sources.snapshots import SnapshotTable
 
 
 def ready_pages(spark: SparkSession, path: str, suffix: str = "time") -> DataFrame:
@@ -23,24 +23,30 @@ def join_outputs(batch: DataFrame, outputs: DataFrame, refs: DataFrame) -> DataF
     return batch.join(outputs, "id", "left").join(refs, "id").select("id", "ref", F.coalesce("hyp", F.lit("")).alias("hyp"), "latency_s")
 
 
-def score_live(ready: DataFrame, outputs, refs: DataFrame, table: str, checkpoint: str, poll: str | None = None) -> StreamingQuery:
-    """STR1, STR4: each micro-batch scores the pages that are new and writes them as files of its own batch.
+def score_live(ready: DataFrame, outputs, refs: DataFrame, table: SnapshotTable, checkpoint: str, poll: str | None = None, model: str = "") -> StreamingQuery:
+    """STR1, STR4: each micro-batch scores the pages that are new and merges them into the table's rows, one for each page.
 
     outputs: a function that reads the outputs as they are now. poll: seconds between batches; None takes
-    what is there and ends. A batch that is run again replaces its own files, so scores aren't doubled.
+    what is there and ends. model: scores become columns ``<model>_<score>``, so several models' streams fill one
+    row, one stream at a time. A batch that is run again changes nothing, a page that is scored again its own columns.
+    Of two markers of a page in one batch the longer time counts.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        scored = score(join_outputs(batch.dropDuplicates(["id"]), outputs(), refs))
-        scored.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        last = batch.groupBy("id").agg(F.max("latency_s").alias("latency_s"))
+        scored = score(join_outputs(last, outputs(), refs))
+        if model:
+            scored = scored.select("id", *(F.col(c).alias(f"{model}_{c}") for c in scored.columns if c != "id"))
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # a new checkpoint counts its batches anew
+        table.upsert(scored, writer=f"{model}:{query}", batch=number)
 
     writer = ready.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
 
-def refresh(table: str, batch: DataFrame, spark: SparkSession, key: str = "id") -> None:
+def refresh(table: SnapshotTable, batch: DataFrame, key: str = "id") -> None:
     """U3 on a stored table: the batch's rows over those of the same ids."""
-    replace_table(insert_or_refresh(spark.read.parquet(table), batch, key), table)
+    table.upsert(batch, key, whole=True)
 
 
 def finished(started: bool, generator_done: bool, ready: DataFrame, scored: DataFrame) -> bool:
