@@ -15,7 +15,7 @@ def quality_flags(c: Column) -> Column:
         (F.length(c) < 300, "too_short"),
         (F.length(c) > 15000, "too_long"),
         (~X.has_math(c), "no_math_detected"),
-        (X.count_re(c, r"(?<!\\)\$") % 2 != 0, "unbalanced_dollars"),
+        (X.odd_dollars(c), "unbalanced_dollars"),
         (X.count_of(c, r"\begin{") != X.count_of(c, r"\end{"), "unbalanced_environments"),
         (X.has_illegible(c), "contains_illegible_marker"),
         (F.contains(F.lower(c), F.lit("<think>")), "contains_think_block"),

@@ -86,7 +86,7 @@ def behind(c: Column, piece: str) -> Column:
 
 def _cut_last(c: Column, mark: str) -> tuple[Column, Column]:
     """A text up to its last mark, a character, and what stands behind; up to there each search for a mark ends."""
-    place = F.when(F.contains(c, F.lit(mark)), F.length(c) - F.instr(F.reverse(c), F.lit(mark)) + 1).otherwise(0)
+    place = F.when(F.contains(c, F.lit(mark)), F.length(c) - F.length(F.substring_index(c, mark, -1))).otherwise(0)
     return F.substring(c, F.lit(1), place), F.substring(c, place + 1, F.length(c))
 
 
@@ -110,7 +110,13 @@ def cut_between(c: Column, opener: str, closer: str) -> Column:
 
 def count_of(c: Column, piece: str) -> Column:
     """Occurrences of a literal piece that don't overlap."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
+    some = ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece.encode())).cast("int")
+    return F.when(F.contains(c, F.lit(piece)), some).when(c.isNotNull(), 0)
+
+
+def _unescaped(c: Column, piece: str) -> Column:
+    """Occurrences of a piece without a backslash before it."""
+    return count_of(c, piece) - count_of(c, "\\" + piece)
 
 
 def count_re(c: Column, pattern: str) -> Column:
@@ -163,9 +169,8 @@ def clean_response(c: Column) -> Column:
 
     def document(c):
         start = F.instr(c, "\\documentclass")
-        end = F.locate("}tnemucod{dne\\", F.reverse(c))
-        behind = F.length(c) - end + 2
-        return F.when(start == 0, c).when(end > 0, F.substring(c, start, F.greatest(behind - start, F.lit(0)))).otherwise(F.substring(c, start, F.length(c)))
+        last = F.length(c) - F.length(F.substring_index(c, END, -1))
+        return F.when(start == 0, c).when(F.contains(c, F.lit(END)), F.substring(c, start, F.greatest(last + 1 - start, F.lit(0)))).otherwise(F.substring(c, start, F.length(c)))
 
     return strip(let(let(strip(strip_reasoning(F.coalesce(c, F.lit("")))), unfenced), document))
 
@@ -188,14 +193,13 @@ def last_line(body: Column) -> Column:
     return strip(line)
 
 
-def _odd_dollars(c: Column) -> Column:
-    return count_re(c, r"(?<!\\)\$") % 2 != 0
+def odd_dollars(c: Column) -> Column:
+    return _unescaped(c, "$") % 2 != 0
 
 
 def _unequal_brackets(c: Column, variant: int) -> Column:
-    if variant == 1:
-        return count_of(c, r"\[") != count_of(c, r"\]")
-    return count_re(c, r"(?<!\\)\\\[") != count_re(c, r"(?<!\\)\\\]")
+    count = count_of if variant == 1 else _unescaped
+    return count(c, r"\[") != count(c, r"\]")
 
 
 def _unequal_environments(c: Column) -> Column:
@@ -204,13 +208,13 @@ def _unequal_environments(c: Column) -> Column:
 
 def looks_truncated(c: Column, variant: int = 2) -> Column:
     """TXT7 (variant 1) and TXT8 (2): a text that breaks off. They differ on line breaks with spacing."""
-    return let(body_or_all(c), lambda body: (rstrip(body) == "") | F.regexp_like(last_line(body), F.lit(DANGLING)) | _odd_dollars(body) | _unequal_brackets(body, variant) | _unequal_environments(body))
+    return let(body_or_all(c), lambda body: (rstrip(body) == "") | F.regexp_like(last_line(body), F.lit(DANGLING)) | odd_dollars(body) | _unequal_brackets(body, variant) | _unequal_environments(body))
 
 
 def truncation_reason(c: Column) -> Column:
     """TXT9: why; compile_fail where the text doesn't look truncated."""
     body = body_or_all(c)
-    return F.when(~looks_truncated(c, 1), "compile_fail").when(_odd_dollars(body), "unbalanced_dollars").when(_unequal_brackets(body, 1), "unbalanced_brackets").when(_unequal_environments(body), "unbalanced_envs").when(F.regexp_like(last_line(body), F.lit(r"\\\\\s*$")), "ends_with_double_backslash").otherwise("dangling_operator")
+    return F.when(~looks_truncated(c, 1), "compile_fail").when(odd_dollars(body), "unbalanced_dollars").when(_unequal_brackets(body, 1), "unbalanced_brackets").when(_unequal_environments(body), "unbalanced_envs").when(F.regexp_like(last_line(body), F.lit(r"\\\\\s*$")), "ends_with_double_backslash").otherwise("dangling_operator")
 
 
 def auto_fix(c: Column) -> Column:
@@ -219,7 +223,7 @@ def auto_fix(c: Column) -> Column:
     c = strip(F.replace(c, F.lit(REVIEWED), F.lit("")))
     c = let(c, lambda c: _sub_closed(c, r"\\require\{[^}]*\}", "", "}"))
     c = let(c, lambda c: _sub_closed(c, r"\\textcircled\{([^}]*)\}", "($1)", "}"))
-    c = let(c, lambda c: F.when(F.regexp_like(c, F.lit("[\u2212\u2460-\u2473]")), _plain_signs(c)).otherwise(c))
+    c = let(c, lambda c: F.when((F.octet_length(c) > F.length(c)) & F.regexp_like(c, F.lit("[\u2212\u2460-\u2473]")), _plain_signs(c)).otherwise(c))
     c = let(c, lambda c: F.when(F.contains(c, F.lit("\\documentclass")), c).otherwise(F.concat(F.lit("\\documentclass{article}\n"), c)))
     return let(let(let(c, _with_packages), _with_begin), lambda c: F.when(F.contains(c, F.lit("\\end{document}")), c).otherwise(F.concat(rstrip(c), F.lit("\n\n\\end{document}\n"))))
 
@@ -238,10 +242,20 @@ def _with_packages(c: Column) -> Column:
         needed += [F.when(any_of(c, triggers) & ~F.contains(preamble, F.lit(f"{{{p}}}")), F.lit(f"\\usepackage{{{p}}}")) for p, triggers in TRIGGERED_PACKAGES.items()]
         return F.concat_ws("\n", *needed)
 
-    lines = _sub(_sub(c, _LINES, "\n"), r"\n\z", "")
-    head = F.regexp_extract(lines, r"(?s)\A(.*?\\documentclass[^\n]*)", 1)
-    rest = F.regexp_extract(lines, r"(?s)\A.*?\\documentclass[^\n]*(.*)\z", 1)
-    return let(let(F.substring_index(c, "\\begin{document}", 1), missing), lambda m: F.when(m == "", c).otherwise(F.concat(head, F.lit("\n"), m, rest)))
+    def inserted(lines, names):
+        """names behind the line that holds the first class."""
+        before = F.instr(lines, F.lit("\\documentclass")) - 1
+        line = F.substring_index(F.substring(lines, before + 1, F.length(lines)), "\n", 1)
+        head = before + F.length(line)
+        return F.concat(F.substring(lines, F.lit(1), head), F.lit("\n"), names, F.substring(lines, head + 1, F.length(lines)))
+
+    return let(let(F.substring_index(c, BEGIN, 1), missing), lambda m: F.when(m == "", c).otherwise(let(_one_kind_of_lines(c), lambda x: inserted(x, m))))
+
+
+def _one_kind_of_lines(c: Column) -> Column:
+    """A text with plain line feeds between its lines, none at its end."""
+    plain = F.when(any_of(c, _ENDS_OF_LINES[1:]), _sub(c, _LINES, "\n")).otherwise(c)
+    return let(plain, lambda c: F.when(F.endswith(c, F.lit("\n")), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c))
 
 
 def _with_begin(c: Column) -> Column:
@@ -298,7 +312,11 @@ def has_body(c: Column) -> Column:
 
 def has_math(c: Column) -> Column:
     """TXT16: math in the document's body; null where there is no body."""
-    return let(_body(c), lambda b: F.when(b.isNotNull(), F.regexp_like(b, F.lit(INLINE_MATH)) | F.coalesce(let(_cut_last(b, "}")[0], _has_environment), F.lit(False))))
+    return let(_body(c), lambda b: F.when(b.isNotNull(), _inline_math(b) | F.when(F.contains(b, F.lit("\\begin{")), F.coalesce(let(_cut_last(b, "}")[0], _has_environment), F.lit(False))).otherwise(False)))
+
+
+def _inline_math(c: Column) -> Column:
+    return any_of(c, ("$", "\\[")) & F.regexp_like(c, F.lit(INLINE_MATH))
 
 
 def _has_environment(c: Column) -> Column:

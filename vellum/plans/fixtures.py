@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.lineage import spread
+
 
 def sql_text(s: str) -> str:
     """A text as an SQL expression without escapes, which the two engines read differently."""
@@ -56,7 +58,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, latex): a page for each document."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.expr(body_sql("spark")).alias("body"))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(body_sql("spark")).alias("body"))
     return docs.select(F.expr(ID).alias("id"), F.expr(LATEX).alias("latex"))
 
 
