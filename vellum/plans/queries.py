@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import arrays, images, metrics
 from vellum.functions import text as X
-from vellum.operators import aggregates, relational, windows
+from vellum.operators import aggregates, relational, scans, windows
 from vellum.plans import stages
 from vellum.plans.fixtures import annotations, load, models, pairs, steps
 from vellum.sources import files
@@ -413,14 +413,16 @@ def win4_split(spark, sf_dir):
 
 @query
 def win5_ema(spark, sf_dir):
-    s = steps(spark, sf_dir).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "loss"))), lambda x: x["loss"]).alias("v"))
-    return s.select("user_id", F.round(windows.ema(F.col("v")), 6).alias("ema"), F.round(windows.ema(F.col("v"), 0.85), 6).alias("ema_slow"))
+    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"ema": scans.Ema("loss"), "slow": scans.Ema("loss", 0.85)})
+    last = s.groupBy("user_id").agg(F.max_by(F.struct("ema", "slow"), "step").alias("e"))
+    return last.select("user_id", F.round("e.ema", 6).alias("ema"), F.round("e.slow", 6).alias("ema_slow"))
 
 
 @query
 def win6_running(spark, sf_dir):
-    by_user = Window.partitionBy("user_id").orderBy("step")
-    return steps(spark, sf_dir).select("user_id", "step", F.round(windows.step_seconds(F.col("us"), F.col("step"), by_user) / 1e6, 3).alias("seconds"), windows.running_best(F.col("loss"), by_user).alias("best"), windows.loss_trend(F.col("loss"), by_user).alias("trend"), F.round(windows.running_eta(F.col("loss"), 1000 - F.col("step"), by_user), 6).alias("eta"))
+    """WIN6, WIN7, WIN8 and WIN17 of each user's run."""
+    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"us_a_step": scans.Seconds("us", "step"), "best": scans.Best("loss"), "trend": scans.Trend("loss"), "mean": scans.Mean("loss")})
+    return s.select("user_id", "step", F.round(F.col("us_a_step") / 1e6, 3).alias("seconds"), "best", "trend", F.round(F.col("mean") * (1000 - F.col("step")), 6).alias("eta"))
 
 
 @query
@@ -430,9 +432,8 @@ def win9_bounded_history(spark, sf_dir):
 
 @query
 def win10_early_stop(spark, sf_dir):
-    s = steps(spark, sf_dir).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "loss"))), lambda x: x["loss"]).alias("v"))
-    e = s.select("user_id", windows.early_stop(F.col("v"), 3).alias("e"))
-    return e.select("user_id", F.col("e.stop").alias("stop"), F.col("e.best").alias("best"))
+    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"e": scans.Patience("loss", 3)})
+    return s.groupBy("user_id").agg(F.max_by("e", "step").alias("e")).select("user_id", "e.stop", "e.best")
 
 
 @query
