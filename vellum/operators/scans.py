@@ -104,12 +104,33 @@ class Mean:
         return (a[0] + b[0], a[1] + b[1])
 
 
+@dataclass(frozen=True)
+class Number:
+    """The row's number, from 1."""
+
+    kind = T.LongType()
+
+    def start(self):
+        return 0
+
+    def step(self, n, row):
+        return n + 1, n + 1
+
+    nothing = start
+
+    def add(self, n, row):
+        return n + 1
+
+    def after(self, a, b):
+        return a + b
+
+
 @dataclass(frozen=True)
 class Seconds:
-    """WIN6: time for a step since the row before, in the units of at; null for the first row or where a value is null."""
+    """WIN6: time for a step since the row before, in the units of at; null for the first row or where a value is null. number: the column of the steps' numbers; None: a row is a step."""
 
     at: str
-    number: str
+    number: str | None = None
     kind = T.DoubleType()
 
     def start(self):
@@ -123,7 +144,7 @@ class Seconds:
     nothing = start
 
     def add(self, s, row):
-        return (row[self.at], row[self.number])
+        return (row[self.at], row[self.number] if self.number else 0)
 
     def after(self, a, b):
         return a if b is None else b
@@ -251,13 +272,15 @@ def scan(df: DataFrame, key: str, order: list[str], folds: dict, pieces: int | N
     return rows.mapInArrow(work, schema)
 
 
-_ARROW = {"double": pa.float64(), "string": pa.string(), "struct": pa.struct([("best", pa.float64()), ("stop", pa.int32())])}
+_ARROW = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "struct": pa.struct([("best", pa.float64()), ("stop", pa.int32())])}
 
 
 def _records(batch, names: list[str], folds: dict) -> list[dict]:
     """The values that the folds read, row by row."""
     used = sorted({v for f in folds.values() for c in ("value", "at", "number") if (v := getattr(f, c, None))})
     columns = [batch.column(names.index(c)).to_pylist() for c in used]
+    if not used:
+        return [{}] * batch.num_rows
     return [dict(zip(used, x, strict=True)) for x in zip(*columns, strict=True)]
 
 

@@ -96,6 +96,11 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("model", "id", "ref", hyp.alias("hyp"), (F.col("id") * 7 % 50 / 10.0).alias("latency_s"), F.when(F.col("model") != "a", F.col("id") % 3 != 0).alias("compile_ok"))
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, us, event_id, loss): each user's events as the telemetry of a run, in the order of us and event_id."""
+    return load(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", F.col("value").alias("loss"))
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, step, at, loss): each user's events as the telemetry of a run; at in seconds."""
     e = load(spark, sf_dir, "events")

@@ -11,7 +11,7 @@ from vellum.functions import arrays, images, metrics
 from vellum.functions import text as X
 from vellum.operators import aggregates, relational, scans, windows
 from vellum.plans import stages
-from vellum.plans.fixtures import annotations, load, models, pairs, steps
+from vellum.plans.fixtures import annotations, load, models, pairs, steps, telemetry
 from vellum.sources import files
 from vellum.streaming import live
 
@@ -413,7 +413,7 @@ def win4_split(spark, sf_dir):
 
 @query
 def win5_ema(spark, sf_dir):
-    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"ema": scans.Ema("loss"), "slow": scans.Ema("loss", 0.85)})
+    s = scans.scan(telemetry(spark, sf_dir), "user_id", ["us", "event_id"], {"step": scans.Number(), "ema": scans.Ema("loss"), "slow": scans.Ema("loss", 0.85)})
     last = s.groupBy("user_id").agg(F.max_by(F.struct("ema", "slow"), "step").alias("e"))
     return last.select("user_id", F.round("e.ema", 6).alias("ema"), F.round("e.slow", 6).alias("ema_slow"))
 
@@ -421,8 +421,8 @@ def win5_ema(spark, sf_dir):
 @query
 def win6_running(spark, sf_dir):
     """WIN6, WIN7, WIN8 and WIN17 of each user's run."""
-    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"us_a_step": scans.Seconds("us", "step"), "best": scans.Best("loss"), "trend": scans.Trend("loss"), "mean": scans.Mean("loss")})
-    return s.select("user_id", "step", F.round(F.col("us_a_step") / 1e6, 3).alias("seconds"), "best", "trend", F.round(F.col("mean") * (1000 - F.col("step")), 6).alias("eta"))
+    s = scans.scan(telemetry(spark, sf_dir), "user_id", ["us", "event_id"], {"step": scans.Number(), "us_a_step": scans.Seconds("us"), "best": scans.Best("loss"), "trend": scans.Trend("loss"), "mean": scans.Mean("loss")})
+    return s.select("user_id", F.col("step").cast("int").alias("step"), F.round(F.col("us_a_step") / 1e6, 3).alias("seconds"), "best", "trend", F.round(F.col("mean") * (1000 - F.col("step")), 6).alias("eta"))
 
 
 @query
@@ -432,7 +432,7 @@ def win9_bounded_history(spark, sf_dir):
 
 @query
 def win10_early_stop(spark, sf_dir):
-    s = scans.scan(steps(spark, sf_dir), "user_id", ["step"], {"e": scans.Patience("loss", 3)})
+    s = scans.scan(telemetry(spark, sf_dir), "user_id", ["us", "event_id"], {"step": scans.Number(), "e": scans.Patience("loss", 3)})
     return s.groupBy("user_id").agg(F.max_by("e", "step").alias("e")).select("user_id", "e.stop", "e.best")
 
 
