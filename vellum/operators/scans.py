@@ -238,6 +238,54 @@ class Patience:
         return (best, bad + n, before + n, None)
 
 
+@dataclass(frozen=True)
+class Differs:
+    """STR6: whether the value isn't that of the row before; null is a value, and a first row differs."""
+
+    value: str
+    kind = T.BooleanType()
+
+    def start(self):
+        return ()
+
+    def step(self, s, row):
+        x = row[self.value]
+        return (x,), not s or x != s[0]
+
+    nothing = start
+
+    def add(self, s, row):
+        return (row[self.value],)
+
+    def after(self, a, b):
+        return b or a
+
+
+@dataclass(frozen=True)
+class Strikes:
+    """STR10: how many rows in a row are true, most at most; false begins anew, null tells nothing."""
+
+    value: str
+    most: int = 4
+    kind = T.IntegerType()
+
+    def start(self):
+        return (False, 0)  # whether it began anew, and the strikes since
+
+    def step(self, s, row):
+        s = self.add(s, row)
+        return s, s[1]
+
+    nothing = start
+
+    def add(self, s, row):
+        x = row[self.value]
+        return s if x is None else (s[0], min(s[1] + 1, self.most)) if x else (True, 0)
+
+    def after(self, a, b):
+        return b if b[0] else (a[0], min(a[1] + b[1], self.most))
+
+
 def scan(df: DataFrame, key: str, order: list[str], folds: dict, pieces: int | None = None) -> DataFrame:
     """df with a column for each of folds (name: fold), as if the rows of each key were folded in order. pieces: into how many the rows are dealt; None: by the session."""
     names = df.columns
@@ -272,7 +320,7 @@ def scan(df: DataFrame, key: str, order: list[str], folds: dict, pieces: int | N
     return rows.mapInArrow(work, schema)
 
 
-_ARROW = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "struct": pa.struct([("best", pa.float64()), ("stop", pa.int32())])}
+_ARROW = {"double": pa.float64(), "long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "struct": pa.struct([("best", pa.float64()), ("stop", pa.int32())])}
 
 
 def _records(batch, names: list[str], folds: dict) -> list[dict]:

@@ -269,6 +269,13 @@ def ups3_stored_refresh(spark, sf_dir):
     return table.read()
 
 
+@query
+def str10_pauses(spark, sf_dir):
+    """Events as calls, of which some are turned away and some tell nothing."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 3 != 0).alias("limited"))
+    return live.pauses(e, "user_id", "limited", ["event_id"])
+
+
 @query
 def str3_finished(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
@@ -350,6 +357,10 @@ SELECT doc_id, array_to_string(list_resize(l, max(len(l)) OVER (PARTITION BY b),
     "str1_live_scores": "SELECT n_name AS id, n_nationkey + 0.5::DOUBLE AS latency_s, round(levenshtein(n_name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE '' END)::DOUBLE / length(n_name), 4) AS cer, false AS exact FROM nation WHERE n_nationkey % 3 < 2",
     "str4_merged_columns": "WITH {pairs}, {models}, m AS (SELECT id, model, length(hyp)::INT AS n, latency_s::DOUBLE AS s FROM models) SELECT id, max(n) FILTER (model = 'a') AS a_length, max(s) FILTER (model = 'a') AS a_latency_s, CASE WHEN id % 3 = 0 THEN 2 ELSE max(n) FILTER (model = 'b') END AS b_length, max(s) FILTER (model = 'b') AS b_latency_s, max(n) FILTER (model = 'c') AS c_length, max(s) FILTER (model = 'c') AS c_latency_s, max(n) FILTER (model = 'd' AND id % 2 = 0) AS d_length, max(s) FILTER (model = 'd' AND id % 2 = 0) AS d_latency_s FROM m GROUP BY id",
     "ups3_stored_refresh": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 4 = 0",
+    "str10_pauses": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 <> 0 END AS limited FROM events),
+g AS (SELECT *, count_if(NOT limited) OVER o AS g FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, event_id, limited, least(4, count_if(limited) OVER (PARTITION BY user_id, g ORDER BY event_id))::INT AS strikes FROM g)
+SELECT *, CASE WHEN limited THEN least(60 * pow(2, strikes - 1), 300)::DOUBLE END AS pause_s FROM s""",
     "str3_finished": "SELECT s AS started, d AS done, a AS scored, s AND d AND a AS finished FROM (VALUES (true), (false)) x(s), (VALUES (true), (false)) y(d), (VALUES (true), (false)) z(a)",
     "orc4_evaluate": "WITH {pairs}, {models} SELECT model, CASE WHEN count_if(hyp = '') = 0 THEN count(*) END AS n FROM models GROUP BY model",
 }

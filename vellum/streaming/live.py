@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions.metrics import score
+from vellum.operators.scans import Differs, Strikes, scan
 from vellum.sources.files import stem
 from vellum.sources.snapshots import SnapshotTable
+from vellum.streaming import stateful
 
 
 def ready_pages(spark: SparkSession, path: str, suffix: str = "time") -> DataFrame:
@@ -61,33 +62,15 @@ def resume_plan(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.select("id", need.alias("need"))
 
 
-def changes(events: DataFrame, key: str, state: str) -> DataFrame:
+def changes(events: DataFrame, key: str, state: str, forget_s: int | None = None) -> DataFrame:
     """STR6 on a table or stream of (key, state, ord): the rows whose state differs from the one before; null is a state of its own, and the first row of a key is a change.
 
-    On a stream, the last state of each key is kept by applyInPandasWithState; on a table it is a lag.
+    On a stream, each key's last state is kept, until it expires where forget_s is given (stateful.changes); on a table rows are scanned in
+    order, whatever the share of one key.
     """
-    if not events.isStreaming:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(key).orderBy("ord")
-        new = F.row_number().over(w) == 1
-        return events.withColumn("_b", new | ~F.lag(state).over(w).eqNullSafe(F.col(state))).where("_b").drop("_b")
-    schema = T.StructType([events.schema[key], events.schema[state], events.schema["ord"]])
-
-    def emit(k, frames, held):
-        import pandas as pd
-
-        begun, last = (True, held.get[0]) if held.exists else (False, None)
-        rows = pd.concat(list(frames)).sort_values("ord")
-        keep = []
-        for value in rows[state].tolist():
-            value = None if pd.isna(value) else value
-            keep.append(not begun or value != last)
-            begun, last = True, value
-        held.update((last,))
-        yield rows.loc[keep, [key, state, "ord"]]
-
-    return events.select(key, state, "ord").groupBy(key).applyInPandasWithState(emit, schema, T.StructType([events.schema[state]]), "append", "NoTimeout")
+    if events.isStreaming:
+        return stateful.changes(events, key, state, forget_s)
+    return scan(events, key, ["ord"], {"_b": Differs(state)}).where("_b").drop("_b")
 
 
 def stop_all(spark: SparkSession) -> None:
@@ -97,7 +80,7 @@ def stop_all(spark: SparkSession) -> None:
 
 
 def liveness(heartbeats: DataFrame, now, seconds: int = 180) -> DataFrame:
-    """STR8: whether each source was heard within so many seconds."""
+    """STR8 on a table: whether each source was heard within so many seconds; stateful.liveness tells it on a stream."""
     return heartbeats.groupBy("source").agg(F.max("at").alias("last_at")).withColumn("alive", F.lit(now).cast("double") - F.col("last_at").cast("double") < seconds)
 
 
@@ -109,15 +92,22 @@ def idle_sessions(events: DataFrame, key: str, at: str, grace: str = "90 seconds
 
 
 class Pause:
-    """STR10: a pause that all calls of the driver share."""
+    """STR10: a pause that all calls of the driver share; stateful.pauses is that of a stream."""
 
     def __init__(self):
         self.until, self.step = 0.0, 0
 
     def hit(self, now: float) -> float:
-        self.step = min(self.step + 1, 4)
-        self.until = now + min(60 * 2 ** (self.step - 1), 300)
+        self.step = min(self.step + 1, stateful.MOST_STRIKES)
+        self.until = now + stateful.pause_s(self.step)
         return self.until
 
     def clear(self) -> None:
         self.until, self.step = 0.0, 0
+
+
+def pauses(outcomes: DataFrame, key: str, limited: str, order: list[str]) -> DataFrame:
+    """STR10 on a table: outcomes with strikes (in a row, at most four) and pause_s, the seconds of the pause that each begins; null where none does."""
+    out = scan(outcomes, key, order, {"strikes": Strikes(limited, stateful.MOST_STRIKES)})
+    seconds = F.least(stateful.FIRST_PAUSE_S * F.pow(F.lit(2.0), F.col("strikes") - 1), F.lit(float(stateful.MOST_PAUSE_S)))
+    return out.withColumn("pause_s", F.when(F.col(limited) & (F.col("strikes") > 0), seconds))
