@@ -32,6 +32,7 @@ REVIEWED = "% REVIEWED: OK"
 PREAMBLE = "\\documentclass{article}\n\\usepackage{amsmath}\n\\usepackage{amssymb}\n\\usepackage{amsfonts}\n\n\\begin{document}\n\n"
 POSTAMBLE = "\n\n\\end{document}\n"
 FURNITURE = r"(?iU)(?:Space\s+for\s+answering|Extra\s+space\s+for\s+answer|not\s+for\s+rough\s+work|Mention\s+Question\s+Number|^\s*\d+\s+of\s+\d+\s*$|^\s*Q\s*[-.\)①-⑳\d\?\s]{0,10}$)"
+ERROR_CLASSES = (("backoff", ("429", "rate")), ("fatal", ("402", "insufficient", "credit")), ("fatal", ("401", "unauthorized")))
 DROPPED_REGIONS = ("header", "footer", "page_number", "page-number", "pagenumber")
 DET = r"(?i)<\|det\|>\s*([a-zA-Z_\-]+)\s*\[[0-9,\s]*\]\s*<\|/det\|>"
 #: Also fixed: the rewrites that drop differences of style, in order; the body of a document, fences, marks and math.
@@ -375,8 +376,15 @@ def assistant_text(conversations: Column) -> Column:
 
 def error_class(message: Column) -> Column:
     """TXT24: the first class that fits, in order."""
-    m = F.lower(message)
-    return F.when(any_of(m, ("429", "rate")), "backoff").when(any_of(m, ("402", "insufficient", "credit")), "fatal").when(any_of(m, ("401", "unauthorized")), "fatal").otherwise("retry")
+    m, out = F.lower(message), F.lit("retry")
+    for kind, pieces in reversed(ERROR_CLASSES):
+        out = F.when(any_of(m, pieces), kind).otherwise(out)
+    return out
+
+
+def error_class_of(message: str) -> str:
+    """TXT24 of one message, for a connector's own use."""
+    return next((kind for kind, pieces in ERROR_CLASSES if any(p in message.lower() for p in pieces)), "retry")
 
 
 def http_retryable(code: Column) -> Column:

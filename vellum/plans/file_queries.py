@@ -12,10 +12,10 @@ from vellum.functions import arrays, images, metrics
 from vellum.functions import text as X
 from vellum.operators import aggregates, relational, windows
 from vellum.operators.lineage import shared_folder
-from vellum.plans import curation, stages
+from vellum.plans import curation, runs, stages
 from vellum.plans.fixtures import annotations, load, models
 from vellum.plans.queries import query
-from vellum.sources import files
+from vellum.sources import connector, files
 from vellum.sources.snapshots import SnapshotTable
 from vellum.streaming import live
 
@@ -117,6 +117,52 @@ def src16_call_model(spark, sf_dir):
     return files.call_model(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id long, answer long, error string", client)
 
 
+@query
+def src16_connector(spark, sf_dir):
+    """A client that is turned away twice for some pages and always fails for others: each page has its answer or its last error."""
+
+    def client():
+        asked = {}
+
+        def call(row):
+            n = asked[row["id"]] = asked.get(row["id"], 0) + 1
+            if row["id"] % 17 == 0:
+                raise ValueError("500 refused")
+            if row["id"] % 13 == 0 and n < 3:
+                raise ValueError("HTTP 429: slow down")
+            return {"answer": len(row["text"] or "")}
+
+        return call
+
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return connector.call(rows, "answer long", client, connector.Policy(wait_s=0, first_pause_s=0)).drop("text")
+
+
+@query
+def orc2_resumed(spark, sf_dir):
+    """A run that breaks off in its third stage and then goes on: what each stage gave, and how often it was computed."""
+    folder, computed = _folder(spark), []
+
+    def stage(name, f):
+        def run(t):
+            computed.append(name)
+            return f(t)
+
+        return run
+
+    def broken(t):
+        raise RuntimeError("broken")
+
+    steps = {"english": stage("english", lambda t: t["documents"].where("lang = 'en'")), "short": stage("short", lambda t: t["english"].where("n_chars < 1000")), "labelled": stage("labelled", broken), "count": stage("count", lambda t: t["documents"].groupBy("lang").count())}
+    docs = {"documents": load(spark, sf_dir, "documents")}
+    runs.ResumableRun(dict(steps), folder=folder).go(docs)
+    steps["labelled"] = stage("labelled", lambda t: t["short"].join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"))
+    again = runs.ResumableRun(dict(steps), folder=folder)
+    again.go(docs)
+    times = spark.createDataFrame([(n, computed.count(n)) for n in steps], "stage string, computed int")
+    return again.ledger().select("stage", "status", "n_rows").join(times, "stage")
+
+
 @query
 def src18_missing_images(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -339,6 +385,10 @@ ORACLES = {
     "src7_json_document": "SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation WHERE n_nationkey % 5 <> 0",
     "src11_adapters": "SELECT 'run' || o_orderkey % 50 AS run, CASE min(CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END) WHEN 0 THEN 'best' WHEN 1 THEN 'final' ELSE '' END AS folder FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1",
     "src16_call_model": "SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(coalesce(text, '')) END::BIGINT AS answer, CASE WHEN doc_id % 17 = 0 THEN 'refused' END AS error FROM documents",
+    "src16_connector": "SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(coalesce(text, '')) END::BIGINT AS answer, CASE WHEN doc_id % 17 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN doc_id % 17 = 0 OR doc_id % 13 = 0 THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN doc_id % 17 = 0 THEN '500 refused' END AS error FROM documents",
+    "orc2_resumed": """WITH e AS (SELECT * FROM documents WHERE lang = 'en'), s AS (SELECT * FROM e WHERE n_chars < 1000)
+SELECT 'english' AS stage, 'done' AS status, (SELECT count(*) FROM e) AS n_rows, 1 AS computed UNION ALL SELECT 'short', 'done', (SELECT count(*) FROM s), 1
+UNION ALL SELECT 'labelled', 'done', (SELECT count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM labels)), 2 UNION ALL SELECT 'count', 'done', (SELECT count(DISTINCT coalesce(lang, '-')) FROM documents), 1""",
     "src18_missing_images": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 224 ELSE 1 END AS height, CASE WHEN doc_id % 3 = 0 THEN 224 ELSE octet_length(encode(coalesce(text, ''))) END::INT AS width, CASE WHEN doc_id % 3 = 0 THEN 224 * 224 * 3 ELSE octet_length(encode(coalesce(text, ''))) END::INT AS n_bytes FROM documents",
     "snk3_append": "SELECT o_orderkey FROM orders",
     "snk4_replace": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v FROM orders",
@@ -358,8 +408,8 @@ SELECT doc_id, array_to_string(list_resize(l, max(len(l)) OVER (PARTITION BY b),
     "str4_merged_columns": "WITH {pairs}, {models}, m AS (SELECT id, model, length(hyp)::INT AS n, latency_s::DOUBLE AS s FROM models) SELECT id, max(n) FILTER (model = 'a') AS a_length, max(s) FILTER (model = 'a') AS a_latency_s, CASE WHEN id % 3 = 0 THEN 2 ELSE max(n) FILTER (model = 'b') END AS b_length, max(s) FILTER (model = 'b') AS b_latency_s, max(n) FILTER (model = 'c') AS c_length, max(s) FILTER (model = 'c') AS c_latency_s, max(n) FILTER (model = 'd' AND id % 2 = 0) AS d_length, max(s) FILTER (model = 'd' AND id % 2 = 0) AS d_latency_s FROM m GROUP BY id",
     "ups3_stored_refresh": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS v, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 4 = 0",
     "str10_pauses": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 <> 0 END AS limited FROM events),
-g AS (SELECT *, count_if(NOT limited) OVER o AS g FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
-s AS (SELECT user_id, event_id, limited, least(4, count_if(limited) OVER (PARTITION BY user_id, g ORDER BY event_id))::INT AS strikes FROM g)
+g AS (SELECT *, coalesce(count_if(NOT limited) OVER o, 0) AS g FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, event_id, limited, least(4, coalesce(count_if(limited) OVER (PARTITION BY user_id, g ORDER BY event_id), 0))::INT AS strikes FROM g)
 SELECT *, CASE WHEN limited THEN least(60 * pow(2, strikes - 1), 300)::DOUBLE END AS pause_s FROM s""",
     "str3_finished": "SELECT s AS started, d AS done, a AS scored, s AND d AND a AS finished FROM (VALUES (true), (false)) x(s), (VALUES (true), (false)) y(d), (VALUES (true), (false)) z(a)",
     "orc4_evaluate": "WITH {pairs}, {models} SELECT model, CASE WHEN count_if(hyp = '') = 0 THEN count(*) END AS n FROM models GROUP BY model",

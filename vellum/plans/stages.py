@@ -56,6 +56,11 @@ class Run:
     status: dict[str, str] = field(default_factory=dict)
     keep: Callable[[DataFrame], DataFrame] = written
 
+    def run_stage(self, name: str, tables: dict[str, DataFrame]) -> dict:
+        """What a stage gives, by name; its tables are written."""
+        made = self.stages[name](tables)
+        return {k: self.keep(v) if isinstance(v, DataFrame) else v for k, v in (made if isinstance(made, dict) else {name: made}).items()}
+
     def go(self, tables: dict[str, DataFrame], start_from: str | None = None, fail_fast: bool = False, stop: Callable[[], bool] = lambda: False) -> dict[str, DataFrame]:
         names = list(self.stages)
         for name in names[names.index(start_from) if start_from else 0 :]:
@@ -63,9 +68,7 @@ class Run:
                 self.status[name] = "stopped"
                 break
             try:
-                made = self.stages[name](tables)
-                for k, v in (made if isinstance(made, dict) else {name: made}).items():
-                    tables[k] = self.keep(v) if isinstance(v, DataFrame) else v
+                tables.update(self.run_stage(name, tables))
                 self.status[name] = "done"
             except Exception as e:
                 self.status[name] = f"failed: {e}"
