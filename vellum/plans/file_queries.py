@@ -15,7 +15,7 @@ from vellum.operators.lineage import shared_folder
 from vellum.plans import curation, runs, stages
 from vellum.plans.fixtures import annotations, load, models
 from vellum.plans.queries import query
-from vellum.sources import connector, files
+from vellum.sources import connector, files, logs
 from vellum.sources.snapshots import SnapshotTable
 from vellum.streaming import live
 
@@ -102,6 +102,19 @@ def src11_adapters(spark, sf_dir):
     return files.adapters(paths.where(~F.col("path").contains("checkpoint")))
 
 
+@query
+def src15_log_stream(spark, sf_dir):
+    """Events as log files that executors write in two goes; a stream that is started again after the second gives each line once."""
+    base = _folder(spark)
+    e = load(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value"))
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(f"{base}/logs")
+        stream = logs.log_stream(spark, f"{base}/logs").writeStream.format("parquet").option("path", f"{base}/lines").option("checkpointLocation", f"{base}/checkpoint")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    lines = F.split("line", " ")
+    return spark.read.parquet(f"{base}/lines").select(lines[0].cast("long").alias("id"), lines[1].alias("event_type"))
+
+
 @query
 def src16_call_model(spark, sf_dir):
     """An injected client that fails on some pages: each failure stays its page's own."""
@@ -384,6 +397,7 @@ ORACLES = {
     "src6_torn_json_lines": "SELECT n_name AS id, (n_nationkey + 100)::BIGINT AS v FROM nation",
     "src7_json_document": "SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation WHERE n_nationkey % 5 <> 0",
     "src11_adapters": "SELECT 'run' || o_orderkey % 50 AS run, CASE min(CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END) WHEN 0 THEN 'best' WHEN 1 THEN 'final' ELSE '' END AS folder FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1",
+    "src15_log_stream": "SELECT event_id AS id, event_type FROM events",
     "src16_call_model": "SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(coalesce(text, '')) END::BIGINT AS answer, CASE WHEN doc_id % 17 = 0 THEN 'refused' END AS error FROM documents",
     "src16_connector": "SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(coalesce(text, '')) END::BIGINT AS answer, CASE WHEN doc_id % 17 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN doc_id % 17 = 0 OR doc_id % 13 = 0 THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN doc_id % 17 = 0 THEN '500 refused' END AS error FROM documents",
     "orc2_resumed": """WITH e AS (SELECT * FROM documents WHERE lang = 'en'), s AS (SELECT * FROM e WHERE n_chars < 1000)
