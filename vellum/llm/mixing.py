@@ -71,16 +71,18 @@ def _keyed(docs: DataFrame, seed: str, quality: Column | None, key: str, source:
     w = F.lit(1.0) if quality is None else quality.cast("double")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), place, F.lit(":"), digest).alias("draw"), w.alias("w"))
     rows = cut_lineage(rows.withColumn("_p", F.spark_partition_id()).withColumn("_r", F.monotonically_increasing_id()))
-    # Rows alike are counted, by partition first, so that each has a place of its own.
-    alike = cut_lineage(rows.groupBy("draw", "_p").agg(F.count("*").alias("here")).groupBy("draw").agg(F.sum("here").alias("rows"), F.collect_list(F.struct("_p", "here")).alias("by")).where("rows > 1"))
+    # Rows alike are counted, by partition first, so that each has a place of its own; a running sum over a draw's partitions tells how many come before.
+    draws = Window.partitionBy("draw")
+    before = F.coalesce(F.sum("here").over(draws.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = rows.groupBy("draw", "_p").agg(F.count("*").alias("here")).withColumns({"rows": F.sum("here").over(draws), "before": before})
+    alike = cut_lineage(counted.where("rows > 1").select("draw", "_p", "before"))
     if alike.isEmpty():
         rows = rows.withColumn("place", F.lit(1).cast("long"))
     else:
-        before = F.aggregate(F.filter("by", lambda x: x["_p"] < F.col("p")), F.lit(0).cast("long"), lambda a, x: a + x["here"])
-        offsets = alike.withColumn("p", F.explode(F.col("by")["_p"])).select(F.col("draw").alias("_d"), F.col("p"), before.alias("before"))
+        offsets = alike.select(F.col("draw").alias("_d"), F.col("_p").alias("p"), "before")
         local = F.row_number().over(Window.partitionBy("draw", "_p").orderBy("_r"))
         found = rows.join(offsets, (F.col("draw") == F.col("_d")) & (F.col("_p") == F.col("p"))).withColumn("place", F.col("before") + local).drop("_d", "p", "before")
-        rows = rows.join(alike.select(F.col("draw").alias("_d")), F.col("draw") == F.col("_d"), "left_anti").withColumn("place", F.lit(1).cast("long")).unionByName(found)
+        rows = rows.join(alike.select(F.col("draw").alias("_d")).distinct(), F.col("draw") == F.col("_d"), "left_anti").withColumn("place", F.lit(1).cast("long")).unionByName(found)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), "draw", F.lit(":"), F.col("place").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     late = F.coalesce(F.isnan("w") | (F.col("w") <= 0), F.lit(True))
     e = -F.log(u) / F.when(late, 1.0).otherwise(F.col("w"))
