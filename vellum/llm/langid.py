@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.kit import U64, mix, portions, utf8
-from vellum.llm.sample import balanced
+from vellum.llm.sample import MOST_BYTES, balanced, within_bytes
 
 #: Hash buckets of n-grams: a power of two.
 BUCKETS = 1 << 16
@@ -143,8 +143,8 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, p.max(axis=1), 0.0).tolist()
 
 
-def fit(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from the rows with a text and a language; None if there is none. sample: rows that are fitted, held by the driver as sparse counts."""
+def fit(labelled: DataFrame, sample: int = 6000, most_bytes: int = MOST_BYTES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """A model from the rows with a text and a language; None if there is none. sample, most_bytes: rows that are fitted and the bytes of their sparse counts, which the driver holds."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(usable, text)
     if not n:
@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, sample: int = 6000, key: str = "doc_id", text: str
 
     # Rows alike in language and counts are fitted once: copies teach nothing, and a repeated row can't fill the driver.
     chosen = balanced(usable.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")), "lang", ["id", "h"], sample)
-    rows = chosen.select("lang", "text").mapInArrow(counted, "lang string, f binary, c binary").distinct().collect()
+    rows = within_bytes(chosen.select("lang", "text").mapInArrow(counted, "lang string, f binary, c binary").distinct(), ["f", "c"], most_bytes).collect()
     rows = sorted(((r["lang"], bytes(r["f"]), bytes(r["c"])) for r in rows if len(r["f"])))
     if not rows:
         return None

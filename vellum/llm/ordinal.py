@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.kit import U64, Tokens, portions, utf8
-from vellum.llm.sample import balanced
+from vellum.llm.sample import MOST_BYTES, balanced, within_bytes
 
 BUCKETS = 1 << 18
 
@@ -109,8 +109,8 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: in
     return Model(w.astype(np.float32), np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:])))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: str, levels: int, sample: int = 12_000, key: str = "doc_id", text: str = "text") -> Model | None:
-    """ratings: (doc_id, grade from 0 to levels - 1). None if no rated document has a text."""
+def fit(docs: DataFrame, ratings: DataFrame, grade: str, levels: int, sample: int = 12_000, most_bytes: int = MOST_BYTES, key: str = "doc_id", text: str = "text") -> Model | None:
+    """ratings: (doc_id, grade from 0 to levels - 1). None if no rated document has a text. sample, most_bytes: rows that are fitted and the bytes of their features, which the driver holds."""
     good = ratings.where(F.col(grade).between(0, levels - 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(grade).cast("int")).alias("grade"))
     chosen = balanced(good, "grade", ["id"], sample)
     usable = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str, levels: int, sample: in
 
     # An id may have many rows, of which the one with the least hash is fitted: the driver gets no more than the sample.
     found = picked.mapInArrow(counted, "grade int, id long, f binary").groupBy("id").agg(F.min(F.struct(F.xxhash64("f"), "f", "grade")).alias("r")).select("id", "r.grade", "r.f")
-    rows = sorted((r["id"], r["grade"], bytes(r["f"])) for r in found.collect())
+    rows = sorted((r["id"], r["grade"], bytes(r["f"])) for r in within_bytes(found, ["f"], most_bytes, ("id",)).collect())
     if not rows:
         return None
     return fit_rows([np.frombuffer(f, np.uint32).astype(np.int64) for _, _, f in rows], np.array([g for _, g, _ in rows]), levels)
