@@ -163,8 +163,9 @@ def requested_only(verdicts: DataFrame, requested: DataFrame, key: str = "id") -
 def requeue_status(rejected: DataFrame, sources: DataFrame, key: str = "id", text: str = "latex") -> DataFrame:
     """JOI13: rescued where only the old check rejects; else requeue where the source exists, else missing."""
     have = sources.select(key).distinct().withColumn("_have", F.lit(True))
-    status = F.when(X.looks_truncated(F.col(text), 1) & ~X.looks_truncated(F.col(text), 2), "rescued").when(F.col("_have"), "requeue").otherwise("missing")
-    return rejected.join(have, key, "left").select(key, status.alias("status"))
+    rescued = X.looks_truncated(F.col(text), 1) & ~X.looks_truncated(F.col(text), 2)
+    told = rejected.select(key, rescued.alias("_rescued"))  # no text goes through the join
+    return told.join(have, key, "left").select(key, F.when(F.col("_rescued"), "rescued").when(F.col("_have"), "requeue").otherwise("missing").alias("status"))
 
 
 def split_leaks(splits: DataFrame, key: str = "id", split: str = "split") -> DataFrame:

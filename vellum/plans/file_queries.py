@@ -44,28 +44,44 @@ def _nation_files(spark: SparkSession, sf_dir: str, below: str = "") -> str:
     return folder
 
 
-def _listed(df: DataFrame) -> DataFrame:
-    return df.select(files.stem(F.col("path")).alias("name"), "length")
+def _supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, value): a small text for each supplier."""
+    return load(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\n", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
+
+
+def _write_each(rows: DataFrame, folder: str) -> str:
+    """A file for each row's value, written by the executors."""
+    rows.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
 @query
 def src1_list_files(spark, sf_dir):
-    return _listed(files.list_files(spark, _nation_files(spark, sf_dir)))
+    """The texts among texts and JSON files of one folder."""
+    texts, folder = _supplier_texts(spark, sf_dir), _folder(spark)
+    _write_each(texts.where("s_suppkey % 3 <> 0"), folder)
+    texts.where("s_suppkey % 3 = 0").write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    return files.list_files(spark, folder, ("txt",)).select("length")
 
 
 @query
 def src2_list_below(spark, sf_dir):
-    return _listed(files.list_files_or_below(spark, _nation_files(spark, sf_dir, "deep/er/")))
+    """Texts two folders down, found as the folder itself holds none."""
+    folder = _folder(spark)
+    _write_each(_supplier_texts(spark, sf_dir), f"{folder}/deep/er")
+    return files.list_files_or_below(spark, folder, ("txt",)).select("length")
 
 
 @query
 def src3_list_prefix(spark, sf_dir):
-    return _listed(files.list_files(spark, _nation_files(spark, sf_dir), ("png", "txt"), prefix="I"))
+    found = files.list_files(spark, _nation_files(spark, sf_dir), ("png", "txt"), prefix="I")
+    return found.select(files.stem(F.col("path")).alias("name"), "length")
 
 
 @query
 def src4_read_texts(spark, sf_dir):
-    return files.read_texts(spark, _nation_files(spark, sf_dir))
+    found = files.read_texts(spark, _write_each(_supplier_texts(spark, sf_dir), _folder(spark)))
+    return found.select(F.substring_index("text", "\n", 1).cast("long").alias("id"), "text")
 
 
 @query
@@ -78,20 +94,21 @@ def src5_json_lines(spark, sf_dir):
 
 @query
 def src6_torn_json_lines(spark, sf_dir):
-    """Each nation twice, the second time with its region, then a torn line."""
-    lines = [f'{{"id": "{r.n_name}", "v": {r.n_nationkey + 100 * k}}}\n{"" if k else "no json" + chr(10)}' for k in (0, 1) for r in _nations(spark, sf_dir)]
-    path = f"{_folder(spark)}/cache.jsonl"
-    _put(spark, path, ("".join(lines) + '{"id": "TORN", "v').encode())
-    return files.read_json_lines_tolerant(spark, path, T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())]))
+    """Each supplier twice, the second time with another value, in files with lines that are no JSON or break off."""
+    one = load(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    line = F.format_string('{"id": "%d", "v": %d}%s', "s_suppkey", F.col("s_suppkey") + 1000 * F.col("k"), F.when(F.col("k") == 0, F.lit("\nno json")).otherwise(F.lit('\n{"id": "TORN", "v')))
+    folder = _folder(spark)
+    one.repartition(3, "s_suppkey").sortWithinPartitions("k", "s_suppkey").select(line.alias("value")).write.text(folder)
+    return files.read_json_lines_tolerant(spark, folder, T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())]))
 
 
 @query
 def src7_json_document(spark, sf_dir):
-    """SRC7 and SRC8: documents with and without a byte order mark, a corrupt one and a missing one."""
-    folder, schema = _folder(spark), T.StructType([T.StructField("name", T.StringType()), T.StructField("region", T.LongType())])
-    for r in _nations(spark, sf_dir):
-        text = f'{{"name": "{r.n_name}",\n "region": {r.n_regionkey}}}' if r.n_nationkey % 5 else '{"name": '
-        _put(spark, f"{folder}/{r.n_name}.json", (b"\xef\xbb\xbf" if r.n_nationkey % 2 else b"") + text.encode())
+    """SRC7 and SRC8: documents with and without a byte order mark, corrupt ones and a missing one."""
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("nation", T.LongType())])
+    whole = F.format_string('{"name": "%s",\n "nation": %d}', "s_name", "s_nationkey")
+    text = F.concat(F.when(F.col("s_suppkey") % 2 == 1, "\ufeff").otherwise(""), F.when(F.col("s_suppkey") % 5 != 0, whole).otherwise('{"name": '))
+    folder = _write_each(load(spark, sf_dir, "supplier").select(text.alias("value")), _folder(spark))
     return files.read_json_document(spark, folder, schema).unionByName(files.read_json_document(spark, f"{folder}/none.json", schema))
 
 
@@ -389,13 +406,13 @@ def orc10_prefix_batch(spark, sf_dir):
 
 ORACLES = {
     "fil2_dark_ratio": "WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE round(100.0::DOUBLE * n / (64 * greatest(48, ceil(n / 64.0::DOUBLE))), 6) END AS dark, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE round(100.0::DOUBLE * n / (64 * greatest(48, ceil(n / 64.0::DOUBLE))), 6) END AS ink FROM p",
-    "src1_list_files": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_nationkey % 3 <> 0",
-    "src2_list_below": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_nationkey % 3 <> 0",
+    "src1_list_files": "SELECT length(s_suppkey || s_name) + 2 AS length FROM supplier WHERE s_suppkey % 3 <> 0",
+    "src2_list_below": "SELECT length(s_suppkey || s_name) + 2 AS length FROM supplier",
     "src3_list_prefix": "SELECT n_name AS name, length(n_name) + 2 AS length FROM nation WHERE n_name LIKE 'I%'",
-    "src4_read_texts": "SELECT n_name AS id, n_name || chr(10) || n_regionkey AS text FROM nation",
+    "src4_read_texts": "SELECT s_suppkey::BIGINT AS id, s_suppkey || chr(10) || s_name || chr(10) AS text FROM supplier",
     "src5_json_lines": "SELECT doc_id, text, lang FROM documents",
-    "src6_torn_json_lines": "SELECT n_name AS id, (n_nationkey + 100)::BIGINT AS v FROM nation",
-    "src7_json_document": "SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation WHERE n_nationkey % 5 <> 0",
+    "src6_torn_json_lines": "SELECT s_suppkey::VARCHAR AS id, (s_suppkey + 1000)::BIGINT AS v FROM supplier",
+    "src7_json_document": "SELECT s_name AS name, s_nationkey::BIGINT AS nation FROM supplier WHERE s_suppkey % 5 <> 0",
     "src11_adapters": "SELECT 'run' || o_orderkey % 50 AS run, CASE min(CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END) WHEN 0 THEN 'best' WHEN 1 THEN 'final' ELSE '' END AS folder FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1",
     "src15_log_stream": "SELECT event_id AS id, event_type FROM events",
     "src16_call_model": "SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(coalesce(text, '')) END::BIGINT AS answer, CASE WHEN doc_id % 17 = 0 THEN 'refused' END AS error FROM documents",

@@ -276,7 +276,7 @@ SELECT user_id, step, round(s, 3) AS seconds, best, CASE WHEN step >= 6 THEN CAS
     "win9_bounded_history": f"WITH {STEPS} SELECT user_id, step, loss FROM steps QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) <= 5",
     "win11_progress": "WITH d AS (SELECT o_orderkey, o_orderkey % 100 AS p, o_orderkey % 7 AS b, (o_orderkey % 11)::DOUBLE AS e FROM orders), r AS (SELECT *, CASE WHEN e > 0 AND p > b THEN (p - b) / e END AS rate FROM d) SELECT o_orderkey, round(rate, 2) AS items_per_sec, round((200 - p) / rate, 0) AS eta_seconds, round(100.0::DOUBLE * p / 200, 1) AS pct FROM r",
     "win12_batches": "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, rn, (rn - 1) // 4 AS batch, (rn - 1) % 3 AS key, 'page_' || lpad(rn::VARCHAR, 5, '0') AS page FROM n",
-    "win16_backoff": "SELECT i AS step, least(60 * pow(2.0::DOUBLE, least(i, 4) - 1), 300) AS wait, pow(2.0::DOUBLE, i) + 1 AS http_wait, chr((96 + i)::INT) AS letter FROM range(1, 9) r(i)",
+    "win16_backoff": "SELECT event_id, i AS step, least(60 * pow(2.0::DOUBLE, least(i, 4) - 1), 300) AS wait, pow(2.0::DOUBLE, i) + 1 AS http_wait, chr((96 + i)::INT) AS letter FROM (SELECT event_id, event_id % 8 + 1 AS i FROM events)",
     "arr4_finite": "WITH v AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END AS v FROM events) SELECT event_id, CASE WHEN isfinite(v) THEN v END AS value FROM v",
     "arr5_key_list": "WITH k AS (SELECT doc_id, list_filter(list_transform(string_split(text || ', ,' || source, ','), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents) SELECT doc_id, array_to_string(k[1:3], '|') AS keys, len(k)::INT AS n FROM k",
     "img5_sizes": """WITH p AS (SELECT p_partkey, (p_partkey * 37 % 3000 + 1)::INT AS h, (p_partkey * 53 % 2500 + 1)::INT AS w FROM part), q AS (SELECT *, greatest(h, w) AS big, sqrt(1204224.0::DOUBLE / (h::DOUBLE * w)) AS k, abs(sin(radians(3.0::DOUBLE))) AS s, abs(cos(radians(3.0::DOUBLE))) AS c FROM p)

@@ -450,7 +450,9 @@ def win12_batches(spark, sf_dir):
 
 @query
 def win16_backoff(spark, sf_dir):
-    return spark.range(1, 9).select(F.col("id").alias("step"), windows.backoff_seconds(F.col("id")).alias("wait"), windows.http_backoff_seconds(F.col("id")).alias("http_wait"), windows.column_letter(F.col("id")).alias("letter"))
+    """WIN15 and WIN16 of each event as a call's attempt."""
+    step = F.col("event_id") % 8 + 1
+    return load(spark, sf_dir, "events").select("event_id", step.alias("step"), windows.backoff_seconds(step).alias("wait"), windows.http_backoff_seconds(step).alias("http_wait"), windows.column_letter(step).alias("letter"))
 
 
 # Arrays and JSON.
