@@ -274,7 +274,13 @@ def strip_tokens(c: Column) -> Column:
 def drop_furniture(c: Column) -> Column:
     """TXT13: without the lines that are printed page furniture."""
     lines = F.split(_sub(c, rf"(?:{_LINES})\z", ""), _LINES)
-    return F.array_join(F.filter(lines, lambda x: ~F.regexp_like(strip(x), F.lit(FURNITURE))), "\n")
+
+    def furniture(x):
+        """Few lines hold a word of the pattern; those beyond ASCII may hold one in other letters."""
+        likely = any_of(F.lower(x), ("space", "rough", "mention", "of", "q")) | (F.octet_length(x) > F.length(x))
+        return likely & F.regexp_like(strip(x), F.lit(FURNITURE))
+
+    return F.array_join(F.filter(lines, lambda x: ~furniture(x)), "\n")
 
 
 def _no_headings(c: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Ranking, running and sequential numerics over ordered rows."""
+"""Ranking, running and sequential numerics over ordered rows.
+
+The running ones are column functions over a window or an array, for keys whose rows fit into a task; ``scans`` has the same
+for keys of any size.
+"""
 
 from __future__ import annotations
 
