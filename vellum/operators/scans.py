@@ -82,26 +82,29 @@ class Best:
 
 @dataclass(frozen=True)
 class Mean:
-    """WIN17: the mean so far; nulls don't count."""
+    """WIN17: the mean so far; nulls don't count. Sums keep what rounding takes from them, so the mean depends neither on the pieces nor on the order of the additions."""
 
     value: str
     kind = T.DoubleType()
 
     def start(self):
-        return (0.0, 0)
+        return (0.0, 0.0, 0)  # the sum, what rounding took from it, and the values
 
     def step(self, s, row):
         s = self.add(s, row)
-        return s, s[0] / s[1] if s[1] else None
+        total, lost, n = s
+        return s, (total + lost if lost == lost else total) / n if n else None  # infinite sums lose NaN
 
     nothing = start
 
     def add(self, s, row):
         x = row[self.value]
-        return s if x is None else (s[0] + x, s[1] + 1)
+        return s if x is None else self.after(s, (x, 0.0, 1))
 
     def after(self, a, b):
-        return (a[0] + b[0], a[1] + b[1])
+        total = a[0] + b[0]
+        part = total - a[0]
+        return (total, a[1] + b[1] + ((a[0] - (total - part)) + (b[0] - part)), a[2] + b[2])
 
 
 @dataclass(frozen=True)
