@@ -49,18 +49,12 @@ def _supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\n", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
 
 
-def _write_each(rows: DataFrame, folder: str) -> str:
-    """A file for each row's value, written by the executors."""
-    rows.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
-    return folder
-
-
 @query
 def src1_list_files(spark, sf_dir):
     """The texts among texts and JSON files of one folder."""
     texts, folder = _supplier_texts(spark, sf_dir), _folder(spark)
-    _write_each(texts.where("s_suppkey % 3 <> 0"), folder)
-    texts.where("s_suppkey % 3 = 0").write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    files.write_each(texts.where("s_suppkey % 3 <> 0"), folder, "txt")
+    files.write_each(texts.where("s_suppkey % 3 = 0").select(F.to_json(F.struct("s_suppkey", "value")).alias("value")), folder, "json")
     return files.list_files(spark, folder, ("txt",)).select("length")
 
 
@@ -68,7 +62,7 @@ def src1_list_files(spark, sf_dir):
 def src2_list_below(spark, sf_dir):
     """Texts two folders down, found as the folder itself holds none."""
     folder = _folder(spark)
-    _write_each(_supplier_texts(spark, sf_dir), f"{folder}/deep/er")
+    files.write_each(_supplier_texts(spark, sf_dir), f"{folder}/deep/er", "txt")
     return files.list_files_or_below(spark, folder, ("txt",)).select("length")
 
 
@@ -80,7 +74,7 @@ def src3_list_prefix(spark, sf_dir):
 
 @query
 def src4_read_texts(spark, sf_dir):
-    found = files.read_texts(spark, _write_each(_supplier_texts(spark, sf_dir), _folder(spark)))
+    found = files.read_texts(spark, files.write_each(_supplier_texts(spark, sf_dir), _folder(spark), "txt"))
     return found.select(F.substring_index("text", "\n", 1).cast("long").alias("id"), "text")
 
 
@@ -108,7 +102,7 @@ def src7_json_document(spark, sf_dir):
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("nation", T.LongType())])
     whole = F.format_string('{"name": "%s",\n "nation": %d}', "s_name", "s_nationkey")
     text = F.concat(F.when(F.col("s_suppkey") % 2 == 1, "\ufeff").otherwise(""), F.when(F.col("s_suppkey") % 5 != 0, whole).otherwise('{"name": '))
-    folder = _write_each(load(spark, sf_dir, "supplier").select(text.alias("value")), _folder(spark))
+    folder = files.write_each(load(spark, sf_dir, "supplier").select(text.alias("value")), _folder(spark), "json")
     return files.read_json_document(spark, folder, schema).unionByName(files.read_json_document(spark, f"{folder}/none.json", schema))
 
 

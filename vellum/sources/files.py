@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from vellum.operators.lineage import spread
+
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
 _LISTING = "path string, modificationTime timestamp, length long, content binary"
 
@@ -149,6 +152,31 @@ def isolated(call: Callable, columns: list[str], key: str = "id") -> Callable:
     return one_by_one
 
 
+def write_each(rows: DataFrame, path: str, suffix: str) -> str:
+    """A UTF-8 file of its own for each row's ``value``, with a line feed behind it; null is an empty value. path is a folder that pyarrow opens, reachable from all executors.
+
+    Rows are dealt to all cores, and tasks write their files themselves: a file costs its creation, no commit and no rename. Names follow from the
+    task and the place in it, so a task that is run again writes the same files again.
+    """
+
+    def work(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        system.create_dir(base, recursive=True)
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                with system.open_output_stream(f"{base}/part-{task:05d}-{n:09d}.{suffix}") as out:
+                    out.write(f"{value or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    spread(rows.select("value")).mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    return path
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK1: nulls are written, other scripts as they are. SNK7: derived folders are rebuilt."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
