@@ -1,7 +1,7 @@
 """SRC16: rows through a remote service: bounded requests in flight, retries by the class of the error, pauses, no row lost.
 
 Each task builds its client once and keeps at most ``in_flight`` calls going, in threads, as they wait and don't compute; results
-come in the order of the rows, a row as soon as all before it are there, so memory is in_flight rows. An error whose class is
+come in the order of the rows, in parts of PART_ROWS, so memory is a batch of Arrow and PART_ROWS rows as objects. An error whose class is
 ``backoff`` makes the whole task pause (longer each time in a row) and doesn't count as a failure, until ``most_pauses`` of a row;
 a ``fatal`` one ends the task's calls, and its other rows are aborted; any other is tried again up to ``retries`` calls. Every row comes out, with a
 status: success, failed, fatal or aborted, the calls made and the last error. Rows that aren't a success are the dead letters.
@@ -12,7 +12,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from vellum.functions.text import error_class_of
 
+#: Rows that are Python objects at once and go back together.
+PART_ROWS = 256
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -86,40 +89,43 @@ class _Task:
         return None, "aborted", calls, error or self.fatal
 
 
-def call(rows: DataFrame, answer: str, client: Callable[[], Callable[[dict], dict]], policy: Policy = Policy(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """rows with the columns of answer (a schema), status, attempts and error. client: built once a task; it maps a row to its answer, or raises.
-
-    A column of rows that is named like one of these is replaced. A task that is run again calls again for its rows.
-    """
-    told = T.StructType.fromDDL(answer)
-    extra = [*told.names, "status", "attempts", "error"]
-    kept = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in extra))
-    schema = T.StructType([*kept.schema.fields, *told.fields, T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def work(batches):
-        task, ask = _Task(policy, sleep), client()
-        with ThreadPoolExecutor(policy.in_flight) as pool:
-            for batch in batches:
+def answers(batches, client: Callable, policy: Policy, sleep: Callable[[float], None], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A task's rows with their answers, PART_ROWS at a time."""
+    task, ask = _Task(policy, sleep), client()
+    with ThreadPoolExecutor(policy.in_flight) as pool:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PART_ROWS):
                 flying: deque = deque()
                 out = []
 
                 def land(flying=flying, out=out):
                     row, future = flying.popleft()
                     found, status, calls, error = future.result()
-                    out.append(row | {c: (found or {}).get(c) for c in told.names} | {"status": status, "attempts": calls, "error": error})
+                    out.append(row | {c: (found or {}).get(c) for c in names} | {"status": status, "attempts": calls, "error": error})
 
-                for row in batch.to_pylist():
+                for row in whole.slice(lo, PART_ROWS).to_pylist():
                     if len(flying) >= policy.in_flight:
                         land()
                     flying.append((row, pool.submit(task.one, ask, row)))
                 while flying:
                     land()
-                yield pa.RecordBatch.from_pylist(out, arrow)
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def call(rows: DataFrame, answer: str, client: Callable[[], Callable[[dict], dict]], policy: Policy = Policy(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """rows with the columns of answer (a schema), status, attempts and error. client: built once a task; it maps a row to its answer, or raises.
+
+    A column of rows that is named like one of these is replaced. A task that is run again calls again for its rows.
+    """
+    told = T.StructType.fromDDL(answer)
+    extra = [*told.names, "status", "attempts", "error"]
+    kept = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in extra))
+    schema = T.StructType([*kept.schema.fields, *told.fields, T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(lambda batches: answers(batches, client, policy, sleep, told.names, arrow), schema)
 
 
 def dead_letters(results: DataFrame) -> DataFrame:
