@@ -374,7 +374,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fil2_dark_ratio(spark, sf_dir):
     """Dark and inked parts of the pages in percent."""
-    m = pages(spark, sf_dir).select("id", images.page_features("data", "height", "width").alias("m"))
+    m = pages(spark, sf_dir).select("id", images.dark_and_ink("data", "height", "width").alias("m"))
     return m.select(F.col("id").cast("long").alias("doc_id"), F.round("m.dark", 6).alias("dark"), F.round("m.ink", 6).alias("ink"))
 
 
