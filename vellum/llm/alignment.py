@@ -232,7 +232,9 @@ class _Shards:
         one, two = _tokenizers(*_files(folder))
         sizes, kinds = (_sizes(one.bytes), _sizes(two.bytes)), (_kind(one.bytes), _kind(two.bytes))
         # Rows alike in key and text may be many, so the place in the input has a say too.
-        shard = F.pmod(F.xxhash64(F.col(key), F.col(text), F.spark_partition_id()), F.lit(shard_count(docs, text))).cast("int")
+        # Each shard asks for its pairs once, so shards follow the bytes and the cores: as many as shuffle partitions would ask for the same pairs over and over.
+        shards = shard_count(docs, text, at_least=docs.sparkSession.sparkContext.defaultParallelism)
+        shard = F.pmod(F.xxhash64(F.col(key), F.col(text), F.spark_partition_id()), F.lit(shards)).cast("int")
         self.sizes, self.kinds = sizes, kinds
         self.rows = encoded(docs.select(shard.alias("_shard"), F.col(key).alias("_key"), F.col(text).alias("_text_")), ["_shard", "_key"], "_text_", folder)
         self.by_shard = self.rows.groupBy("_shard")

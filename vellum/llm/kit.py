@@ -142,9 +142,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    """Shards in proportion to the input up to MANY_SHARDS, and at least as many as shuffle partitions."""
-    at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, at_least: int | None = None) -> int:
+    """Shards in proportion to the input up to MANY_SHARDS, and at_least so many; None: as many as shuffle partitions."""
+    if at_least is None:
+        at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs, text)
     return max(at_least, min(math.ceil(size / shard_bytes), MANY_SHARDS), math.ceil(size / MOST_SHARD_BYTES))
 
