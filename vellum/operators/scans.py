@@ -107,6 +107,92 @@ class Mean:
         return (total, a[1] + b[1] + ((a[0] - (total - part)) + (b[0] - part)), a[2] + b[2])
 
 
+#: Rows in a block of BlockMean, and blocks in a block of blocks; and how often that goes on.
+_FAN, _LEVELS = 16, 14
+
+
+@dataclass(frozen=True)
+class BlockMean:
+    """WIN17 with the additions of an engine that keeps a tree of sums, to the last bit; nulls don't count.
+
+    Rows have places; every 16 from place 0 are a block, every 16 blocks a greater one, and a block's sum is that of its parts from the left. A
+    running sum adds what its stretch is made of from the left: the greatest whole blocks in it and the single rows at its ends.
+    place: the column with the place of the first row of the row's key.
+    """
+
+    value: str
+    place: str
+    kind = T.DoubleType()
+    placed = True
+
+    def start(self):
+        return None  # the values, and of each level: parts of the open block, the sum so far, that of the open block, and whether it began with this key
+
+    def _begin(self, place):
+        levels = []
+        for _ in range(_LEVELS):
+            levels.append((place % _FAN, 0.0, 0.0, place % _FAN == 0))
+            place = -(-place // _FAN)
+        return 0, levels[0], tuple(levels[1:])
+
+    def _push(self, s, level, x, counted):
+        n, low, above = s
+        if level == 0 and low[0] + 1 < _FAN:
+            return n + counted, (low[0] + 1, low[1] + x, low[2] + x, low[3]), above
+        levels = [low, *above]
+        while True:
+            parts, total, block, whole = levels[level]
+            parts, total, block = parts + 1, total + x, block + x
+            if parts < _FAN:
+                levels[level] = (parts, total, block, whole)
+                break
+            if not whole:  # the parts of a block that other keys began stay single
+                levels[level:] = [(0, total, 0.0, True), *((p, total, b, w) for p, _, b, w in levels[level + 1 :])]
+                break
+            level, x = level + 1, block
+        levels[:level] = [(0, total, 0.0, True)] * level
+        return n + counted, levels[0], tuple(levels[1:])
+
+    def step(self, s, row):
+        x = row[self.value]
+        s = self._push(self._begin(row[self.place]) if s is None else s, 0, 0.0 if x is None else x, x is not None)
+        return s, s[1][1] / s[0] if s[0] else None
+
+    def nothing(self, before=0):
+        return (before, None, 0, 0, (), ((),))  # rows of the key in the pieces before; the first place, the next, the values; the parts at the left end, and those of each level's open block
+
+    def add(self, s, row):
+        before, first, at, n, left, levels = s
+        x = row[self.value]
+        if first is None:
+            first = at = row[self.place] + before
+        n, at, levels = n + (x is not None), at + 1, [*levels]
+        levels[0] = (*levels[0], 0.0 if x is None else x)
+        level, place = 0, at
+        while place % _FAN == 0:
+            parts, levels[level] = levels[level], ()
+            if len(parts) < _FAN:
+                left += tuple((level, x) for x in parts)
+                break
+            block = 0.0
+            for x in parts:
+                block += x
+            level, place = level + 1, place // _FAN
+            if level == len(levels):
+                levels.append(())
+            levels[level] = (*levels[level], block)
+        return before, first, at, n, left, tuple(levels)
+
+    def after(self, a, b):
+        _, first, _, n, left, levels = b
+        if first is None:
+            return a
+        a = self._begin(first) if a is None else a
+        for level, x in (*left, *((i, x) for i in reversed(range(len(levels))) for x in levels[i])):
+            a = self._push(a, level, x, 0)
+        return a[0] + n, *a[1:]
+
+
 @dataclass(frozen=True)
 class Number:
     """The row's number, from 1."""
@@ -167,7 +253,7 @@ class Trend:
         s = self.add(s, row)
         if len(s) < 6 or None in s:
             return s, None
-        old, new = sum(s[:3]) / 3, sum(s[3:]) / 3
+        old, new = (s[0] + s[1] + s[2]) / 3, (s[3] + s[4] + s[5]) / 3  # as SQL adds; Python's sum makes up for rounding
         return s, "down" if _less(new, old) else "up" if _less(old, new) else "flat"
 
     nothing = start
@@ -328,7 +414,7 @@ _ARROW = {"double": pa.float64(), "long": pa.int64(), "integer": pa.int32(), "bo
 
 def _records(batch, names: list[str], folds: dict) -> list[dict]:
     """The values that the folds read, row by row."""
-    used = sorted({v for f in folds.values() for c in ("value", "at", "number") if (v := getattr(f, c, None))})
+    used = sorted({v for f in folds.values() for c in ("value", "at", "number", "place") if (v := getattr(f, c, None))})
     columns = [batch.column(names.index(c)).to_pylist() for c in used]
     if not used:
         return [{}] * batch.num_rows
@@ -346,6 +432,7 @@ def _carried(rows: DataFrame, key: str, folds: dict, ends: list, shared: set[int
     at = {k for first, a, last, b in spans.values() for k, some in ((first, a), (last, b)) if some}
     listed = F.col(key).isin([k for k in at if k is not None])
     some = rows.where((listed | F.col(key).isNull()) if None in at else listed)
+    before = _before(some, key, ends, shared) if any(getattr(f, "placed", False) for f in folds.values()) else {}
 
     def summed(batches):
         """(piece, 0 for its first key and 1 for its last, summaries); a key that is both is its first."""
@@ -359,7 +446,9 @@ def _carried(rows: DataFrame, key: str, folds: dict, ends: list, shared: set[int
                 which = 0 if a and k == first else 1 if z and k == last else None
                 if which is None:
                     continue
-                s = held.setdefault(which, {n: f.nothing() for n, f in folds.items()})
+                if which not in held:
+                    held[which] = {n: f.nothing(0 if which else before.get(here, 0)) if getattr(f, "placed", False) else f.nothing() for n, f in folds.items()}
+                s = held[which]
                 for n, f in folds.items():
                     s[n] = f.add(s[n], row)
         yield pa.RecordBatch.from_pylist([{"p": here, "which": w, "s": pickle.dumps(s)} for w, s in held.items()], pa.schema([("p", pa.int32()), ("which", pa.int32()), ("s", pa.binary())]))
@@ -377,3 +466,15 @@ def _carried(rows: DataFrame, key: str, folds: dict, ends: list, shared: set[int
         s = found.get((e._p, 1))
         state = {n: f.after(f.start(), s[n]) for n, f in folds.items()} if s else None
     return carry
+
+
+def _before(some: DataFrame, key: str, ends: list, shared: set[int]) -> dict[int, int]:
+    """For each piece that goes on with a key the key's rows in the pieces before; some: the rows of such keys."""
+    n = {(r._p, r.k): r.n for r in some.groupBy("_p", F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, passed = {}, {}
+    for e in ends:
+        if e._p in shared:
+            before[e._p] = passed.get(e["first"].k, 0)
+        for k in {e["first"].k, e["last"].k}:
+            passed[k] = passed.get(k, 0) + n.get((e._p, k), 0)
+    return before
