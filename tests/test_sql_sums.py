@@ -64,7 +64,7 @@ def test_three_losses_are_added_from_the_left(spark):
 
 def test_doubles_round_as_the_sql(spark):
     rng = random.Random(2)
-    values = [k / 3200 + d * 2**-38 for k in rng.sample(range(10**9), 2000) for d in (-1, 0, 1)] + [-0.0000005, 0.49999999999999994, 1e300, None]
+    values = [k / 3200 + d * 2**-38 for k in rng.sample(range(10**9), 2000) for d in (-1, 0, 1)] + [-0.0000005, 0.49999999999999994, 1e300, 123066810000000.0, -4.4e14 / 3, 1e305, None]
     con = duckdb.connect()
     got = spark.createDataFrame([(v,) for v in values], "x double").select(sql_order.rounded(sql_order.F.col("x"), 6)).collect()
     assert [r[0] for r in got] == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
@@ -72,3 +72,14 @@ def test_doubles_round_as_the_sql(spark):
 
 def test_groups_are_split_as_the_table_grows():
     assert [sql_order.group_bits(n) for n in (0, 1_966_081, 1_966_100, 7_850_000, 7_870_000)] == [4, 4, 6, 6, 8]
+
+
+def test_rows_without_values_are_as_in_the_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    value = "CASE WHEN hash(i) % 5 < 3 THEN NULL WHEN i % 97 = 0 THEN 'inf'::DOUBLE WHEN i % 89 = 0 THEN 'nan'::DOUBLE ELSE (hash(i) % 700)::BIGINT * 1e9 / 7 END"
+    con.execute(f"CREATE TABLE events AS SELECT i AS event_id, make_timestamp(1700000000000000 + i * 7919) AS ts, i % 20 AS user_id, {value} AS value FROM range(3000) r(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    expected = con.execute(f"SELECT * FROM ({ORACLES['win6_running']})").fetchall()
+    got = QUERIES["win6_running"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))

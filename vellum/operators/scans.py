@@ -241,9 +241,10 @@ class Seconds:
 
 @dataclass(frozen=True)
 class Trend:
-    """WIN8: the mean of the last three against the three before; null unless the last six rows have values."""
+    """WIN8: the mean of the last three against the three before; null unless the last six rows have values. partial: the means are of the values there are, and one of none is no different."""
 
     value: str
+    partial: bool = False
     kind = T.StringType()
 
     def start(self):
@@ -251,11 +252,20 @@ class Trend:
 
     def step(self, s, row):
         s = self.add(s, row)
-        if len(s) < 6 or None in s:
+        if len(s) < 6 or (None in s and not self.partial):
             return s, None
-        old, new = (s[0] + s[1] + s[2]) / 3, (s[3] + s[4] + s[5]) / 3  # as SQL adds; Python's sum makes up for rounding
+        old, new = self._mean(s[:3]), self._mean(s[3:])
+        if old is None or new is None:
+            return s, "flat"
         return s, "down" if _less(new, old) else "up" if _less(old, new) else "flat"
 
+    def _mean(self, values):
+        total, n = 0.0, 0
+        for x in values:  # as SQL adds; Python's sum makes up for rounding
+            if x is not None:
+                total, n = total + x, n + 1
+        return total / n if n else None
+
     nothing = start
 
     def add(self, s, row):

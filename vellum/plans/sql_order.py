@@ -53,4 +53,4 @@ def rounded(x: Column, digits: int) -> Column:
     a = F.abs(x * by)
     whole = F.floor(a)
     up = F.when(a - whole >= 0.5, whole + 1).otherwise(whole).cast("double")
-    return F.when(a < 2.0**52, F.signum(x) * up / by).otherwise(x)
+    return F.when(a < 2.0**52, F.signum(x) * up / by).when(a < float("inf"), x * by / by).otherwise(x)
